@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import sentencepieces, token_counts, token_files
+from millrace.llm import sentencepieces, token_counts, token_files, toxicity
 from millrace.llm.common import table
 
 
@@ -30,8 +30,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op2_sentencepiece, op6_token_files, op7_token_counts]
+    ops = [op2_sentencepiece, op6_token_files, op7_token_counts, op10_toxicity]
     return {f.__name__: f for f in ops}
 
 
