@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import secret_scan, sentencepieces, token_counts, token_files, topk, toxicity, url_filter
+from millrace.llm import line_dedup, secret_scan, sentencepieces, token_counts, token_files, topk, toxicity, url_filter
 from millrace.llm.common import table
 
 
@@ -46,15 +46,38 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup(docs, min_words=50, removed_col="n_removed")
+    return out.select("doc_id", F.col("n_removed").cast("bigint").alias("n_removed"), F.length("text").cast("bigint").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_secrets, op2_sentencepiece, op3_url_filter, op6_token_files, op7_token_counts, op8_topk, op10_toxicity]
+    ops = [op1_secrets, op2_sentencepiece, op3_url_filter, op6_token_files, op7_token_counts, op8_topk, op9_line_dedup, op10_toxicity]
     return {f.__name__: f for f in ops}
 
 
+#: Windows are compared by their lines themselves.
+LINE_DEDUP_SQL = r"""
+WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text <> ''),
+lines AS (SELECT doc_id, line, trim(body, ' ') AS body, len(regexp_extract_all(trim(body, ' '), '\S+')) AS words FROM split),
+placed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS before FROM lines WHERE words > 0),
+spans AS (SELECT doc_id, line AS first, max(line) OVER w AS last, sum(words) OVER w AS held, list(body) OVER w AS bodies FROM placed
+  WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+ranked AS (SELECT *, first_value(doc_id) OVER o AS origin_doc, first_value(last) OVER o AS origin_last FROM spans WHERE held >= 50 WINDOW o AS (PARTITION BY bodies ORDER BY doc_id, first)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM ranked WHERE doc_id <> origin_doc OR first > origin_last),
+kept AS (SELECT s.doc_id, string_agg(s.body, chr(10) ORDER BY s.line) AS text FROM split s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.line = g.line GROUP BY s.doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+texts AS (SELECT d.doc_id, coalesce(r.n, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+  FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN removed r ON d.doc_id = r.doc_id)
+SELECT doc_id, n_removed, length(text) AS n_chars_left, md5(text) AS text_md5 FROM texts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": LINE_DEDUP_SQL}
