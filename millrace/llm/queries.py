@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import line_dedup, ngram_join, secret_scan, sentencepieces, token_counts, token_files, topk, toxicity, url_filter
+from millrace.llm import decontaminate, line_dedup, ngram_join, secret_scan, sentencepieces, token_counts, token_files, topk, toxicity, url_filter
 from millrace.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("overlap", 6).alias("overlap"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -62,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_secrets, op2_sentencepiece, op3_url_filter, op5_ngram_join, op6_token_files, op7_token_counts, op8_topk, op9_line_dedup, op10_toxicity]
+    ops = [op1_secrets, op2_sentencepiece, op3_url_filter, op4_decontaminate, op5_ngram_join, op6_token_files, op7_token_counts, op8_topk, op9_line_dedup, op10_toxicity]
     return {f.__name__: f for f in ops}
 
 
