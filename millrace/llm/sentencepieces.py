@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm import bpe
 from millrace.llm.common import free_names, pieces_of, ragged, texts_of
@@ -118,7 +119,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*piece.columns, column], names=[*piece.schema.names, ids_col])
 
-    return kept.mapInArrow(run, kept.schema.add(ids_col, "array<int>"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -131,7 +132,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
             texts = codec(path).decode(np.concatenate([np.empty(0, np.int64), *ids]), np.array([len(x) for x in ids], np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
-    return kept.mapInArrow(run, kept.schema.add(text_col, "string"))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
