@@ -56,7 +56,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     key = ["fingerprint", "h", "g"]
     place = F.struct(F.col(ID).isNotNull().alias("known"), F.col(ID).alias("doc"), F.col("first").alias("first"), F.col("last").alias("last"), F.col(COPY).alias("copy"))
     earliest = found.groupBy(*key).agg(F.min(place).alias("origin"), F.max(place).alias("newest")).where("origin != newest").select(*key, "origin")
-    later = found.join(earliest, key).where((~F.col(ID).eqNullSafe(F.col("origin.doc"))) | (F.col(COPY) != F.col("origin.copy")) | (F.col("first") > F.col("origin.last")))
+    # joined alike at every size: by a sorted exchange whose large groups Spark can split
+    later = found.join(earliest.hint("merge"), key).where((~F.col(ID).eqNullSafe(F.col("origin.doc"))) | (F.col(COPY) != F.col("origin.copy")) | (F.col("first") > F.col("origin.last")))
     # a document's marks are one row per window at most; runs of lines, not lines, are gathered
     runs = later.groupBy(ID, COPY).agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     return runs.select(ID, COPY, F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))).alias("gone"))
@@ -65,7 +66,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, removed_col: str | None = None) -> DataFrame:
     """The rows with repeated runs deleted from their texts; with removed_col, also the number of lines deleted."""
     marks = saved(repeats(docs, id_col, text_col, min_words), "line-marks")
-    marked = docs.join(marks, F.col(id_col).eqNullSafe(F.col(ID)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(COPY)), "left")
+    marked = docs.join(marks.hint("merge"), F.col(id_col).eqNullSafe(F.col(ID)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(COPY)), "left")
     kept = F.filter(F.split(F.col(text_col).cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
     text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     columns = [(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns if c != removed_col]
