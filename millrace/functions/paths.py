@@ -142,9 +142,17 @@ def scalar_text(value: object) -> str | None:
     return None
 
 
+def _bound(value: Column, f) -> Column:
+    """f(value) with the value computed once, and with its code kept out of the surrounding generated code."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def variant_text(value: Column) -> Column:
     """scalar_text of a variant column. Integers up to 2**53 are taken as they are, other numbers through double."""
-    kind = F.schema_of_variant(value)
+    return _bound(value, lambda v: _variant_text(v, F.schema_of_variant(v)))
+
+
+def _variant_text(value: Column, kind: Column) -> Column:
     whole = F.try_variant_get(value, "$", "bigint")
     double = F.try_variant_get(value, "$", "double")
     small = (kind == "BIGINT") & whole.between(-(1 << 53), 1 << 53)
@@ -158,7 +166,10 @@ def variant_text(value: Column) -> Column:
 
 def double_text(double: Column) -> Column:
     """number_text of a double column, by moving the point of Spark's shortest form where that has an exponent."""
-    text = double.cast("string")
+    return _bound(double, lambda x: F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), _bound(x.cast("string"), _without_exponent)))
+
+
+def _without_exponent(text: Column) -> Column:
     sign = F.when(text.startswith("-"), "-").otherwise("")
     mantissa = F.regexp_extract(text, r"^-?([0-9.]+)(?:E-?\d+)?$", 1)
     power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
@@ -169,7 +180,7 @@ def double_text(double: Column) -> Column:
     right = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(digits.substr(point + 1, F.length(digits)))
     right = F.rtrim(right, F.lit("0"))
     plain = F.concat(sign, F.regexp_replace(left, r"^0+(?=\d)", ""), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
-    return F.when(F.isnan(double) | (F.abs(double) == float("inf")), None).otherwise(plain)
+    return F.when(text.contains("E"), plain).otherwise(F.regexp_replace(text, r"\.0$", ""))
 
 
 def canonical_json(doc: object) -> str:

@@ -26,7 +26,7 @@ INPUT = ("rule", "key", "observed_at", "raw", "event_type", "stamp", "stitch", "
 def fold(routed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Closed flows (FLOW_SCHEMA) of routed events, numbered per key from 1. Open flows at the end close at their deadlines."""
     rules = tuple(rules)
-    schema = T.StructType.fromDDL(FLOW_SCHEMA) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(FLOW_SCHEMA)
+    schema = T._parse_datatype_string(FLOW_SCHEMA)
     arrow = to_arrow_schema(schema, timestamp_utc=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,4 +70,5 @@ def templates(rules: Sequence[Rule], alerts_index: str = "") -> list[dict[str, A
 def promoted_schema(rules: Sequence[Rule]) -> T.StructType:
     """Spark types of the promoted fields of all rules."""
     kinds = {p.name: p.type for r in rules for p in r.promotions}
-    return T._parse_datatype_string(", ".join(f"`{n}` {SPARK_TYPES[k]}" for n, k in sorted(kinds.items()))) if kinds else T.StructType()
+    types = {"string": T.StringType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+    return T.StructType([T.StructField(n, types[SPARK_TYPES[k]]) for n, k in sorted(kinds.items())])

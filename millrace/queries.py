@@ -458,20 +458,24 @@ def batch_source(spark: SparkSession, d: str) -> DataFrame:
     return got.select(p("$.event_id").column(F.col("doc")).cast("bigint").alias("event_id"), F.col("seq").cast("int").alias("seq"), p("$.user").column(F.col("doc")).alias("user"))
 
 
-def _coerce(name: str, kind: str, text: Column, sql: str) -> None:
+def _coerce(name: str, kind: str, texts: tuple[str, ...], sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        value = coerced(text, kind)
+        value = coerced(_pick(*texts), kind)
         return table(spark, d, "events").select("event_id", (us(value) if kind == "date" else value).alias("coerced"))
 
     run.__name__ = name
     query(f"SELECT event_id, {sql} AS coerced FROM events")(run)
 
 
-_pick = lambda *texts: F.get(F.array(*[F.lit(t) for t in texts], F.col("event_id").cast("string")), (F.col("event_id") % (len(texts) + 1)).cast("int"))
-_coerce("coerce_long", "long", _pick("12", " 5 ", "+7", "1.0", "99999999999999999999", ""), "CASE event_id % 7 WHEN 0 THEN 12 WHEN 2 THEN 7 WHEN 6 THEN event_id END")
-_coerce("coerce_double", "double", _pick("1.5", "1e3", "NaN", "Infinity", "1e999", "x"), "CASE event_id % 7 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1000::DOUBLE WHEN 6 THEN event_id::DOUBLE END")
-_coerce("coerce_bool", "boolean", _pick("t", "F", "yes", "TRUE", "0"), "CASE event_id % 6 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN TRUE WHEN 4 THEN FALSE WHEN 5 THEN (CASE event_id WHEN 0 THEN FALSE WHEN 1 THEN TRUE END) END")
-_coerce("coerce_date", "date", _pick("2026-08-21T00:30:00+02:00", "2026-08-21", "2026-08-21T00:30:00.5Z"), "CASE event_id % 4 WHEN 0 THEN 1787265000000000 WHEN 2 THEN 1787272200500000 END")
+def _pick(*texts: str) -> Column:
+    """One of the texts or the event's number, in turn."""
+    return F.get(F.array(*[F.lit(t) for t in texts], F.col("event_id").cast("string")), (F.col("event_id") % (len(texts) + 1)).cast("int"))
+
+
+_coerce("coerce_long", "long", ("12", " 5 ", "+7", "1.0", "99999999999999999999", ""), "CASE event_id % 7 WHEN 0 THEN 12 WHEN 2 THEN 7 WHEN 6 THEN event_id END")
+_coerce("coerce_double", "double", ("1.5", "1e3", "NaN", "Infinity", "1e999", "x"), "CASE event_id % 7 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1000::DOUBLE WHEN 6 THEN event_id::DOUBLE END")
+_coerce("coerce_bool", "boolean", ("t", "F", "yes", "TRUE", "0"), "CASE event_id % 6 WHEN 0 THEN TRUE WHEN 1 THEN FALSE WHEN 3 THEN TRUE WHEN 4 THEN FALSE WHEN 5 THEN (CASE event_id WHEN 0 THEN FALSE WHEN 1 THEN TRUE END) END")
+_coerce("coerce_date", "date", ("2026-08-21T00:30:00+02:00", "2026-08-21", "2026-08-21T00:30:00.5Z"), "CASE event_id % 4 WHEN 0 THEN 1787265000000000 WHEN 2 THEN 1787272200500000 END")
 
 # ---------------------------------------------------------------- delivery
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from millrace.operators.fold import FLOW_SCHEMA, UNAVAILABLE, Event, Flow, closed_row
+from millrace.operators.fold import UNAVAILABLE, Event, Flow, closed_row
 from millrace.operators.flows import INPUT
 from millrace.operators.route import matched
 from millrace.plans.rules import Rule
@@ -33,7 +33,7 @@ class FlowProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("flow", T._parse_datatype_string("flow string, rule binary, seq bigint"))
+        self.state = handle.getValueState("flow", T.StructType([T.StructField("flow", T.StringType()), T.StructField("rule", T.BinaryType()), T.StructField("seq", T.LongType())]))
 
     def _load(self) -> tuple[Flow | None, Rule | None, int]:
         if not self.state.exists():
@@ -121,5 +121,3 @@ def stream_flows(routed: DataFrame, rules: Sequence[Rule], watermark: str | None
         F.transform("b.invocations", lambda i: i.withField("first_observed", time(i["first_observed"]))).alias("invocations"),
     )
 
-
-assert set(_TIMES) < {f.split()[0] for f in FLOW_SCHEMA.split(", ")}
