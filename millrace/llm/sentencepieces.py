@@ -34,7 +34,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all texts with blanks marked, where words start (plus the end), and words per text."""
     marked = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
     points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
-    bounds = np.cumsum([len(t) for t in marked])
+    bounds = np.cumsum([len(t) for t in marked], dtype=np.int64)
     blank = points == ord(BLANK)
     start = np.ones(len(points) + 1, bool)
     start[:-1] = blank

@@ -54,7 +54,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     letter[:-1] = pretokens.classes()[points] == pretokens.LETTER
     step = np.diff(letter, prepend=0)
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    edges = np.cumsum([len(t) + 1 for t in texts])
+    edges = np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)
     return span_hash(prefix_hash(points), start, end), np.searchsorted(edges, start, side="right")
 
 
