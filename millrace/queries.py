@@ -290,7 +290,7 @@ def flow_max_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH e AS (SELECT *, coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
-SELECT {KEY}, before + 1 AS flow_seq, CASE WHEN bool_or(event_type = 'error') THEN 'terminal_event' ELSE 'timeout' END AS reason, count(*) AS event_count FROM e GROUP BY user_id, before"""
+SELECT {KEY}, CAST(before AS BIGINT) + 1 AS flow_seq, CASE WHEN bool_or(event_type = 'error') THEN 'terminal_event' ELSE 'timeout' END AS reason, count(*) AS event_count FROM e GROUP BY user_id, before"""
 )
 def flow_terminal(spark: SparkSession, d: str) -> DataFrame:
     rule = Rule("until-error", p("$.user"), 100_000 * HOUR, "x", event_type=p("$.event"), terminal_events=("error",))
@@ -308,7 +308,7 @@ SIZE = "(length(event_type) + length(CAST(user_id AS VARCHAR)) + 20)"
 
 @query(
     f"""WITH e AS (SELECT *, {SIZE} > 30 AS big FROM events), s AS (SELECT *, coalesce(sum(CASE WHEN big THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
-SELECT {KEY}, before + 1 AS flow_seq, CASE WHEN bool_or(big) THEN 'limit_exceeded' ELSE 'timeout' END AS reason, count(*) AS event_count FROM s GROUP BY user_id, before"""
+SELECT {KEY}, CAST(before AS BIGINT) + 1 AS flow_seq, CASE WHEN bool_or(big) THEN 'limit_exceeded' ELSE 'timeout' END AS reason, count(*) AS event_count FROM s GROUP BY user_id, before"""
 )
 def flow_max_event_bytes(spark: SparkSession, d: str) -> DataFrame:
     rule = Rule("big", p("$.user"), 100_000 * HOUR, "x", event_type=p("$.event"), max_event_bytes=30)
