@@ -11,7 +11,7 @@ from the sizes: sets are banded by size so that linked sets lie in the same band
 set joins in both (see Bands). Blocks that are empty count only where too few others are left.
 
 Equal sets are one class from the start (a class is known by the 64-bit sum of its mixed shingle hashes), so copies are never paired.
-In each bucket of equal blocks only pairs with one of few pivots are verified first; after that most buckets lie within
+In each bucket of equal blocks only pairs with its pivot are verified first; after that most buckets lie within
 one component and are done. What remains of small buckets is paired directly, what remains of large ones goes through
 R-trees, in pieces of bounded size. Keys that a sample of the classes shows to be frequent never meet in one
 task: they are paired with their pivots by joins that Spark can split. The sample only steers this; the result is exact.
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import U64, mixed, pieces_of, prefix_hash, ragged, saved, shuffle_parts, span_hash, texts_of
 
-#: Coordinates of the points that R-trees and bounds use.
-POINT = 64
+#: Coordinates of points; R-trees hold them coarser, each COARSE of them summed.
+POINT = 256
+COARSE = 4
 #: Token groups within each block.
 GROUPS = 1 << 16
 #: Buckets up to this size are paired directly where pivots leave something open.
@@ -47,7 +48,6 @@ PIECE = 2048
 SAMPLE = 64
 #: Frequent keys at most (they are broadcast: 8 bytes each).
 FREQUENT = 1 << 20
-PIVOTS = 4
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
@@ -61,7 +61,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     blank[:-1] = _KIND[raw]
     step = np.diff(blank, prepend=1)
     start, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-    edge = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])
+    edge = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts], dtype=np.int64)
     return span_hash(prefix_hash(raw), start, end), np.diff(np.searchsorted(start, np.append(0, edge)))
 
 
@@ -172,7 +172,13 @@ def block_keys(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarr
 def points(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Counts of POINT token groups per set."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    return np.bincount(owner * POINT + (h >> U64(58)).astype(np.int64), minlength=len(sizes) * POINT).reshape(-1, POINT)
+    return np.bincount(owner * POINT + (h >> U64(56)).astype(np.int64), minlength=len(sizes) * POINT).reshape(-1, POINT)
+
+
+def _points(column) -> np.ndarray:
+    """Points from their bytes: 2 per coordinate, 4 in very large sets."""
+    flat = [np.frombuffer(x, "<u2" if len(x) == 2 * POINT else "<u4") for x in column]
+    return np.array(flat, np.int64).reshape(-1, POINT)
 
 
 class RTree:
@@ -196,6 +202,8 @@ class RTree:
             todo += [(a, a + mid), (a + mid, b)]
         leaves.sort()
         self.order, self.rows = order, rows[order]
+        self.fine = self.rows
+        self.rows = self.rows.reshape(len(rows), -1, COARSE).sum(axis=2)
         self.levels = [np.array(leaves, np.int64)]  # spans of rows, then of nodes of the level below
         self.upper = [np.array([self.rows[a:b].max(axis=0) for a, b in leaves])]
         self.least = [np.array([self.rows[a:b].sum(axis=1).min() for a, b in leaves])]
@@ -209,6 +217,7 @@ class RTree:
     def reach(self, point: np.ndarray, bands: Bands) -> np.ndarray:
         """Rows whose bound lets them be linked with the point."""
         size = int(point.sum())
+        fine, point = point, point.reshape(-1, COARSE).sum(axis=1)
         nodes = np.arange(len(self.levels[-1]))
         for level in range(len(self.levels) - 1, -1, -1):
             most = np.minimum(self.upper[level][nodes], point).sum(axis=1)
@@ -216,27 +225,89 @@ class RTree:
             nodes = nodes[bands.enough(most, np.maximum(self.least[level][nodes], most), size)]
             spans = self.levels[level][nodes]
             nodes = ragged(spans[:, 0], spans[:, 1] - spans[:, 0])
-        most = np.minimum(self.rows[nodes], point).sum(axis=1)
-        return self.order[nodes[bands.enough(most, self.rows[nodes].sum(axis=1), size)]]
+        for rows, own in ((self.rows, point), (self.fine, fine)):
+            most = np.minimum(rows[nodes], own).sum(axis=1)
+            nodes = nodes[bands.enough(most, rows[nodes].sum(axis=1), size)]
+        return self.order[nodes]
 
 
-def _set_rows(docs: DataFrame, n: int, with_set: bool) -> DataFrame:
-    """doc_id, n_shingles, cls of rows, and with_set also the set (binary) and its point (binary)."""
+def _set_rows(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, cls of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces_of(batch, "text"):
                 h, sizes = shingle_sets(texts_of(piece.column("text")), n)
-                columns = [piece.column("doc_id"), pa.array(sizes), pa.array(digests(h, sizes))]
-                names = ["doc_id", "n_shingles", "cls"]
-                if with_set:
-                    raw, ends = memoryview(h.tobytes()), np.cumsum(sizes)
-                    p = points(h, sizes).astype("<i4")
-                    columns += [pa.array([bytes(raw[8 * (e - s) : 8 * e]) for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array([x.tobytes() for x in p], pa.binary())]
-                    names += ["members", "point"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), pa.array(digests(h, sizes))], names=["doc_id", "n_shingles", "cls"])
+
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint")
+
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint" + ", members binary, point binary" * with_set)
+def _filter_of(classes: DataFrame) -> np.ndarray:
+    """A bit map of hashed classes, of bounded size (8 MB at most), made by the executors and merged by words of 64 bits.
+
+    It only spares work: what passes by chance is removed by the exact join that follows."""
+    bits = 1 << min(26, max(16, (16 * classes.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("cls"), F.lit(bits))
+    words = classes.select((slot / 64).cast("bigint").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    return out
+
+
+def _details(docs: DataFrame, n: int, classes: DataFrame, what: str) -> DataFrame:
+    """cls, n_shingles and `what` (point or members, as bytes) of the given classes, computed where the texts are; a class
+    that several documents share comes once. No text is shuffled."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_filter_of(classes))
+    rows = docs.mapInArrow(_detail_rows(n, what, shared), f"cls bigint, n_shingles bigint, {what} binary")
+    return saved(rows.join(classes.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]), f"ngram-{what}")
+
+
+def _xxhash64(values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of single 64-bit integers (seed 42), in numpy. The primes are fixed values of that hash."""
+    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def rotated(x: np.ndarray, k: int) -> np.ndarray:
+        return (x << U64(k)) | (x >> U64(64 - k))
+
+    h = np.full(len(values), U64(42) + p5 + U64(8))
+    h ^= rotated(values.view(U64) * p2, 31) * p1
+    h = rotated(h, 27) * p1 + p4
+    h = (h ^ (h >> U64(33))) * p2
+    h = (h ^ (h >> U64(29))) * p3
+    return h ^ (h >> U64(32))
+
+
+def _detail_rows(n: int, what: str, shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            for piece in pieces_of(batch, "text"):
+                h, sizes = shingle_sets(texts_of(piece.column("text")), n)
+                cls = digests(h, sizes)
+                slot = (_xxhash64(cls) % U64(64 * len(words))).astype(np.int64)
+                maybe = (words[slot >> 6] >> (slot & 63)) & 1
+                maybe[sizes == 0] = 0
+                _, one = np.unique(cls, return_index=True)
+                pick = np.array([i for i in np.sort(one).tolist() if maybe[i] and int(cls[i]) not in seen], np.int64)
+                if not len(pick):
+                    continue
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                seen.update(cls[pick].tolist())
+                first = (np.cumsum(sizes) - sizes)[pick]
+                own = h[ragged(first, sizes[pick])]
+                if what == "point":
+                    p = points(own, sizes[pick])
+                    cells = [x.tobytes() for x in p.astype("<u4" if sizes[pick].max() >> 16 else "<u2")]
+                else:
+                    raw, ends = memoryview(own.tobytes()), 8 * np.cumsum(sizes[pick])
+                    cells = [bytes(raw[e - 8 * s : e]) for s, e in zip(sizes[pick].tolist(), ends.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[pick]), pa.array(sizes[pick]), pa.array(cells, pa.binary())], names=["cls", "n_shingles", what])
+
+    return run
 
 
 def _keyed(docs: DataFrame, n: int, bands: Bands, parts: int, frequent: np.ndarray | None, only_frequent: bool = False) -> DataFrame:
@@ -346,24 +417,28 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(tops)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The linked ones of distinct pairs (a, b); sets has cls, n_shingles, members, point."""
-    points_ = sets.select("cls", "n_shingles", "point")
+def _near(pairs: DataFrame, points_: DataFrame, bands: Bands) -> DataFrame:
+    """Of distinct pairs (a, b) those that sizes and summed coordinate minima let be linked."""
     left, right = (points_.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("point").alias(f"p_{c}")) for c in "ab")
-    sized = pairs.join(left, "a").join(right, "b").where(f"{bands.den} * least(n_a, n_b) >= {bands.num} * greatest(n_a, n_b)")
+    sized = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(f"{bands.den} * least(n_a, n_b) >= {bands.num} * greatest(n_a, n_b)")
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, POINT).astype(np.int64) for c in ("p_a", "p_b"))
+                p, q = (_points(batch.column(c).to_pylist()) for c in ("p_a", "p_b"))
                 keep = bands.enough(np.minimum(p, q).sum(axis=1), p.sum(axis=1), q.sum(axis=1))
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    near = sized.select("a", "b", "p_a", "p_b").mapInArrow(bounded, "a bigint, b bigint")
+    return saved(sized.select("a", "b", "p_a", "p_b").mapInArrow(run, "a bigint, b bigint"), "ngram-near")
+
+
+def _verified(near: DataFrame, docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """The linked ones of pairs (a, b), by their sets."""
+    sets = _details(docs, n, near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "members")
     members = [sets.select(F.col("cls").alias(c), F.col("members").alias(f"s_{c}")) for c in "ab"]
-    full = near.join(members[0], "a").join(members[1], "b").select("a", "b", "s_a", "s_b")
+    full = near.join(members[0].hint("merge"), "a").join(members[1].hint("merge"), "b").select("a", "b", "s_a", "s_b")
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("s_a"), batch.column("s_b"), strict=True):
@@ -374,7 +449,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                 keep.append(bool(bands.enough(overlap, len(s), len(t))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.mapInArrow(exact, "a bigint, b bigint")
+    return saved(full.mapInArrow(run, "a bigint, b bigint"), "ngram-links")
 
 
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,7 +457,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str
     spark = docs.sparkSession
     bands, parts = Bands(num, den), shuffle_parts(spark)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = saved(_set_rows(docs, n, False), "ngram-rows")
+    rows = saved(_set_rows(docs, n), "ngram-rows")
     classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     usable = docs.where("doc_id is not null")
 
@@ -400,17 +475,13 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str
         met = met.unionByName(often.join(sizes, "key").select(F.col("key").alias("bucket"), F.col("count").alias("size"), "cls"))
     buckets = saved(met.distinct(), "ngram-buckets")
 
-    # first each bucket's pivots: the smallest class, and in larger buckets the smallest by other orders too
-    orders = [F.col("cls")] + [F.xxhash64("cls", F.lit(k)) for k in range(1, PIVOTS)]
-    tops = buckets.groupBy("bucket").agg(*[F.min_by("cls", o).alias(f"pivot{k}") for k, o in enumerate(orders)])
-    tops = tops.select("bucket", F.array_distinct(F.array(*[f"pivot{k}" for k in range(PIVOTS)])).alias("pivots"))
-    star = buckets.join(tops, "bucket").select("cls", F.explode(F.when(F.col("size") > 8, F.col("pivots")).otherwise(F.slice("pivots", 1, 1))).alias("pivot"))
+    # first each bucket's pivot, its smallest class; as sets share several buckets, most meet several pivots
+    tops = buckets.groupBy("bucket").agg(F.min("cls").alias("pivot"))
+    star = buckets.join(tops, "bucket").select("cls", "pivot")
     pairs = saved(star.where("cls != pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct(), "ngram-pairs")
 
-    involved = buckets.select("cls").distinct().join(classes, "cls").select("doc_id", F.col("cls").alias("wanted"))
-    texts = usable.join(involved, "doc_id")
-    sets = saved(_set_rows(texts.select("doc_id", "text"), n, True).join(involved, "doc_id").where("cls = wanted").select("cls", "n_shingles", "members", "point").dropDuplicates(["cls"]), "ngram-sets")
-    links = saved(_verify(pairs, sets, bands), "ngram-links")
+    points_ = _details(usable, n, buckets.select("cls").distinct(), "point")
+    links = _verified(_near(pairs, points_, bands), usable, n, bands)
 
     # what the pivots leave open: buckets with members in several components
     larger = buckets.where("size > 2")
@@ -421,9 +492,9 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str
     small = still.where(F.col("size") <= SMALL)
     one, two = (small.select("bucket", F.col("cls").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
     direct = one.join(two, "bucket").where("a < b and c_a != c_b").select("a", "b")
-    more = direct.unionByName(_large(still.where(F.col("size") > SMALL), sets, bands)).distinct()
-    more = saved(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more")
-    every = saved(links.unionByName(_verify(more, sets, bands)), "ngram-all")
+    more = direct.unionByName(_large(still.where(F.col("size") > SMALL), points_, bands)).distinct()
+    more = _near(saved(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more"), points_, bands)
+    every = links if more.isEmpty() else links.unionByName(_verified(more, usable, n, bands))
 
     found = components(every).select(F.col("node").alias("cls"), "component")
     first_of = found.join(classes, "cls").groupBy("component").agg(F.min("doc_id").alias("first_id"))
@@ -433,7 +504,7 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id"))
 
 
-def _large(still: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+def _large(still: DataFrame, points_: DataFrame, bands: Bands) -> DataFrame:
     """Pairs in different components of large buckets that the bound lets be linked, piece against piece.
 
     A bucket's members are numbered in order of component and cut into pieces of PIECE rows; two pieces meet in
@@ -450,7 +521,7 @@ def _large(still: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     placed_big = pieces.where("cuts > 1").select("bucket", "component", F.concat(F.lit("c"), F.col("component").cast("string")).alias("stem"), "cuts", F.lit(1).cast("bigint").alias("whole"))
     stems = placed_small.unionByName(placed_big)
     rows = still.join(stems, ["bucket", "component"]).select("bucket", "cls", "component", "whole", "stem", F.concat("stem", F.lit("/"), F.pmod(F.xxhash64("cls", F.lit(3)), F.col("cuts")).cast("string")).alias("piece"))
-    rows = rows.join(sets.select("cls", "point"), "cls")
+    rows = rows.join(points_.select("cls", "point"), "cls")
     cells = rows.groupBy("bucket", "piece").agg(F.first("stem").alias("stem"), F.first("whole").alias("whole"))
     left, right = (cells.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("piece", "stem", "whole")]) for k in "lr")
     meet = left.join(right, "bucket").where("piece_l <= piece_r and not (whole_l = 1 and stem_l = stem_r)").select("bucket", "piece_l", "piece_r")
@@ -460,11 +531,11 @@ def _large(still: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame()
-        tree = RTree(np.frombuffer(b"".join(left["point_l"]), "<i4").reshape(-1, POINT).astype(np.int64))
+        tree = RTree(_points(left["point_l"]))
         cls, comp = left["cls_l"].to_numpy(), left["component_l"].to_numpy()
         out = []
-        for c, k, p in zip(right["cls_r"], right["component_r"], right["point_r"], strict=True):
-            hit = tree.reach(np.frombuffer(p, "<i4").astype(np.int64), bands)
+        for c, k, point in zip(right["cls_r"], right["component_r"], _points(right["point_r"]), strict=True):
+            hit = tree.reach(point, bands)
             hit = hit[(comp[hit] != k) & (cls[hit] != c)]
             if len(hit):
                 out.append(pd.DataFrame({"a": np.minimum(cls[hit], c), "b": np.maximum(cls[hit], c)}))
