@@ -1,6 +1,7 @@
 """Line deduplication by winnowing over line hashes; DataFrame functions only.
 
-A window is the least run of lines, from some line on, that holds `min_words` words or more; blank lines don't count. Of each
+A window is the least run of lines, from some line on or up to some line, that holds `min_words` words or more; blank
+lines don't count. Windows of both kinds together cover every run of min_words words to its ends. Of each
 window the least line hash is its fingerprint, so any two equal runs of at least min_words words share a
 fingerprint at the same place in both. Fingerprints are grouped with what extends them to both sides, the hash of the whole
 window: of equal windows the earliest stays (by id, then line), later ones mark all their lines, and
@@ -16,7 +17,7 @@ An empty table gives an empty result; other columns stay, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import saved
@@ -36,18 +37,15 @@ def windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Data
     # rows that repeat exactly have each line several times; once is enough
     lines = lines.withColumn("again", F.lag("line").over(doc).eqNullSafe(F.col("line"))).where("not again").drop("again")
     before = F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
-    frame = Window.partitionBy(ID, COPY).orderBy("before").rangeBetween(0, min_words - 1)
-    spans = lines.withColumn("before", before).select(
-        ID,
-        COPY,
-        F.col("line").alias("first"),
-        F.max("line").over(frame).alias("last"),
-        F.sum("words").over(frame).alias("held"),
-        F.min("h").over(frame).alias("fingerprint"),
-        F.collect_list("h").over(frame).alias("hs"),
-        F.collect_list("g").over(frame).alias("gs"),
-    )
-    return spans.where(F.col("held") >= min_words).select(ID, COPY, "first", "last", "fingerprint", F.xxhash64("hs").alias("h"), F.xxhash64(F.lit(2), F.col("gs")).alias("g"))
+    ahead = Window.partitionBy(ID, COPY).orderBy("before").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy(ID, COPY).orderBy("until").rangeBetween(1 - min_words, 0)
+    placed = lines.withColumn("before", before).withColumn("until", before + F.col("words"))
+
+    def span(frame) -> Column:
+        return F.struct(F.min("line").over(frame).alias("first"), F.max("line").over(frame).alias("last"), F.sum("words").over(frame).alias("held"), F.min("h").over(frame).alias("fingerprint"), F.collect_list("h").over(frame).alias("hs"), F.collect_list("g").over(frame).alias("gs"))
+
+    both = placed.select(ID, COPY, span(ahead).alias("a"), span(back).alias("b")).select(ID, COPY, F.explode(F.array("a", "b")).alias("w")).where(F.col("w.held") >= min_words)
+    return both.select(ID, COPY, "w.first", "w.last", "w.fingerprint", F.xxhash64("w.hs").alias("h"), F.xxhash64(F.lit(2), F.col("w.gs")).alias("g"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:

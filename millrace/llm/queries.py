@@ -77,7 +77,9 @@ WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnes
 lines AS (SELECT doc_id, line, trim(body, ' ') AS body, len(regexp_extract_all(trim(body, ' '), '\S+')) AS words FROM split),
 placed AS (SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY line) - words AS before FROM lines WHERE words > 0),
 spans AS (SELECT doc_id, line AS first, max(line) OVER w AS last, sum(words) OVER w AS held, list(body) OVER w AS bodies FROM placed
-  WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+  WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL SELECT doc_id, min(line) OVER w AS first, line AS last, sum(words) OVER w AS held, list(body) OVER w AS bodies FROM placed
+  WINDOW w AS (PARTITION BY doc_id ORDER BY before + words RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
 ranked AS (SELECT *, first_value(doc_id) OVER o AS origin_doc, first_value(last) OVER o AS origin_last FROM spans WHERE held >= 50 WINDOW o AS (PARTITION BY bodies ORDER BY doc_id, first)),
 gone AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS line FROM ranked WHERE doc_id <> origin_doc OR first > origin_last),
 kept AS (SELECT s.doc_id, string_agg(s.body, chr(10) ORDER BY s.line) AS text FROM split s ANTI JOIN gone g ON s.doc_id = g.doc_id AND s.line = g.line GROUP BY s.doc_id),
