@@ -109,8 +109,7 @@ def dedup_rows(spark, texts, min_words=6):
 def test_lines(spark, docs, empty):
     run = "one two three\nfour five six\nseven"
     got = dedup_rows(spark, [run, f"new\n{run}\nend", "four five six", f"{run}\n\n{run}", "a\n" * 30, None, "", "one two three\n \nfour five six "])
-    assert got == [run, "new\nend", "four five six", "\n" + "" if got[3] == "\n" else got[3], got[4], None, "", " "]
-    assert got[4].count("a") == 6
+    assert got == [run, "new\nend", "four five six", "", "a\n" * 6, None, "", ""]
     out = line_dedup.dedup(docs, removed_col="gone")
     assert set(out.columns) == {*docs.columns, "gone"} and out.count() == docs.count()
     # the first of equal long texts stays
