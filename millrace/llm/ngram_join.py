@@ -475,8 +475,9 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str
         met = met.unionByName(often.join(sizes, "key").select(F.col("key").alias("bucket"), F.col("count").alias("size"), "cls"))
     buckets = saved(met.distinct(), "ngram-buckets")
 
-    # first each bucket's pivot, its smallest class; as sets share several buckets, most meet several pivots
-    tops = buckets.groupBy("bucket").agg(F.min("cls").alias("pivot"))
+    # first each bucket's pivot, the class that meets most others; among near copies it is one near to their origin
+    weight = buckets.groupBy("cls").agg(F.sum("size").alias("weight"))
+    tops = buckets.join(weight.hint("merge"), "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("weight", "cls")).alias("pivot"))
     star = buckets.join(tops, "bucket").select("cls", "pivot")
     pairs = saved(star.where("cls != pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct(), "ngram-pairs")
 
@@ -494,9 +495,11 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str
     direct = one.join(two, "bucket").where("a < b and c_a != c_b").select("a", "b")
     more = direct.unionByName(_large(still.where(F.col("size") > SMALL), points_, bands)).distinct()
     more = _near(saved(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more"), points_, bands)
-    every = links if more.isEmpty() else links.unionByName(_verified(more, usable, n, bands))
+    if not more.isEmpty():
+        # the components so far, as edges, and the new links
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(more, usable, n, bands)))
 
-    found = components(every).select(F.col("node").alias("cls"), "component")
+    found = found.select(F.col("node").alias("cls"), "component")
     first_of = found.join(classes, "cls").groupBy("component").agg(F.min("doc_id").alias("first_id"))
     named = found.join(first_of, "component").select("cls", "first_id").unionByName(classes.join(found, "cls", "left_anti").select("cls", F.col("doc_id").alias("first_id")))
     out = rows.join(named, "cls", "left")
