@@ -1,13 +1,15 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learning takes a bounded sample of labelled rows (`max_examples`, those of the smallest hashes of ids) and the
-`max_terms` words that tell the labels apart best by chi-square. Document frequencies are counted over all documents.
+Learning takes a bounded sample of labelled rows (`max_examples`, those of the smallest hashes of ids) and all their
+words. Document frequencies are counted over all documents. A word's weight is its TF-IDF times sqrt(1 + its chi-square with the
+label), so what tells labels apart counts the more the better the labels show it, and no word is left out. Words that no example has only scale a text's cosines alike, so
+they are left out of its length too.
 The examples' vectors go into an inverted index whose postings are cut into blocks of examples; each word keeps its
-largest weight per block, so a block's best possible cosine is known before it is read, and blocks that can't reach
-the current k-th cosine are skipped without loss. The neighbours vote, each with its cosine as weight; an
+largest weight per block. Words that very many examples have are multiplied first, as a matrix; of the others, blocks
+whose best possible cosine can't reach the k-th so far are skipped without loss. The neighbours vote, each with its cosine as weight; an
 isotonic fit of the examples' own leave-one-out votes turns votes into probabilities. Neighbours' ids are the evidence.
 
-Null and empty texts, and texts without any of the chosen words, get the rate among such examples. Ties between
+Null and empty texts, and texts without any of the examples' words, get the rate among such examples. Ties between
 neighbours go to the earlier example. Rows that repeat are scored alike, one by one; rows of a null id are scored and never
 held out. Null labels and labels without a document teach nothing. Without any usable label every score is 0.
 Extra columns are ignored. Texts are read whole.
@@ -24,10 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import pretokens
-from millrace.llm.common import U64, pieces_of, prefix_hash, span_hash, texts_of
+from millrace.llm.common import U64, pieces_of, prefix_hash, ragged, span_hash, texts_of
 
 FOLDS = 5
 BLOCK = 64
+#: Texts that are compared with the examples at a time.
+GROUP = 64
+#: Terms that more than one in COMMON examples have are multiplied as a matrix.
+COMMON = 16
 _lower: list[np.ndarray] = []
 
 
@@ -60,23 +66,27 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Terms (sorted hashes), their idf, examples' ids and labels, postings by term and example, and the calibration."""
+    """Terms (sorted hashes), their idf (times what the labels say of them), examples' ids and labels, postings by term and example, and the calibration."""
 
     terms: np.ndarray
     idf: np.ndarray
     ids: np.ndarray
     label: np.ndarray
-    pointer: np.ndarray  # [term, block] -> first posting of the block; one more column closes each row
+    cells: np.ndarray  # term -> its first cell; a cell is a term's postings within a block of examples. One more entry closes it
+    block: np.ndarray  # of each cell
+    start: np.ndarray  # cell -> its first posting; one more entry closes it
+    most: np.ndarray  # cell -> largest weight
     posting: np.ndarray  # example of each posting
     weight: np.ndarray
-    most: np.ndarray  # [term, block] -> largest weight
+    common: np.ndarray  # term -> its row in table, or -1
+    table: np.ndarray  # weights of the terms that very many examples have, by example
     k: int
     votes: np.ndarray
     chance: np.ndarray
     rest: float  # probability of texts without neighbours
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit TF-IDF vectors of texts over the terms, as (text, term, weight), by text."""
+        """Unit vectors of texts over the terms, as (text, term, weight), by text."""
         doc, term, tf = term_counts(texts, self.terms)
         return self.weighted(doc, term, tf, len(texts))
 
@@ -88,41 +98,52 @@ class Model:
     def neighbours(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest cosine for n texts, and these cosines (0 and -1: none). without: an example of each
         text to leave out."""
-        blocks = self.most.shape[1]
-        dense = np.zeros((n, len(self.terms)))
-        dense[doc, term] = weight
-        bound = dense @ self.most
-        order = np.argsort(-bound, axis=1, kind="stable")
-        best = np.zeros((n, self.k))
-        who = np.full((n, self.k), -1, np.int64)
-        first = np.searchsorted(doc, np.arange(n + 1))
-        live = np.arange(n)
-        for r in range(blocks):
-            block = order[live, r]
-            top = bound[live, block]
-            keep = (top > 0) & (top >= best[live, -1] - 1e-12)
-            live, block = live[keep], block[keep]
-            if not len(live):
-                break
-            # all postings of the texts' terms within their block
-            span = first[live + 1] - first[live]
-            row = np.repeat(np.arange(len(live)), span)
-            entry = np.concatenate([np.arange(a, b) for a, b in zip(first[live].tolist(), first[live + 1].tolist(), strict=True)])
-            a, b = self.pointer[term[entry], block[row]], self.pointer[term[entry], block[row] + 1]
-            size = b - a
-            at = np.arange(int(size.sum())) + np.repeat(a - (np.cumsum(size) - size), size)
-            cell = np.repeat(row, size) * BLOCK + self.posting[at] - np.repeat(block[row], size) * BLOCK
-            score = np.bincount(cell, np.repeat(weight[entry], size) * self.weight[at], len(live) * BLOCK).reshape(-1, BLOCK)
-            example = block[:, None] * BLOCK + np.arange(BLOCK)
-            if without is not None:
-                score[example == without[live][:, None]] = 0
-            score = np.round(score, 12)
-            all_scores = np.concatenate([best[live], score], axis=1)
-            all_who = np.concatenate([who[live], np.where(score > 0, example, -1)], axis=1)
-            rank = np.lexsort((np.where(all_who < 0, 1 << 40, all_who), -all_scores), axis=1)[:, : self.k]
-            best[live], who[live] = np.take_along_axis(all_scores, rank, 1), np.take_along_axis(all_who, rank, 1)
+        best, who = np.zeros((n, self.k)), np.full((n, self.k), -1, np.int64)
+        edge = np.searchsorted(doc, np.arange(0, n + GROUP, GROUP))
+        for a, start, end in zip(range(0, n, GROUP), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            b, part = min(n, a + GROUP), slice(start, end)
+            self._nearest(doc[part] - a, term[part], weight[part], best[a:b], who[a:b], None if without is None else without[a:b])
         return who, best
 
+    def _nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, best: np.ndarray, who: np.ndarray, without: np.ndarray | None) -> None:
+        n, size = len(best), len(self.ids)
+        blocks = -(-size // BLOCK)
+        score = np.zeros((n, blocks * BLOCK))
+        row = self.common[term]
+        many = row >= 0
+        query = np.zeros((n, len(self.table)))
+        query[doc[many], row[many]] = weight[many]
+        score[:, :size] = query @ self.table
+        few = np.flatnonzero(~many)
+        cells = self.cells[term[few] + 1] - self.cells[term[few]]
+        cell, entry = ragged(self.cells[term[few]], cells), np.repeat(few, cells)
+        at = doc[entry] * blocks + self.block[cell]
+        # no score in a block exceeds its best so far by more than the block's largest weights allow
+        bound = np.bincount(at, weight[entry] * self.most[cell], n * blocks).reshape(n, blocks) + score.reshape(n, blocks, BLOCK).max(axis=2)
+        least = self._least(score, without)
+        keep = (bound >= least[:, None] - 1e-11).reshape(-1)[at]
+        cell, entry = cell[keep], entry[keep]
+        held = self.start[cell + 1] - self.start[cell]
+        where = ragged(self.start[cell], held)
+        score += np.bincount(np.repeat(doc[entry] * (blocks * BLOCK), held) + self.posting[where], np.repeat(weight[entry], held) * self.weight[where], score.size).reshape(score.shape)
+        score = np.round(score, 12)
+        least = self._least(score, without)
+        text, example = np.nonzero((score >= least[:, None]) & (score > 0))
+        found = score[text, example]
+        order = np.lexsort((example, -found, text))
+        text, example, found = text[order], example[order], found[order]
+        rank = np.arange(len(text)) - np.searchsorted(text, text)
+        top = rank < self.k
+        best[text[top], rank[top]], who[text[top], rank[top]] = found[top], example[top]
+
+    def _least(self, score: np.ndarray, without: np.ndarray | None) -> np.ndarray:
+        """The k-th score of each row; what is to be left out becomes 0."""
+        if without is not None:
+            score[np.arange(len(score)), without] = 0
+        if score.shape[1] <= self.k:
+            return np.zeros(len(score))
+        return np.partition(score, -self.k, axis=1)[:, -self.k]
+
     def raw_votes(self, who: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """Share of the weight that votes for label 1; nan without neighbours."""
         w = np.where(who >= 0, cosine, 0)
@@ -169,8 +190,8 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([c / w for _, w, c in pools]), np.array([(s + prior) / (w + 1) for s, w, _ in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms: int = 1024, min_chi2: float = 60.0, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from labelled rows that aren't held out. What comes to the driver is bounded by max_examples and max_terms."""
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from labelled rows that aren't held out. What comes to the driver is bounded by the words of max_examples texts."""
     docs = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     usable = labels.select(F.col(id_col).cast("bigint").alias(id_col), F.col(label_col).cast("int").alias("label")).where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1) & ~held_out(id_col))
     drawn = usable.groupBy(id_col).agg(F.max("label").alias("label")).orderBy(F.xxhash64(id_col), id_col).limit(max_examples).toPandas()
@@ -178,23 +199,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms:
     few = docs.sparkSession.createDataFrame([(i,) for i in label_of], f"{id_col} bigint")
     sample = docs.join(F.broadcast(few), id_col, "left_semi").groupBy(id_col).agg(F.min(text_col).alias(text_col))
 
-    def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces_of(batch, text_col):
                 h, doc = words(texts_of(piece.column(text_col)))
-                label = np.array([label_of[i] for i in piece.column(id_col).to_pylist()], np.int64)
-                pair = np.unique(np.stack([h.view(np.int64), doc]), axis=1)
-                term, which = np.unique(pair[0], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.bincount(which, label[pair[1]], len(term)).astype(np.int64)), pa.array(np.bincount(which, minlength=len(term)))], names=["term", "ones", "n"])
-
-    n1, n_all = sum(label_of.values()), max(1, len(label_of))
-    share = n1 / n_all
-    expected, seen = F.col("n") * share, F.col("n") / n_all
-    chi = F.pow(F.col("ones") - expected, 2) / (n1 * seen * (1 - seen) + 1e-9)
-    stats = sample.mapInArrow(by_label, "term bigint, ones bigint, n bigint").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).where("n > 1")
-    terms = np.sort(stats.where(chi >= min_chi2).orderBy(chi.desc(), "term").limit(max_terms).select("term").toPandas()["term"].to_numpy(np.int64).view(U64))
+                parts = np.split(h, np.searchsorted(doc, np.arange(1, piece.num_rows)))
+                own = [np.unique(part, return_counts=True) for part in parts]
+                yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array([t.tobytes() for t, _ in own], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in own], pa.binary())], names=[id_col, "terms", "times"])
+
+    found = sample.mapInArrow(vectors, f"{id_col} bigint, terms binary, times binary").toArrow()
+    ids = found.column(id_col).to_numpy()
+    label_of = {i: label_of[i] for i in ids.tolist()}
+    times = [np.frombuffer(x, np.int32) for x in found.column("times").to_pylist()]
+    owner, tf = np.repeat(ids, [len(x) for x in times]), np.concatenate([np.empty(0, np.int32), *times])
+    terms, which = np.unique(np.frombuffer(b"".join(found.column("terms").to_pylist()), U64), return_inverse=True)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
         total, n = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             for piece in pieces_of(batch, text_col):
@@ -203,23 +225,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, max_terms:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["term", "n"])
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces_of(batch, text_col):
-                doc, term, tf = term_counts(texts_of(piece.column(text_col)), terms)
-                yield pa.RecordBatch.from_arrays([piece.column(id_col).take(pa.array(doc)), pa.array(term), pa.array(tf)], names=[id_col, "term", "tf"])
+    df = docs.select(text_col).mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(len(terms) + 1, np.int64)
+    count[df.column("term").to_numpy()] = df.column("n").to_numpy()
+    idf = np.log((1 + count[-1]) / (1 + count[:-1])) + 1
+    return _indexed(terms, idf * np.sqrt(1 + association(owner, which, len(terms), label_of)), owner, which, tf, label_of, k)
 
-    df = docs.select(text_col).mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
-    count = dict(zip(df["term"].tolist(), df["n"].tolist(), strict=True))
-    idf = np.log((1 + count.get(-1, 0)) / (1 + np.array([count.get(t, 0) for t in range(len(terms))], np.float64))) + 1
-    found = sample.mapInArrow(vectors, f"{id_col} bigint, term bigint, tf bigint").toPandas()
-    return _indexed(terms, idf, found[id_col].to_numpy(), found["term"].to_numpy(), found["tf"].to_numpy(), label_of, k)
+
+def association(owner: np.ndarray, term: np.ndarray, n: int, label_of: dict[int, int]) -> np.ndarray:
+    """Chi-square of each of n terms with the label, from the terms (once each) of the examples."""
+    ids, whose = np.unique(owner, return_inverse=True)
+    label = np.array([label_of[i] for i in ids.tolist()], np.float64)[whose]
+    n1, n_all = sum(label_of.values()), max(1, len(label_of))
+    seen = np.bincount(term, minlength=n) / n_all
+    spread = n1 * (1 - n1 / n_all) * seen * (1 - seen)
+    return np.where(spread > 0, (np.bincount(term, label, n) - n1 * seen) ** 2 / np.maximum(spread, 1e-9), 0)
 
 
 def _indexed(terms: np.ndarray, idf: np.ndarray, owner: np.ndarray, term: np.ndarray, tf: np.ndarray, label_of: dict[int, int], k: int) -> Model:
     """The index over examples that have any term, and the calibration by their leave-one-out votes."""
     ids, doc = np.unique(owner, return_inverse=True)
-    model = Model(terms, idf, ids, np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0), np.zeros((0, 0)), k, np.zeros(1), np.zeros(1), 0.0)
+    none, whole = np.zeros(0), np.zeros(0, np.int64)
+    model = Model(terms, idf, ids, none, whole, whole, whole, none, whole, none, whole, np.zeros((0, 0)), k, np.zeros(1), np.zeros(1), 0.0)
     bare = [v for i, v in label_of.items() if i not in set(ids.tolist())]
     model.rest = (sum(bare) + 0.5 * bool(label_of)) / (len(bare) + 2) if label_of else 0.0
     if not len(ids):
@@ -237,11 +264,16 @@ def _indexed(terms: np.ndarray, idf: np.ndarray, owner: np.ndarray, term: np.nda
     blocks = -(-len(ids) // BLOCK)
     by_term = np.lexsort((doc, term))
     model.posting, model.weight = doc[by_term], w[by_term]
-    cell = term[by_term] * blocks + model.posting // BLOCK
-    start = np.searchsorted(cell, np.arange(len(terms) * blocks + 1))
-    model.pointer = np.concatenate([start[:-1].reshape(len(terms), blocks), start[blocks::blocks][:, None]], axis=1)
-    model.most = np.zeros((len(terms), blocks))
-    np.maximum.at(model.most.reshape(-1), cell, model.weight)
+    cell, model.start = np.unique(term[by_term] * blocks + model.posting // BLOCK, return_index=True)
+    model.most = np.maximum.reduceat(model.weight, model.start)
+    model.start = np.append(model.start, len(model.posting))
+    model.cells, model.block = np.searchsorted(cell, np.arange(len(terms) + 1) * blocks), cell % blocks
+    often = np.flatnonzero(np.bincount(term, minlength=len(terms)) > len(ids) // COMMON)
+    model.common = np.full(len(terms), -1)
+    model.common[often] = np.arange(len(often))
+    model.table = np.zeros((len(often), len(ids)))
+    held = model.common[term] >= 0
+    model.table[model.common[term[held]], doc[held]] = w[held]
     by_doc = np.lexsort((term, doc))
     d, t, v = doc[by_doc], term[by_doc], w[by_doc]
     votes = np.empty(len(ids))

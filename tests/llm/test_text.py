@@ -128,6 +128,19 @@ def test_toxicity_held_out(spark):
     assert right.mean() > 0.96 and right[got["toxic"] == 1].mean() > 0.8
 
 
+@pytest.mark.parametrize("sf, least", [("sf0.001", 0.9), ("sf0.01", 0.8)])
+def test_toxicity_of_few_labels(spark, sf, least):
+    d = f"/root/testdata/{sf}"
+    docs, labels = (spark.read.parquet(f"{d}/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    text = {r.doc_id: r.text or "" for r in docs.join(labels, "doc_id").collect()}
+    known = toxicity.words([text[i] for i in model.ids.tolist()])[0]
+    assert np.array_equal(np.unique(known), model.terms)  # every word of the examples
+    got = toxicity.score(docs, model).join(labels, "doc_id").where("held_out").select("toxic", "predicted").toPandas()
+    right = got["toxic"] == got["predicted"]
+    assert right.mean() > 0.94 and right[got["toxic"] == 1].mean() >= least
+
+
 def test_leaks(spark, docs, empty):
     rng = np.random.default_rng(8)
     w = lambda n: [f"v{'abcdefghijklmnop'[a]}{'qrstuvwxyz'[b]}{'aeiou'[c]}" for a, b, c in zip(rng.integers(0, 16, n), rng.integers(0, 10, n), rng.integers(0, 5, n), strict=True)]
