@@ -4,8 +4,8 @@ Benchmark items are passages of words (runs of letters, in lower case), weighted
 counted over all documents. A distributed randomised SVD of the items' matrix gives the latent space: tasks hold some rows
 each and send sums of their products with a narrow random matrix. (The space is that of the items, as the leading
 directions of the corpus are those of its commonest words and would lose what tells items apart.) Documents are cut
-into overlapping windows; a window whose latent cosine with an item is `min_cosine` or more is a candidate. Of candidates
-the longest common subsequence of the item's words with the words around the window decides: `min_overlap` of the item's
+into overlapping windows; a window whose latent cosine with an item is `min_cosine` or more is a candidate; windows without any word of the items have none. Of
+candidates that have enough of the item's words around them at all, the longest common subsequence of the item's words with the words around the window decides: `min_overlap` of the item's
 words in order make a leak; with `min_paraphrase`, which a rewording may leave, the item's answer (its last sentence, or
 the last quarter of its words if there is one sentence) must be there to min_overlap as well.
 
@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, pieces_of, ragged, texts_of
+from millrace.llm.common import U64, mixed, pieces_of, ragged, texts_of
 from millrace.llm.toxicity import words
 
 #: Words of a window, which starts every HALF words.
 WINDOW = 32
 HALF = WINDOW // 2
+#: Bits of the hash of an item and a term.
+PAIR_BITS = 24
 #: Items that a task holds at a time.
 SLICE = 4096
 
@@ -47,7 +49,6 @@ class Index:
     idf: np.ndarray
     space: np.ndarray  # term -> latent coordinates
     items: np.ndarray  # unit latent vectors of the items
-    least_energy: float
 
 
 def _answer(text: str) -> str:
@@ -158,9 +159,6 @@ def index(docs: DataFrame, items: DataFrame, rank: int = 256, id_col: str = "ite
     np.add.at(latent, r, w[:, None] * space[t])
     norm = np.sqrt((latent**2).sum(axis=1))
     full = full[norm[full] > 0]
-    # what part of an item a window holds at least, in squared weight
-    at = np.searchsorted(terms, h)
-    energy = np.bincount(row, idf[at] ** 2, len(texts)) * np.minimum(1.0, HALF / np.maximum(1, np.bincount(row, minlength=len(texts))))
     return Index(
         [int(x) if x == x and x is not None else None for x in rows["id"].iloc[full].tolist()],
         [cut[i] for i in full],
@@ -169,7 +167,6 @@ def index(docs: DataFrame, items: DataFrame, rank: int = 256, id_col: str = "ite
         idf,
         space.astype(np.float32),
         (latent[full] / norm[full][:, None]).astype(np.float32),
-        float(energy[full].min()),
     )
 
 
@@ -193,7 +190,8 @@ def _masks(row: np.ndarray) -> dict[int, int]:
 
 
 def _candidates(index: Index, texts: list[str], min_cosine: float) -> tuple[np.ndarray, ...]:
-    """(window's first half-block, item) of candidates, the half-blocks' first words and texts, the words' hashes, and words per text."""
+    """(window's first half-block, item) of candidates, the half-blocks' first words and texts, the words' hashes, words per
+    text, and places and numbers of the words that are terms."""
     term, _, (h, doc, place) = _known(texts, index.terms)
     count = np.bincount(doc, minlength=len(texts))
     halves = -(-count // HALF)
@@ -204,14 +202,14 @@ def _candidates(index: Index, texts: list[str], min_cosine: float) -> tuple[np.n
     starts = np.repeat(first_word, halves) + HALF * (np.arange(total) - np.repeat(first_half, halves))
     owner = np.repeat(np.arange(len(texts)), halves)
     weight = index.idf[term]
-    energy = np.bincount(block, weight**2, total)
+    known = np.bincount(block, minlength=total)
     joined = np.zeros(total, bool)  # whether the next half-block is of the same text
     joined[:-1] = owner[1:] == owner[:-1]
-    both = energy + np.where(joined, np.append(energy[1:], 0), 0)
-    live = np.flatnonzero(both >= 0.9 * index.least_energy)
+    # a window without any word of the items has no cosine
+    live = np.flatnonzero(known + np.where(joined, np.append(known[1:], 0), 0))
     none = np.empty(0, np.int64)
     if not len(live):
-        return none, none, starts, owner, h, count
+        return none, none, starts, owner, h, count, place, term
     edge = np.searchsorted(block, np.arange(total + 1))
     need = np.unique(np.concatenate([live, live[joined[live]] + 1]))
     size = edge[need + 1] - edge[need]
@@ -236,7 +234,30 @@ def _candidates(index: Index, texts: list[str], min_cosine: float) -> tuple[np.n
         w, i = np.nonzero(cosine >= min_cosine * np.maximum(norm, 1e-20)[:, None])
         out_w.append(live[a + w])
         out_i.append(i)
-    return np.concatenate(out_w), np.concatenate(out_i), starts, owner, h, count
+    return np.concatenate(out_w), np.concatenate(out_i), starts, owner, h, count, place, term
+
+
+def _pair_bits(index: Index) -> np.ndarray:
+    """Whether an item has a term, by a hash of both; it may say yes wrongly, never no."""
+    out = np.zeros(1 << PAIR_BITS, bool)
+    for i, row in enumerate(index.item_words):
+        out[_pair(i, np.searchsorted(index.terms, row))] = True
+    return out
+
+
+def _pair(item: np.ndarray | int, term: np.ndarray) -> np.ndarray:
+    return mixed((np.asarray(item, U64) << U64(32)) + term.astype(U64)) >> U64(64 - PAIR_BITS)
+
+
+def _shared_words(bits: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, place: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """How many words between places low and high the item has too, at most; no common subsequence is longer."""
+    first, last = np.searchsorted(place, low), np.searchsorted(place, high)
+    out = np.zeros(len(item), np.int64)
+    for a in range(0, len(item), 8192):
+        size = (last - first)[a : a + 8192]
+        hit = bits[_pair(np.repeat(item[a : a + 8192], size), term[ragged(first[a : a + 8192], size)])]
+        out[a : a + 8192] = np.bincount(np.repeat(np.arange(len(size)), size), hit, len(size))
+    return out
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, min_overlap: float = 0.8, min_paraphrase: float = 0.65, rank: int = 256, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -259,17 +280,21 @@ def _search(shared, min_cosine: float, min_overlap: float, min_paraphrase: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         masks = [(_masks(w), len(w), _masks(a), len(a)) for w, a in zip(index.item_words, index.answers, strict=True)]
+        bits, sizes = _pair_bits(index), np.array([len(w) for w in index.item_words])
         memo: dict[tuple[bytes, int], float] = {}
         for batch in batches:
             for piece in pieces_of(batch, text_col):
                 texts = texts_of(piece.column(text_col))
-                window, item, starts, owner, h, count = _candidates(index, texts, min_cosine)
+                window, item, starts, owner, h, count, place, term = _candidates(index, texts, min_cosine)
                 ends = np.cumsum(count)
+                doc = owner[window]
+                low = np.maximum((ends - count)[doc], starts[window] - sizes[item])
+                high = np.minimum(ends[doc], starts[window] + WINDOW + sizes[item])
+                keep = _shared_words(bits, low, high, item, place, term) / sizes[item] >= min_paraphrase
                 best: dict[tuple[int, int], float] = {}
-                for w, i, d in zip(window.tolist(), item.tolist(), owner[window].tolist(), strict=True):
+                for i, d, a, b in zip(*(x[keep].tolist() for x in (item, doc, low, high)), strict=True):
                     own, size, answer, answer_size = masks[i]
-                    low = max(int(ends[d - 1]) if d else 0, int(starts[w]) - size)
-                    row = h[low : min(int(ends[d]), int(starts[w]) + WINDOW + size)]
+                    row = h[a:b]
                     key = (row.tobytes(), i)
                     if key not in memo:
                         if len(memo) > 20_000:

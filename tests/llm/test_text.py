@@ -167,6 +167,22 @@ def test_leaks(spark, docs, empty):
     assert decontaminate.leaks(docs, bench).count() == 0
 
 
+def test_leaks_without_an_items_rare_words(spark):
+    rng = np.random.default_rng(10)
+    name = lambda prefix, k: prefix + "abcdefghij"[k // 10] + "klmnopqrst"[k % 10]
+    common = [name("c", k) for k in range(48)]
+    item = [[name("r", 4 * i + k // 5) if k % 5 == 4 else common[16 * i + k - k // 5] for k in range(20)] for i in range(3)]
+    other = lambda n: [name("f", int(k)) for k in rng.integers(0, 100, n)]
+    rows = [(d, " ".join(rng.permutation([*rng.choice(common, 8, replace=False), *other(40)]))) for d in range(200)]
+    for i, x in enumerate(item):
+        kept = ["reworded" if w[0] == "r" else w for w in x]
+        rows += [(1000 + i, " ".join(kept)), (2000 + i, " ".join([*other(200), *kept, *other(200)]))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = decontaminate.leaks(df, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(item)], "item_id bigint, text string"))
+    got = {(r.doc_id, r.item_id): r.overlap for r in found.collect()}
+    assert got == {(1000 * k + i, i): 0.8 for k in (1, 2) for i in range(3)}
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(9)
     for _ in range(50):
