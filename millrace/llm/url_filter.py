@@ -4,7 +4,7 @@ Names of hosts run words together (cheappills, spam-farm). A unigram model split
 dictionary of words common in host names, whose counts come from all pages; what no word covers stays as unknown
 runs, dearer with every letter. Multinomial naive Bayes then scores the words of host and path. It learns from all
 pages: those whose host holds a seed word of blocked sites are its one class, the rest the other, so words that keep such
-company count too.
+company count too. The odds of the most frequent words are broadcast, those of all others joined to the pages that have them.
 
 A null url, or one without "://", has an empty host and path, no rule, and is allowed. Only A-Z are lower-cased.
 The longest rule that fits wins (of equally long ones the first given). Repeated rows are judged one by one; long urls are
@@ -17,13 +17,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from string import ascii_lowercase, ascii_uppercase
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import saved
+
 #: Words of hosts that mark blocked sites.
 SEEDS = frozenset("casino pills bets spam ads porn xxx viagra gambling lottery malware phishing warez escort poker slots".split())
 #: Words that host names are split into.
@@ -128,19 +130,18 @@ class Segmenter:
 @dataclass
 class Model:
     segment: Segmenter
-    odds: dict[str, float]
+    odds: dict[str, float]  # of the most frequent words
     prior: float
+    rest: DataFrame | None = None  # word, odds: of all words, if odds doesn't hold them all
 
-    def score(self, host: str, path: str) -> float:
-        """Log odds that the site is one to block."""
-        return self.prior + sum(self.odds.get(w, 0.0) for w in self.segment.words(host, path))
-
-
-_PARTS = "host string, path string"
+    def score(self, words: list[str]) -> float:
+        """Log odds that the site is one to block, as far as the most frequent words tell."""
+        return self.prior + sum(self.odds.get(w, 0.0) for w in words)
 
 
 def fit(pages: DataFrame, max_words: int = 4096, url_col: str = "url") -> Model:
-    """Counts over all pages. What comes to the driver is bounded by the dictionary and by max_words (the most frequent)."""
+    """Counts over all pages and words. What comes to the driver is bounded by the dictionary and by max_words (the most
+    frequent); the odds of the others stay a table."""
     host, path = host_and_path(url_col)
     parts = pages.select(F.col(url_col).cast("string").alias(url_col)).select(host.alias("host"), path.alias("path"))
     known = frozenset(DICTIONARY)
@@ -170,13 +171,19 @@ def fit(pages: DataFrame, max_words: int = 4096, url_col: str = "url") -> Model:
                     count.clear()
         yield _rows(count)
 
-    rows = parts.mapInArrow(by_class, "word string, blocked boolean, n bigint").groupBy("word").agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("ones"), F.sum("n").alias("n"))
-    pages_of = rows.where("word is null").collect()
-    words = rows.where("word is not null").orderBy(F.desc("n"), "word").limit(max_words).collect()
-    ones, n = (pages_of[0].ones, pages_of[0].n) if pages_of else (0, 0)
-    total1, total0 = sum(r.ones for r in words) + len(words), sum(r.n - r.ones for r in words) + len(words)
-    odds = {r.word: math.log((r.ones + 1) / total1) - math.log((r.n - r.ones + 1) / total0) for r in words}
-    return Model(segment, odds, math.log((ones + 1) / (n - ones + 1)) if n else -1.0)
+    n, ones = F.sum("n").alias("n"), F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("ones")
+    rows = saved(parts.mapInArrow(by_class, "word string, blocked boolean, n bigint").groupBy("word").agg(ones, n), "url_words")
+    totals = {r.is_page: r for r in rows.groupBy(F.col("word").isNull().alias("is_page")).agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    pages_of, all_of = totals.get(True), totals.get(False)
+    prior = math.log((pages_of.ones + 1) / (pages_of.n - pages_of.ones + 1)) if pages_of else -1.0
+    if not all_of:
+        return Model(segment, {}, prior)
+    total1, total0 = all_of.ones + all_of.words, all_of.n - all_of.ones + all_of.words
+    rows = rows.where("word is not null")
+    few = rows.orderBy(F.desc("n"), "word").limit(max_words).collect()
+    odds = {r.word: math.log((r.ones + 1) / total1) - math.log((r.n - r.ones + 1) / total0) for r in few}
+    table = rows.select("word", (F.log((F.col("ones") + 1) / F.lit(total1)) - F.log((F.col("n") - F.col("ones") + 1) / F.lit(total0))).alias("odds"))
+    return Model(segment, odds, prior, table if all_of.words > len(few) else None)
 
 
 def _rows(count: Counter) -> pa.RecordBatch:
@@ -185,19 +192,34 @@ def _rows(count: Counter) -> pa.RecordBatch:
 
 def judge(pages: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row: id, host, path, rule (null if none fits), verdict (block or allow), score (log odds to block), words."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast(replace(model, rest=None))
     parts = pages.select(F.col(id_col).cast("bigint").alias(id_col), F.col(url_col).cast("string").alias(url_col))
     host, path = host_and_path(url_col)
     parts = parts.select(id_col, host.alias("host"), path.alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
         for batch in batches:
             pairs = list(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True))
-            score = [shared.value.score(*p) if p[0] else 0.0 for p in pairs]
-            words = [shared.value.segment.words(*p) for p in pairs]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array(words, pa.list_(pa.string()))], names=[*batch.schema.names, "score", "words"])
-
-    scored = parts.mapInArrow(run, f"{id_col} bigint, host string, path string, score double, words array<string>")
+            words = [model.segment.words(*p) for p in pairs]
+            score = [model.score(w) if p[0] else 0.0 for p, w in zip(pairs, words, strict=True)]
+            rare = [[x for x in w if x not in model.odds] if p[0] else [] for p, w in zip(pairs, words, strict=True)]
+            columns = [*batch.columns, pa.array(score, pa.float64()), pa.array(words, pa.list_(pa.string())), pa.array(rare, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "score", "words", "rare"])
+
+    scored = parts.mapInArrow(run, f"{id_col} bigint, host string, path string, score double, words array<string>, rare array<string>")
+    if model.rest is not None:
+        scored = _with_rare(scored, model.rest)
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     by_score = F.when(F.col("score") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return scored.select(id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, by_score).alias("verdict"), "score", "words")
+
+
+def _with_rare(scored: DataFrame, odds: DataFrame) -> DataFrame:
+    """Adds the odds of the words that the model doesn't hold. Rows are joined by host and path and words by themselves, and a
+    word outside the model's is no more frequent than any of the model's, so no key has a large share of the rows."""
+    some = F.size("rare") > 0
+    words = scored.where(some).groupBy("host", "path").agg(F.first("rare").alias("rare")).select("host", "path", F.explode("rare").alias("word"))
+    more = words.join(odds, "word").groupBy("host", "path").agg(F.sum("odds").alias("more"))
+    joined = scored.where(some).join(more, ["host", "path"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    return scored.where(~some).unionByName(joined.select(scored.columns))

@@ -77,6 +77,15 @@ def test_segments_and_bayes(spark):
     assert [got[k] for k in range(8)] == ["block"] * 3 + ["allow"] * 5 and got[999] == "block"  # bonus keeps casino's company
 
 
+def test_rare_words_count(spark):
+    rows = [(k, f"http://{h}.com/en/{k}") for k, h in enumerate(["weather", "citynews", "blog", "garden", "books", "music"] * 40)]
+    rows += [(1000, "http://warez.com/qqq"), (1000, "http://warez.com/qqq"), (1001, "http://warez.com/zzz/yyy/qqq"), (1002, "http://plain.com/zzz"), (1003, None), (1004, "http://plain.com/unseen")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    got, want = (sorted((r.page_id, r.verdict, round(r.score, 9)) for r in url_filter.judge(df, url_filter.fit(df, max_words=m)).collect()) for m in (8, 4096))
+    assert got == want and len(got) == len(rows)
+    assert [v for k, v, _ in got if k in (1000, 1001)] == ["block"] * 3
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(4)
     n, t = 500, 40
