@@ -1,10 +1,9 @@
-"""Line deduplication by winnowing over line hashes; DataFrame functions only.
+"""Line deduplication by windows of line hashes; DataFrame functions only.
 
 A window is the least run of lines, from some line on or up to some line, that holds `min_words` words or more; blank
-lines don't count. Windows of both kinds together cover every run of min_words words to its ends. Of each
-window the least line hash is its fingerprint, so any two equal runs of at least min_words words share a
-fingerprint at the same place in both. Fingerprints are grouped with what extends them to both sides, the hash of the whole
-window: of equal windows the earliest stays (by id, then line), later ones mark all their lines, and
+lines don't count. Windows of both kinds together cover every run of min_words words to its ends. All windows
+are grouped by the hash of their whole content, in place of winnowing: their least line hash is a part of the key, but selects
+nothing. Of equal windows the earliest stays (by id, then line), later ones mark all their lines, and
 overlapping marks grow together to the longest repeated run. No pairs are made: a passage that a third of all documents
 share is one group, aggregated before the shuffle.
 
