@@ -30,8 +30,9 @@ from millrace.llm.common import U64, pieces_of, prefix_hash, ragged, span_hash,
 
 FOLDS = 5
 BLOCK = 64
-#: Texts that are compared with the examples at a time.
+#: Texts that are compared with the examples at a time, and their words (those of one text at least).
 GROUP = 64
+ENTRIES = 4096
 #: Terms that more than one in COMMON examples have are multiplied as a matrix.
 COMMON = 16
 _lower: list[np.ndarray] = []
@@ -99,10 +100,13 @@ class Model:
         """The k examples of the largest cosine for n texts, and these cosines (0 and -1: none). without: an example of each
         text to leave out."""
         best, who = np.zeros((n, self.k)), np.full((n, self.k), -1, np.int64)
-        edge = np.searchsorted(doc, np.arange(0, n + GROUP, GROUP))
-        for a, start, end in zip(range(0, n, GROUP), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            b, part = min(n, a + GROUP), slice(start, end)
+        edge = np.searchsorted(doc, np.arange(n + 1))
+        a = 0
+        while a < n:
+            b = max(a + 1, min(n, a + GROUP, int(np.searchsorted(edge, edge[a] + ENTRIES, side="right")) - 1))
+            part = slice(edge[a], edge[b])
             self._nearest(doc[part] - a, term[part], weight[part], best[a:b], who[a:b], None if without is None else without[a:b])
+            a = b
         return who, best
 
     def _nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, best: np.ndarray, who: np.ndarray, without: np.ndarray | None) -> None:
@@ -263,11 +267,11 @@ def _indexed(terms: np.ndarray, idf: np.ndarray, owner: np.ndarray, term: np.nda
     model.label = np.array([label_of[i] for i in model.ids.tolist()], np.float64)
     blocks = -(-len(ids) // BLOCK)
     by_term = np.lexsort((doc, term))
-    model.posting, model.weight = doc[by_term], w[by_term]
+    model.posting, model.weight = doc[by_term].astype(np.int32), w[by_term]
     cell, model.start = np.unique(term[by_term] * blocks + model.posting // BLOCK, return_index=True)
     model.most = np.maximum.reduceat(model.weight, model.start)
-    model.start = np.append(model.start, len(model.posting))
-    model.cells, model.block = np.searchsorted(cell, np.arange(len(terms) + 1) * blocks), cell % blocks
+    model.start = np.append(model.start, len(model.posting)).astype(np.int32)
+    model.cells, model.block = np.searchsorted(cell, np.arange(len(terms) + 1) * blocks), (cell % blocks).astype(np.int32)
     often = np.flatnonzero(np.bincount(term, minlength=len(terms)) > len(ids) // COMMON)
     model.common = np.full(len(terms), -1)
     model.common[often] = np.arange(len(often))
