@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +75,49 @@ def pieces_of(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTE
         start = stop
 
 
+def parts_of(texts: list[str], edge: re.Pattern, limit: int = CHUNK_BYTES // 2) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The texts in groups of about `limit` characters, with each one's number; longer texts are cut before matches of `edge`, so that
+    temporaries stay bounded whatever a text's length (a run without any such place stays whole)."""
+    owner, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        a = 0
+        while True:
+            b = len(text)
+            if b - a > limit and (m := edge.search(text, a + limit)):
+                b = m.start()
+            owner.append(k)
+            held.append(text[a:b] if a or b < len(text) else text)
+            size += b - a
+            if size >= limit:
+                yield np.array(owner, np.int64), held
+                owner, held, size = [], [], 0
+            if b >= len(text):
+                break
+            a = b
+    if held:
+        yield np.array(owner, np.int64), held
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a task which, when the task ends, gives the memory it freed back to the system: Python workers
+    outlive their tasks, and what they hold adds up over the stages of a job."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            del _powers[:], _symbols[:]
+            _powers.extend([np.ones(1, U64), np.ones(1, U64)])
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return task
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalising mix of 64-bit values (splitmix)."""
     x = x.astype(U64, copy=True)

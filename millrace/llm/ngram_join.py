@@ -1,60 +1,73 @@
-"""N-gram Jaccard self-join over count vectors with R-tree bounds, exact and without quadratic groups.
+"""N-gram Jaccard self-join by R-trees over count vectors, exact and without quadratic groups.
 
 A text's set holds its distinct n-word shingles. Tokens (shingles) are hashed into groups; the counts of a set's groups are
 a point. The summed coordinate minima of two points bound the sets' overlap from above, and so do those of a point and the upper
-corner of a box: an R-tree of points skips whole boxes that can't reach the threshold. Pairs that survive are verified
-on the sets.
+corner of a box: an R-tree of points skips whole boxes that can't reach the threshold. All candidates come from R-trees,
+and pairs that survive are verified on the sets.
 
-To find pairs on many machines, coordinates are cut into blocks. Two linked sets differ in at most d places, so of
-d + 1 blocks one has equal counts in both; an equi-join on (block, counts of the block) loses no link. d follows
-from the sizes: sets are banded by size so that linked sets lie in the same band or in neighbouring ones, and a
-set joins in both (see Bands). Blocks that are empty count only where too few others are left.
+Blocks only deal the work to machines: two linked sets differ in at most d places, so of d + 1 blocks of token groups one has
+equal counts in both, and sets with an equal block share a bucket, without loss of a link. d follows from the sizes: sets are
+banded by size so that linked sets lie in the same band or in neighbouring ones, and a set joins in both (see Bands).
+Blocks that are empty count only where too few others are left.
 
 Equal sets are one class from the start (a class is known by the 64-bit sum of its mixed shingle hashes), so copies are never paired.
-In each bucket of equal blocks only pairs with its pivot are verified first; after that most buckets lie within
-one component and are done. What remains of small buckets is paired directly, what remains of large ones goes through
-R-trees, in pieces of bounded size. Keys that a sample of the classes shows to be frequent never meet in one
-task: they are paired with their pivots by joins that Spark can split. The sample only steers this; the result is exact.
+Buckets come in pieces of bounded size, and each piece has an R-tree of its classes' points. First, centres chosen one after the
+other ask the tree, until every class of the piece has been met or has asked: at most two pairs per class. Their links make
+components. Then, in buckets that still hold several components, every class asks the trees of its bucket's pieces for classes of other
+components; nodes within its own component are skipped. Keys that many classes of one task share are
+gathered into a piece on the spot, and only one class of it goes on to the exchange, so no key is gathered whole anywhere.
 
 Words are what lies between blanks, tabs, line feeds, vertical tabs, form feeds and carriage returns, with A-Z in lower case.
 Texts of fewer than n words have their whole sequence as one shingle; null texts and texts without words have an empty set and are
-linked with nothing. Texts are read whole. Rows without an id take no part in links and have no component. Rows that repeat
+linked with nothing. Texts are read whole, very long ones in parts. Rows without an id take no part in links and have no component. Rows that repeat
 an id are each judged by their own text. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, mixed, pieces_of, prefix_hash, ragged, saved, shuffle_parts, span_hash, texts_of
+from millrace.llm.common import U64, lean, mixed, parts_of, pieces_of, prefix_hash, ragged, saved, shuffle_parts, span_hash, texts_of
 
-#: Coordinates of points; R-trees hold them coarser, each COARSE of them summed.
-POINT = 256
+#: Coordinates of points; boxes above an R-tree's leaves hold them coarser, each COARSE of them summed.
+POINT = 128
 COARSE = 4
+#: Rows or nodes below a node.
+FAN = 16
 #: Token groups within each block.
 GROUPS = 1 << 16
-#: Buckets up to this size are paired directly where pivots leave something open.
-SMALL = 32
-#: Rows of a large bucket that one task holds at a time, on either side.
+#: Classes of a piece of a bucket, at most.
 PIECE = 2048
-#: One of so many classes is looked at to find frequent keys.
-SAMPLE = 64
-#: Frequent keys at most (they are broadcast: 8 bytes each).
-FREQUENT = 1 << 20
-
+#: Keys that a task gathers before it deals them out, and keys that one task receives on average.
+CHUNK = 1 << 20
+#: Classes of one key within a chunk that make a piece on the spot.
+LOCAL = 64
+#: Bits of the map that spares shuffling sets that aren't asked for.
+MAP_BITS = 26
+
+#: Where long texts may be cut.
+BLANKS = re.compile(r"[ \t-\r]")
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 10, 11, 12, 13, 32]] = 1
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, one after the other, and words per text."""
+    found = [(owner, *_words(part)) for owner, part in parts_of(texts, BLANKS)]
+    count = np.zeros(len(texts), np.int64)
+    for owner, _, n in found:
+        np.add.at(count, owner, n)
+    return np.concatenate([np.empty(0, U64), *(h for _, h, _ in found)]), count
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"\n".join([t.encode("utf-8", "surrogatepass") for t in texts] + [b""]), np.uint8)
     raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
     blank = np.ones(len(raw) + 1, np.int8)
@@ -172,228 +185,284 @@ def block_keys(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarr
 def points(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Counts of POINT token groups per set."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    return np.bincount(owner * POINT + (h >> U64(56)).astype(np.int64), minlength=len(sizes) * POINT).reshape(-1, POINT)
+    return np.bincount(owner * POINT + (h >> U64(57)).astype(np.int64), minlength=len(sizes) * POINT).reshape(-1, POINT)
+
+
+def _point_bytes(p: np.ndarray) -> list[bytes]:
+    """Points as bytes: 1, 2 or 4 per coordinate, as the largest needs."""
+    most = p.max(axis=1, initial=0)
+    return [x.astype("u1" if m < 1 << 8 else "<u2" if m < 1 << 16 else "<u4").tobytes() for x, m in zip(p, most.tolist(), strict=True)]
 
 
 def _points(column) -> np.ndarray:
-    """Points from their bytes: 2 per coordinate, 4 in very large sets."""
-    flat = [np.frombuffer(x, "<u2" if len(x) == 2 * POINT else "<u4") for x in column]
-    return np.array(flat, np.int64).reshape(-1, POINT)
-
-
-class RTree:
-    """Points in nested boxes, packed in order of size and then of their largest coordinates' spread."""
-
-    def __init__(self, rows: np.ndarray, fan: int = 16):
-        order = np.arange(len(rows))
-        size = rows.sum(axis=1)
-        todo = [(0, len(rows))]
-        leaves = []
-        while todo:
-            a, b = todo.pop()
-            if b - a <= fan:
-                leaves.append((a, b))
-                continue
-            part = rows[order[a:b]]
-            spread = part.max(axis=0) - part.min(axis=0)
-            by = size[order[a:b]] if np.ptp(size[order[a:b]]) > spread.max() else part[:, int(spread.argmax())]
-            mid = (b - a) // 2
-            order[a:b] = order[a:b][np.argpartition(by, mid)]
-            todo += [(a, a + mid), (a + mid, b)]
-        leaves.sort()
-        self.order, self.rows = order, rows[order]
-        self.fine = self.rows
-        self.rows = self.rows.reshape(len(rows), -1, COARSE).sum(axis=2)
-        self.levels = [np.array(leaves, np.int64)]  # spans of rows, then of nodes of the level below
-        self.upper = [np.array([self.rows[a:b].max(axis=0) for a, b in leaves])]
-        self.least = [np.array([self.rows[a:b].sum(axis=1).min() for a, b in leaves])]
-        while len(self.levels[-1]) > 1:
-            n = len(self.levels[-1])
-            spans = np.array([(a, min(n, a + fan)) for a in range(0, n, fan)], np.int64)
-            self.levels.append(spans)
-            self.upper.append(np.array([self.upper[-1][a:b].max(axis=0) for a, b in spans]))
-            self.least.append(np.array([self.least[-1][a:b].min() for a, b in spans]))
-
-    def reach(self, point: np.ndarray, bands: Bands) -> np.ndarray:
-        """Rows whose bound lets them be linked with the point."""
-        size = int(point.sum())
-        fine, point = point, point.reshape(-1, COARSE).sum(axis=1)
-        nodes = np.arange(len(self.levels[-1]))
-        for level in range(len(self.levels) - 1, -1, -1):
-            most = np.minimum(self.upper[level][nodes], point).sum(axis=1)
+    """Points from their bytes."""
+    kinds = {POINT: "u1", 2 * POINT: "<u2", 4 * POINT: "<u4"}
+    out = np.empty((len(column), POINT), np.int32)
+    for k, x in enumerate(column):
+        out[k] = np.frombuffer(x, kinds[len(x)])
+    return out
+
+
+class Forest:
+    """An R-tree for each group of points, in shared arrays.
+
+    A level's node spans FAN nodes of the level below (rows at the lowest), all of its group, and holds the upper corner of their
+    box, the least and the largest size, and the least and the largest component below.
+    """
+
+    def __init__(self, points: np.ndarray, group: np.ndarray, component: np.ndarray, bands: Bands):
+        """group: numbers from 0 on without gaps, in any order; component: what a row belongs to, for queries that skip their own."""
+        self.bands = bands
+        size = points.sum(axis=1, dtype=np.int64)
+        # near points lie side by side: by component, size, and place along a fixed direction
+        direction = (mixed(np.arange(POINT, dtype=U64)) >> U64(40)).astype(np.float64)
+        self.order = np.lexsort((points @ direction, size, component, group))
+        self.points, self.component = points[self.order], component[self.order]
+        self.group = group[self.order]
+        coarse = self.points.reshape(len(points), -1, COARSE).sum(axis=2, dtype=np.int32)
+        level = (coarse, size[self.order], size[self.order], self.component, self.component, self.group)
+        self.levels, self.first = [level], []
+        while True:
+            owner = level[5]
+            start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, np.int64)
+            rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.append(start, len(owner))))
+            cut = np.flatnonzero(rank % FAN == 0)
+            self.first.append(np.append(cut, len(owner)))
+            if not len(cut):
+                break
+            level = (np.maximum.reduceat(level[0], cut), np.minimum.reduceat(level[1], cut), np.maximum.reduceat(level[2], cut), np.minimum.reduceat(level[3], cut), np.maximum.reduceat(level[4], cut), owner[cut])
+            self.levels.append(level)
+            if len(cut) == len(start):
+                break
+
+    def reach(self, points: np.ndarray, group: np.ndarray, component: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all rows of the queries' groups whose bound lets them be linked with the query; with component,
+        only rows of other components. Rows are numbered as given at the start."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        step = 256
+        for a in range(0, len(points), step):
+            own = None if component is None else component[a : a + step]
+            q, row = self._reach(points[a : a + step], group[a : a + step], own)
+            out.append((a + q, self.order[row]))
+        return np.concatenate([q for q, _ in out]), np.concatenate([r for _, r in out])
+
+    def _reach(self, points: np.ndarray, group: np.ndarray, component: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        coarse = points.reshape(len(points), -1, COARSE).sum(axis=2, dtype=np.int32)
+        size = points.sum(axis=1, dtype=np.int64)
+        query, node = np.arange(len(points)), group.copy()  # the top level has one node per group
+        for k in range(len(self.levels) - 1, -1, -1):
+            upper, least, largest, low, high, _ = self.levels[k]
+            if component is not None:
+                other = (low[node] != component[query]) | (high[node] != component[query])
+                query, node = query[other], node[other]
+            most = np.minimum(_overlap(upper, node, coarse, query), largest[node])
             # with the least size below the node, the union is as small as it may be
-            nodes = nodes[bands.enough(most, np.maximum(self.least[level][nodes], most), size)]
-            spans = self.levels[level][nodes]
-            nodes = ragged(spans[:, 0], spans[:, 1] - spans[:, 0])
-        for rows, own in ((self.rows, point), (self.fine, fine)):
-            most = np.minimum(rows[nodes], own).sum(axis=1)
-            nodes = nodes[bands.enough(most, rows[nodes].sum(axis=1), size)]
-        return self.order[nodes]
+            fits = self.bands.enough(most, np.maximum(least[node], most), size[query])
+            query, node = query[fits], node[fits]
+            if k:
+                first = self.first[k - 1]
+                n = first[node + 1] - first[node]
+                query, node = np.repeat(query, n), ragged(first[node], n)
+        most = _overlap(self.points, node, points, query)
+        fits = self.bands.enough(most, self.levels[0][1][node], size[query])
+        return query[fits], node[fits]
+
+
+def _overlap(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Summed minima of rows i of a and rows j of b, in steps of bounded size."""
+    out = np.empty(len(i), np.int64)
+    for k in range(0, len(i), 1 << 15):
+        out[k : k + (1 << 15)] = np.minimum(a[i[k : k + (1 << 15)]], b[j[k : k + (1 << 15)]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def cover(points: np.ndarray, group: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, within groups, that the bound lets be linked, until each row was met by a centre or was one itself.
+
+    A group's first centre is the row nearest to the group's mean, the next ones are the first that weren't met. A centre is paired with
+    all rows it meets that weren't met before, and with the best of the others, which ties neighbourhoods together.
+    """
+    none = np.zeros(len(points), np.int64)
+    forest = Forest(points, group, none, bands)
+    n = int(group.max(initial=-1)) + 1
+    count = np.bincount(group, minlength=n)
+    order = np.argsort(group, kind="stable")
+    start = np.cumsum(count) - count
+    mean = np.add.reduceat(points[order], start).astype(np.float32) / count[:, None].astype(np.float32)
+    apart = np.empty(len(points), np.float32)
+    for a in range(0, len(points), 1 << 14):
+        apart[a : a + (1 << 14)] = np.abs(points[a : a + (1 << 14)] - mean[group[a : a + (1 << 14)]]).sum(axis=1)
+    by = np.lexsort((apart, group))
+    centre = by[start]
+    met = np.zeros(len(points), bool)
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    at = start.copy()  # how far each group's rows, by distance from the mean, are known to be met
+    ends = start + count
+    while len(centre):
+        met[centre] = True
+        q, row = forest.reach(points[centre], group[centre])
+        asking = centre[q]
+        real = asking != row
+        q, row, asking = q[real], row[real], asking[real]
+        new = ~met[row]
+        old = np.flatnonzero(~new)
+        if len(old):
+            shared = _overlap(points, asking[old], points, row[old])
+            best = old[np.lexsort((-shared, q[old]))]
+            best = best[np.append(True, q[best][1:] != q[best][:-1])]
+            out.append((asking[best], row[best]))
+        out.append((asking[new], row[new]))
+        met[row] = True
+        # the next row of each group that wasn't met
+        live = np.flatnonzero(at < ends)
+        while True:
+            done = live[met[by[at[live]]]]
+            if not len(done):
+                break
+            at[done] += 1
+            live = live[at[live] < ends[live]]
+        centre = by[at[live]]
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
 def _set_rows(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, cls of rows."""
+    """doc_id, n_shingles, cls of rows, and the point of classes (null where the task had the class already)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             for piece in pieces_of(batch, "text"):
                 h, sizes = shingle_sets(texts_of(piece.column("text")), n)
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), pa.array(digests(h, sizes))], names=["doc_id", "n_shingles", "cls"])
-
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, cls bigint")
+                cls = digests(h, sizes)
+                fresh = seen.fresh(cls, (sizes > 0) & piece.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
+                own = h[ragged((np.cumsum(sizes) - sizes)[fresh], sizes[fresh])]
+                cells: list[bytes | None] = [None] * len(cls)
+                for i, x in zip(fresh.tolist(), _point_bytes(points(own, sizes[fresh])), strict=True):
+                    cells[i] = x
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), pa.array(cls), pa.array(cells, pa.binary())], names=["doc_id", "n_shingles", "cls", "point"])
 
+    return docs.mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, cls bigint, point binary")
 
-def _filter_of(classes: DataFrame) -> np.ndarray:
-    """A bit map of hashed classes, of bounded size (8 MB at most), made by the executors and merged by words of 64 bits.
 
-    It only spares work: what passes by chance is removed by the exact join that follows."""
-    bits = 1 << min(26, max(16, (16 * classes.count()).bit_length()))
-    slot = F.pmod(F.xxhash64("cls"), F.lit(bits))
-    words = classes.select((slot / 64).cast("bigint").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    return out
+class Seen:
+    """Classes that a task has had lately; bounded, then begun anew (a class may come again, which is only more work)."""
 
+    def __init__(self, limit: int = 500_000):
+        self.held: set[int] = set()
+        self.limit = limit
 
-def _details(docs: DataFrame, n: int, classes: DataFrame, what: str) -> DataFrame:
-    """cls, n_shingles and `what` (point or members, as bytes) of the given classes, computed where the texts are; a class
-    that several documents share comes once. No text is shuffled."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_filter_of(classes))
-    rows = docs.mapInArrow(_detail_rows(n, what, shared), f"cls bigint, n_shingles bigint, {what} binary")
-    return saved(rows.join(classes.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]), f"ngram-{what}")
+    def fresh(self, cls: np.ndarray, usable: np.ndarray) -> np.ndarray:
+        """Places of the first rows of classes not had yet."""
+        _, one = np.unique(cls, return_index=True)
+        out = np.array([i for i in np.sort(one).tolist() if usable[i] and int(cls[i]) not in self.held], np.int64)
+        lost = np.flatnonzero(usable & ~np.isin(cls, cls[out]))
+        if len(lost):  # the first row of a class may be the one that can't be used
+            _, first = np.unique(cls[lost], return_index=True)
+            out = np.sort(np.append(out, [i for i in lost[first].tolist() if int(cls[i]) not in self.held])).astype(np.int64)
+        if len(self.held) > self.limit:
+            self.held.clear()
+        self.held.update(cls[out].tolist())
+        return out
 
 
-def _xxhash64(values: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of single 64-bit integers (seed 42), in numpy. The primes are fixed values of that hash."""
-    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+PLAIN, FORWARDED, GATHERED = 0, 1, 2
 
-    def rotated(x: np.ndarray, k: int) -> np.ndarray:
-        return (x << U64(k)) | (x >> U64(64 - k))
 
-    h = np.full(len(values), U64(42) + p5 + U64(8))
-    h ^= rotated(values.view(U64) * p2, 31) * p1
-    h = rotated(h, 27) * p1 + p4
-    h = (h ^ (h >> U64(33))) * p2
-    h = (h ^ (h >> U64(29))) * p3
-    return h ^ (h >> U64(32))
+def _keyed(docs: DataFrame, n: int, bands: Bands, parts: int) -> DataFrame:
+    """Keys and classes of all sets, packed by the partition they belong to: plain ones, ones that stand for a gathered piece, and the
+    pieces themselves (their key, and their classes)."""
 
-
-def _detail_rows(n: int, what: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value
-        seen: set[int] = set()
-        for batch in batches:
-            for piece in pieces_of(batch, "text"):
-                h, sizes = shingle_sets(texts_of(piece.column("text")), n)
-                cls = digests(h, sizes)
-                slot = (_xxhash64(cls) % U64(64 * len(words))).astype(np.int64)
-                maybe = (words[slot >> 6] >> (slot & 63)) & 1
-                maybe[sizes == 0] = 0
-                _, one = np.unique(cls, return_index=True)
-                pick = np.array([i for i in np.sort(one).tolist() if maybe[i] and int(cls[i]) not in seen], np.int64)
-                if not len(pick):
-                    continue
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.update(cls[pick].tolist())
-                first = (np.cumsum(sizes) - sizes)[pick]
-                own = h[ragged(first, sizes[pick])]
-                if what == "point":
-                    p = points(own, sizes[pick])
-                    cells = [x.tobytes() for x in p.astype("<u4" if sizes[pick].max() >> 16 else "<u2")]
-                else:
-                    raw, ends = memoryview(own.tobytes()), 8 * np.cumsum(sizes[pick])
-                    cells = [bytes(raw[e - 8 * s : e]) for s, e in zip(sizes[pick].tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(cls[pick]), pa.array(sizes[pick]), pa.array(cells, pa.binary())], names=["cls", "n_shingles", what])
-
-    return run
-
-
-def _keyed(docs: DataFrame, n: int, bands: Bands, parts: int, frequent: np.ndarray | None, only_frequent: bool = False) -> DataFrame:
-    """Keys and classes of all sets. Plain keys: packed by the partition they belong to (part, keys, classes);
-    with only_frequent: rows (key, cls) of frequent keys. Without a list of these, all rows (key, cls)."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        seen: set[int] = set()
+        seen, held, size = Seen(), [], 0
         for batch in batches:
             for piece in pieces_of(batch, "text"):
                 h, sizes = shingle_sets(texts_of(piece.column("text")), n)
                 cls = digests(h, sizes)
-                _, one = np.unique(cls, return_index=True)
-                fresh = np.array([i for i in one.tolist() if int(cls[i]) not in seen], np.int64)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                seen.update(cls[fresh].tolist())
+                fresh = seen.fresh(cls, sizes > 0)
                 if not len(fresh):
                     continue
-                at = ragged((np.cumsum(sizes) - sizes)[fresh], sizes[fresh])
-                key, who = block_keys(h[at], sizes[fresh], bands)
-                key, owner = key.view(np.int64), cls[fresh][who]
-                if frequent is not None and len(frequent):
-                    spot = np.minimum(np.searchsorted(frequent, key), len(frequent) - 1)
-                    often = frequent[spot] == key
-                    pick = often if only_frequent else ~often
-                    key, owner = key[pick], owner[pick]
-                yield key, owner
-
-    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, owner in rows(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner)], names=["key", "cls"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for got in rows(batches):
-            held.append(got)
-            size += len(got[0])
-            if size > 1 << 21:
-                yield _by_part(held, parts)
-                held, size = [], 0
-        if held:
-            yield _by_part(held, parts)
-
-    if frequent is None or only_frequent:
-        return docs.mapInArrow(plain, "key bigint, cls bigint")
-    return docs.mapInArrow(packed, "part int, keys binary, classes binary")
-
-
-def _by_part(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
-    key, cls = (np.concatenate(x) for x in zip(*held, strict=True))
-    part = (mixed(key.view(U64)) % U64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    edge = np.searchsorted(part[order], np.arange(parts + 1))
-    key, cls = memoryview(key[order].tobytes()), memoryview(cls[order].tobytes())
-    some = [p for p in range(parts) if edge[p + 1] > edge[p]]
-    cut = [(8 * int(edge[p]), 8 * int(edge[p + 1])) for p in some]
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([bytes(key[a:b]) for a, b in cut], pa.binary()), pa.array([bytes(cls[a:b]) for a, b in cut], pa.binary())], names=["part", "keys", "classes"])
+                key, who = block_keys(h[ragged((np.cumsum(sizes) - sizes)[fresh], sizes[fresh])], sizes[fresh], bands)
+                held.append((key.view(np.int64), cls[fresh][who]))
+                size += len(key)
+                if size > CHUNK:
+                    yield _dealt(held, parts)
+                    held, size = [], 0
+        if size:
+            yield _dealt(held, parts)
 
+    return docs.mapInArrow(lean(run), "part int, kind int, keys binary, classes binary")
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets of two classes or more of a partition, from packed rows: (bucket, size, cls), equal buckets once.
 
-    A bucket's number is the digest of its members, so equal buckets of other partitions have it too."""
-    keys, classes = [], []
-    for batch in batches:
-        keys += [np.frombuffer(x, np.int64) for x in batch.column("keys").to_pylist()]
-        classes += [np.frombuffer(x, np.int64) for x in batch.column("classes").to_pylist()]
-    if not keys:
-        return
-    key, cls = np.concatenate(keys), np.concatenate(classes)
+def _grouped(key: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, class) in order, where each key starts, and how many classes it has."""
     order = np.lexsort((cls, key))
     key, cls = key[order], cls[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
     key, cls = key[new], cls[new]
-    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    size = np.diff(np.append(edge, len(key)))
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return key, cls, edge, np.diff(np.append(edge, len(key)))
+
+
+def _dealt(held: list[tuple[np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    """A chunk of keys by partition; keys of LOCAL classes or more become pieces, which their first class stands for."""
+    key, cls, edge, size = _grouped(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    often = np.repeat(size >= LOCAL, size)
+    out: list[tuple[int, int, bytes, bytes]] = []
+    for k in np.flatnonzero(size >= LOCAL).tolist():
+        for a in range(int(edge[k]), int(edge[k] + size[k]), PIECE):
+            own = cls[a : min(a + PIECE, int(edge[k] + size[k]))]
+            at = int(mixed(own[:1].view(U64) ^ key[edge[k] : edge[k] + 1].view(U64))[0] % U64(parts))
+            out.append((at, GATHERED, key[edge[k] : edge[k] + 1].tobytes(), own.tobytes()))
+    first = np.concatenate([np.empty(0, np.int64), *(np.arange(edge[k], edge[k] + size[k], PIECE) for k in np.flatnonzero(size >= LOCAL).tolist())]).astype(np.int64)
+    for kind, keys, classes in ((PLAIN, key[~often], cls[~often]), (FORWARDED, key[first], cls[first])):
+        part = (mixed(keys.view(U64)) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        raw_keys, raw_classes = memoryview(keys[order].tobytes()), memoryview(classes[order].tobytes())
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            here = slice(8 * int(cut[p]), 8 * int(cut[p + 1]))
+            out.append((p, kind, bytes(raw_keys[here]), bytes(raw_classes[here])))
+    return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "kind", "keys", "classes"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces (bucket, piece, members) of a partition's buckets of two classes or more, from packed rows.
+
+    A bucket is known by the digest of its members, so equal ones of other partitions have the same number; those of which
+    pieces were gathered, by their key. Gathered pieces pass through."""
+
+    def pieces(bucket: np.ndarray, members: np.ndarray, edge: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        cuts = -(-size // PIECE)
+        first = np.repeat(edge, cuts) + PIECE * (np.arange(int(cuts.sum())) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        n = np.minimum(first + PIECE, np.repeat(edge + size, cuts)) - first
+        held = members[ragged(first, n)]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(held))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(bucket, cuts)), pa.array(sums(mixed(held.view(U64)), n).view(np.int64)), lists], names=["bucket", "piece", "members"])
+
+    keys, classes, by_key = [], [], []
+    for batch in batches:
+        for kind, k, c in zip(batch.column("kind").to_pylist(), batch.column("keys").to_pylist(), batch.column("classes").to_pylist(), strict=True):
+            key, cls = np.frombuffer(k, np.int64), np.frombuffer(c, np.int64)
+            if kind == GATHERED:
+                yield pieces(key, cls, np.zeros(1, np.int64), np.array([len(cls)]))
+                continue
+            keys.append(key)
+            classes.append(cls)
+            if kind == FORWARDED:
+                by_key.append(key)
+    if not keys:
+        return
+    key, cls, edge, size = _grouped(np.concatenate(keys), np.concatenate(classes))
     edge, size = edge[size > 1], size[size > 1]
     if not len(edge):
         return
     at = ragged(edge, size)
     name = sums(mixed(cls[at].view(U64)), size).view(np.int64)
+    kept = np.isin(key[edge], np.concatenate(by_key)) if by_key else np.zeros(len(edge), bool)
+    name[kept] = key[edge[kept]]
     _, one = np.unique(name, return_index=True)
-    at = ragged(edge[one], size[one])
-    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name[one], size[one])), pa.array(np.repeat(size[one], size[one])), pa.array(cls[at])], names=["bucket", "size", "cls"])
+    yield pieces(name[one], cls, edge[one], size[one])
 
 
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
@@ -417,26 +486,37 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(tops)
 
 
-def _near(pairs: DataFrame, points_: DataFrame, bands: Bands) -> DataFrame:
-    """Of distinct pairs (a, b) those that sizes and summed coordinate minima let be linked."""
-    left, right = (points_.select(F.col("cls").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("point").alias(f"p_{c}")) for c in "ab")
-    sized = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(f"{bands.den} * least(n_a, n_b) >= {bands.num} * greatest(n_a, n_b)")
+def _sets(docs: DataFrame, rows: DataFrame, n: int, pairs: DataFrame) -> DataFrame:
+    """cls and members (sorted shingle hashes, as bytes) of the classes of pairs (a, b). Only documents that a class is known by are
+    read into shingles again; no text is shuffled. A map of bits of bounded size says which: what passes by
+    chance is removed by the exact join that follows."""
+    asked = saved(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "ngram-asked")
+    first = saved(rows.where("point is not null").join(asked.hint("merge"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "ngram-first")
+    bits = 1 << min(MAP_BITS, max(12, (16 * first.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = first.select(F.floor(place / 64).alias("__word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 64).cast("int")).alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__mask"))
+    some = docs.withColumn("__at", place).join(F.broadcast(words), F.floor(F.col("__at") / 64) == F.col("__word")).where(F.call_function("bit_get", "__mask", (F.col("__at") % 64).cast("int")) == 1).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
-            if batch.num_rows:
-                p, q = (_points(batch.column(c).to_pylist()) for c in ("p_a", "p_b"))
-                keep = bands.enough(np.minimum(p, q).sum(axis=1), p.sum(axis=1), q.sum(axis=1))
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+            for piece in pieces_of(batch, "text"):
+                h, sizes = shingle_sets(texts_of(piece.column("text")), n)
+                cls = digests(h, sizes)
+                fresh = seen.fresh(cls, sizes > 0)
+                at = (np.cumsum(sizes) - sizes)[fresh]
+                cells = [h[a : a + m].tobytes() for a, m in zip(at.tolist(), sizes[fresh].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[fresh]), pa.array(cells, pa.binary())], names=["cls", "members"])
 
-    return saved(sized.select("a", "b", "p_a", "p_b").mapInArrow(run, "a bigint, b bigint"), "ngram-near")
+    made = some.mapInArrow(lean(run), "cls bigint, members binary")
+    return saved(made.join(asked.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
 
 
-def _verified(near: DataFrame, docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """The linked ones of pairs (a, b), by their sets."""
-    sets = _details(docs, n, near.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "members")
+def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """The linked ones of distinct pairs (a, b), by their sets."""
+    sets = _sets(docs, rows, n, pairs)
     members = [sets.select(F.col("cls").alias(c), F.col("members").alias(f"s_{c}")) for c in "ab"]
-    full = near.join(members[0].hint("merge"), "a").join(members[1].hint("merge"), "b").select("a", "b", "s_a", "s_b")
+    full = pairs.join(members[0].hint("merge"), "a").join(members[1].hint("merge"), "b").select("a", "b", "s_a", "s_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -449,55 +529,112 @@ def _verified(near: DataFrame, docs: DataFrame, n: int, bands: Bands) -> DataFra
                 keep.append(bool(bands.enough(overlap, len(s), len(t))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return saved(full.mapInArrow(run, "a bigint, b bigint"), "ngram-links")
+    return saved(full.mapInArrow(lean(run), "a bigint, b bigint"), "ngram-links")
+
+
+ITEMS = "array<struct<cls:bigint,component:bigint,point:binary>>"
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class, component, point, and number of the list, of all items of a column of lists."""
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten()
+    cls, component = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    return cls, component, _points(flat.field(2).to_pylist()), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    some = np.flatnonzero(low < high)
+    pair = np.unique(np.stack([low[some], high[some]], axis=1), axis=0) if len(some) else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["a", "b"])
+
+
+def _lists_of(batch: pa.RecordBatch, *names: str, limit: int = 2 * PIECE) -> Iterator[list[pa.Array]]:
+    """Runs of a batch's rows, as columns of lists with about limit items (one row at least)."""
+    ends = np.cumsum(sum(np.diff(batch.column(n).offsets.to_numpy()) for n in names))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield [pa.concat_arrays([batch.column(n).slice(a, b - a)]) for n in names]
+        a = b
+
+
+def _covered(pieces: DataFrame, bands: Bands) -> DataFrame:
+    """First candidates (a, b) of each piece; see cover()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (items,) in _lists_of(batch, "items"):
+                cls, _, point, group = _unpacked(items)
+                a, b = cover(point, group, bands)
+                yield _pairs_of(cls[a], cls[b])
+
+    return pieces.select("items").mapInArrow(lean(run), "a bigint, b bigint").distinct()
+
+
+def _searched(cells: DataFrame, bands: Bands) -> DataFrame:
+    """All candidates (a, b) of different components between the two pieces of each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for left, right in _lists_of(batch, "left", "right"):
+                cls, component, point, group = _unpacked(left)
+                forest = Forest(point, group, component, bands)
+                asking, own, from_point, of = _unpacked(right)
+                q, row = forest.reach(from_point, of, own)
+                yield _pairs_of(asking[q], cls[row])
+
+    return cells.select("left", "right").mapInArrow(lean(run), "a bigint, b bigint").distinct()
+
+
+def _packed(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows (.., cls, component, point) as one list of items per piece; a piece is bounded."""
+    return rows.groupBy(*by).agg(F.collect_list(F.struct("cls", "component", "point")).cast(ITEMS).alias("items"))
+
+
+def _open_cells(buckets: DataFrame, points_: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs of pieces (left, right) of buckets that hold several components. In a bucket, the classes of its
+    commonest component stay in their pieces, all others are dealt anew into pieces of their own, so that two pieces of the
+    commonest component never meet."""
+    members = buckets.select("bucket", "piece", F.explode("members").alias("cls"))
+    placed = members.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "piece", "cls", F.coalesce("component", "cls").alias("component"))
+    held = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    split = held.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("others")).where("others > 0")
+    lane = F.pmod(F.xxhash64("cls"), F.ceil(F.col("others") / PIECE))
+    inside: Column = F.col("component") == F.col("main")
+    still = placed.join(split, "bucket").select("bucket", inside.alias("inside"), F.when(inside, F.col("piece")).otherwise(lane).alias("piece"), "cls", "component").distinct()
+    pieces = saved(_packed(still.join(points_, "cls"), "bucket", "inside", "piece"), "ngram-open")
+    left = pieces.select("bucket", F.col("inside").alias("in_l"), F.col("piece").alias("piece_l"), F.col("items").alias("left"))
+    right = pieces.where("not inside").select("bucket", F.col("piece").alias("piece_r"), F.col("items").alias("right"))
+    return left.join(right, "bucket").where("in_l or piece_l <= piece_r")
 
 
 def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    spark = docs.sparkSession
-    bands, parts = Bands(num, den), shuffle_parts(spark)
+    bands = Bands(num, den)
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = saved(_set_rows(docs, n), "ngram-rows")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    real = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = real.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     usable = docs.where("doc_id is not null")
 
-    # keys that many classes share, found in a sample of the texts
-    sample = _keyed(usable.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0), n, bands, parts, None).distinct()
-    counted = saved(sample.groupBy("key").count().where(f"count >= {SAMPLE // 2}"), "ngram-frequent")
-    frequent = np.sort(counted.orderBy(F.desc("count"), "key").limit(FREQUENT).select("key").toPandas()["key"].to_numpy(np.int64))
-
-    packed = _keyed(usable, n, bands, parts, frequent).repartitionById(parts, "part")
-    fields = "bucket bigint, size bigint, cls bigint"
-    met = packed.select("keys", "classes").mapInArrow(_buckets, fields)
-    if len(frequent):
-        often = _keyed(usable, n, bands, parts, frequent, only_frequent=True).distinct()
-        sizes = often.groupBy("key").count().where("count > 1")
-        met = met.unionByName(often.join(sizes, "key").select(F.col("key").alias("bucket"), F.col("count").alias("size"), "cls"))
-    buckets = saved(met.distinct(), "ngram-buckets")
-
-    # first each bucket's pivot, the class that meets most others; among near copies it is one near to their origin
-    weight = buckets.groupBy("cls").agg(F.sum("size").alias("weight"))
-    tops = buckets.join(weight.hint("merge"), "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("weight", "cls")).alias("pivot"))
-    star = buckets.join(tops, "bucket").select("cls", "pivot")
-    pairs = saved(star.where("cls != pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct(), "ngram-pairs")
-
-    points_ = _details(usable, n, buckets.select("cls").distinct(), "point")
-    links = _verified(_near(pairs, points_, bands), usable, n, bands)
-
-    # what the pivots leave open: buckets with members in several components
-    larger = buckets.where("size > 2")
-    found = components(links)
-    placed = larger.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("bucket", "size", "cls", F.coalesce("component", "cls").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    still = saved(placed.join(split, "bucket"), "ngram-open")
-    small = still.where(F.col("size") <= SMALL)
-    one, two = (small.select("bucket", F.col("cls").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-    direct = one.join(two, "bucket").where("a < b and c_a != c_b").select("a", "b")
-    more = direct.unionByName(_large(still.where(F.col("size") > SMALL), points_, bands)).distinct()
-    more = _near(saved(more.join(pairs, ["a", "b"], "left_anti"), "ngram-more"), points_, bands)
+    # a set has about as many keys as places it may differ in, in each of two bands
+    total = real.where("point is not null").agg(F.sum("n_shingles")).first()[0] or 0
+    parts = max(shuffle_parts(docs.sparkSession), 2 * total * (den - num) // (den * CHUNK))
+    met = _keyed(usable, n, bands, parts).repartitionById(parts, "part").select("kind", "keys", "classes").mapInArrow(lean(_buckets), "bucket bigint, piece bigint, members array<bigint>")
+    buckets = saved(met.dropDuplicates(["bucket", "piece"]), "ngram-buckets")
+
+    members = buckets.select("bucket", "piece", F.explode("members").alias("cls"))
+    points_ = rows.where("point is not null").groupBy("cls").agg(F.first("point").alias("point"))
+    pairs = saved(_covered(_packed(members.join(points_, "cls").withColumn("component", F.lit(0).cast("bigint")), "bucket", "piece"), bands), "ngram-pairs")
+    found = components(_verified(pairs, usable, rows, n, bands))
+
+    # what the centres leave open
+    more = saved(_searched(_open_cells(buckets, points_, found), bands).join(pairs, ["a", "b"], "left_anti"), "ngram-more")
     if not more.isEmpty():
         # the components so far, as edges, and the new links
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(more, usable, n, bands)))
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(_verified(more, usable, rows, n, bands)))
 
     found = found.select(F.col("node").alias("cls"), "component")
     first_of = found.join(classes, "cls").groupBy("component").agg(F.min("doc_id").alias("first_id"))
@@ -505,43 +642,3 @@ def join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str
     out = rows.join(named, "cls", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id"))
-
-
-def _large(still: DataFrame, points_: DataFrame, bands: Bands) -> DataFrame:
-    """Pairs in different components of large buckets that the bound lets be linked, piece against piece.
-
-    A bucket's members are numbered in order of component and cut into pieces of PIECE rows; two pieces meet in
-    one task unless both lie within one component, and an R-tree of the one answers the other.
-    """
-    salted = still.withColumn("salt", F.pmod(F.xxhash64("component"), F.lit(1 << 20)))
-    # numbering by counts per component, so no bucket is sorted in one task
-    per = salted.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    pieces = per.withColumn("cuts", F.ceil(F.col("n") / PIECE).cast("bigint"))
-    small = pieces.where("cuts = 1").withColumn("lane", F.pmod(F.xxhash64("component"), F.lit(64)))
-    # components of one piece share pieces, by as many lanes as their sum needs
-    lanes = small.groupBy("bucket").agg(F.ceil(F.sum("n") / PIECE).cast("bigint").alias("lanes"))
-    placed_small = small.join(lanes, "bucket").select("bucket", "component", F.concat(F.lit("s"), F.pmod(F.xxhash64("component", F.lit(7)), F.col("lanes")).cast("string")).alias("stem"), F.lit(1).cast("bigint").alias("cuts"), F.lit(0).cast("bigint").alias("whole"))
-    placed_big = pieces.where("cuts > 1").select("bucket", "component", F.concat(F.lit("c"), F.col("component").cast("string")).alias("stem"), "cuts", F.lit(1).cast("bigint").alias("whole"))
-    stems = placed_small.unionByName(placed_big)
-    rows = still.join(stems, ["bucket", "component"]).select("bucket", "cls", "component", "whole", "stem", F.concat("stem", F.lit("/"), F.pmod(F.xxhash64("cls", F.lit(3)), F.col("cuts")).cast("string")).alias("piece"))
-    rows = rows.join(points_.select("cls", "point"), "cls")
-    cells = rows.groupBy("bucket", "piece").agg(F.first("stem").alias("stem"), F.first("whole").alias("whole"))
-    left, right = (cells.select("bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("piece", "stem", "whole")]) for k in "lr")
-    meet = left.join(right, "bucket").where("piece_l <= piece_r and not (whole_l = 1 and stem_l = stem_r)").select("bucket", "piece_l", "piece_r")
-    meet = meet.withColumn("cell", F.xxhash64("bucket", "piece_l", "piece_r"))
-    sides = [rows.join(meet.select("bucket", F.col(f"piece_{k}").alias("piece"), "cell"), ["bucket", "piece"]).select(*[F.col(c).alias(f"{c}_{k}") for c in ("cell", "cls", "component", "point")]) for k in "lr"]
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame()
-        tree = RTree(_points(left["point_l"]))
-        cls, comp = left["cls_l"].to_numpy(), left["component_l"].to_numpy()
-        out = []
-        for c, k, point in zip(right["cls_r"], right["component_r"], _points(right["point_r"]), strict=True):
-            hit = tree.reach(point, bands)
-            hit = hit[(comp[hit] != k) & (cls[hit] != c)]
-            if len(hit):
-                out.append(pd.DataFrame({"a": np.minimum(cls[hit], c), "b": np.maximum(cls[hit], c)}))
-        return pd.concat(out) if out else pd.DataFrame()
-
-    return sides[0].groupBy("cell_l").cogroup(sides[1].groupBy("cell_r")).applyInPandas(search, "a bigint, b bigint")

@@ -71,10 +71,26 @@ def test_join_by_brute_force(spark):
 
 
 def test_join_with_all_ways_in_use(spark, monkeypatch):
-    """Tiny limits, so that frequent keys, pieces and R-trees all take part."""
-    for name, value in (("SMALL", 2), ("PIECE", 5), ("SAMPLE", 2)):
+    """Tiny limits, so that gathered pieces, several pieces a bucket and trees of several levels all take part."""
+    for name, value in (("PIECE", 5), ("LOCAL", 3), ("CHUNK", 2000), ("FAN", 2), ("MAP_BITS", 3)):
         monkeypatch.setattr(ngram_join, name, value)
     check(spark, made_texts(2), 4, 85, 100)
+    check(spark, made_texts(3), 5, 80, 100)
+
+
+def test_trees_find_the_candidates(spark, data):
+    """All links are among the pairs that the trees give, and these are few."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rng = np.random.default_rng(8)
+    points = rng.poisson(2.0, (400, ngram_join.POINT)).astype(np.int32)
+    points[200:] = points[:200]
+    points[200:, 0] += 1
+    bands = ngram_join.Bands(85, 100)
+    a, b = ngram_join.cover(points, np.arange(400) % 200 // 4, bands)
+    met = {frozenset(x) for x in zip(a.tolist(), b.tolist(), strict=True)}
+    assert {frozenset((k, k + 200)) for k in range(200)} <= met and len(met) <= 800
+    links = ngram_join.join(docs, 4, 85, 100)
+    assert links.where("component_id != doc_id").count() > 0
 
 
 def test_join_edges(spark, docs, texts, empty):
@@ -90,15 +106,21 @@ def test_bands_hold_all_linked_sizes():
         assert all(0 <= band(b) - band(a) <= 1 for a in range(1, 400) for b in range(a, a * den // num + 1))
 
 
-def test_r_tree_reaches_all():
+def test_forest_reaches_all():
     rng = np.random.default_rng(3)
-    rows = rng.poisson(1.0, (300, ngram_join.POINT))
+    rows = rng.poisson(1.0, (300, ngram_join.POINT)).astype(np.int32)
     rows[150:] = np.maximum(0, rows[:150] + rng.integers(-1, 2, (150, ngram_join.POINT)) * (rng.random((150, ngram_join.POINT)) < 0.03))
+    group, component = np.concatenate([np.arange(150) % 7] * 2), np.arange(300) % 3
     bands = ngram_join.Bands(85, 100)
-    tree = ngram_join.RTree(rows)
-    for p in rows[:40]:
-        want = np.flatnonzero(bands.enough(np.minimum(rows, p).sum(axis=1), rows.sum(axis=1), int(p.sum())))
-        assert sorted(tree.reach(p, bands).tolist()) == want.tolist()
+    forest = ngram_join.Forest(rows, group, component, bands)
+    for own in (None, component):
+        q, row = forest.reach(rows, group, own)
+        got = set(zip(q.tolist(), row.tolist(), strict=True))
+        want = set()
+        for i, p in enumerate(rows):
+            fits = bands.enough(np.minimum(rows, p).sum(axis=1), rows.sum(axis=1), int(p.sum())) & (group == group[i])
+            want |= {(i, j) for j in np.flatnonzero(fits & (component != component[i]) if own is not None else fits).tolist()}
+        assert got == want
 
 
 def dedup_rows(spark, texts, min_words=6):
