@@ -105,7 +105,8 @@ def index_wildcard(pattern: str) -> str:
     return out
 
 
-BASE_DELAY_MS, MAXIMUM_DELAY_MS = 1000, 300_000
+#: First delay, cap, and the least delay at the cap (2**8 first delays).
+BASE_DELAY_MS, MAXIMUM_DELAY_MS, LEAST_AT_CAP_MS = 1000, 300_000, 256_000
 
 
 def retry_delay_ms(output: Column, attempt: Column) -> Column:
@@ -116,10 +117,7 @@ def retry_delay_ms(output: Column, attempt: Column) -> Column:
     def fraction(of: Column) -> Column:
         return F.conv(F.substring(F.sha2(of, 256), 1, 4), 16, 10).cast("double") / 65535
 
-    floor = BASE_DELAY_MS
-    while floor * 2 < MAXIMUM_DELAY_MS:
-        floor *= 2
-    capped = F.lit(float(floor)) + (MAXIMUM_DELAY_MS - floor) * fraction(F.concat(output, F.lit(":cap")))
+    capped = F.lit(float(LEAST_AT_CAP_MS)) + (MAXIMUM_DELAY_MS - LEAST_AT_CAP_MS) * fraction(F.concat(output, F.lit(":cap")))
     spread = raw * (0.75 + fraction(F.concat(output, F.lit(":"), attempt.cast("string"))) * 0.25)
     return F.when(raw >= MAXIMUM_DELAY_MS, capped).otherwise(spread)
 

@@ -42,8 +42,8 @@ def rows(spark, events, r):
 
 
 def test_request_and_response(spark):
-    (f,) = rows(spark, [event("http.request"), event("http.response", 1, stamp="2026-08-20T12:00:00.041Z")], rule())
-    assert (f.reason, f.event_count, f.entry_count, f.calls[0].duration_ms, f.incomplete_invocations) == ("invocations_complete", 2, 1, 41, 0)
+    (f,) = rows(spark, [event("http.request"), event("http.response", 1, stamp="2026-08-20T12:00:00.073Z")], rule())
+    assert (f.reason, f.event_count, f.entry_count, f.calls[0].duration_ms, f.incomplete_invocations) == ("invocations_complete", 2, 1, 73, 0)
 
 
 def test_response_first_gives_the_same(spark):
@@ -139,7 +139,7 @@ def test_documents(spark):
 
 
 def test_index_date_is_utc_of_the_stamp(spark):
-    df = spark.createDataFrame([('{"m":1,"datetime":"2026-08-21T00:30:00+02:00"}', T0, 0), ('{"m":2,"datetime":"x"}', T0, 1)], "raw string, observed_at timestamp, seq bigint")
+    df = spark.createDataFrame([('{"m":1,"datetime":"2026-08-21T03:15:00+09:00"}', T0, 0), ('{"m":2,"datetime":"x"}', T0, 1)], "raw string, observed_at timestamp, seq bigint")
     got = pass_through(route(accept(df).events, [rule()]), "logs-{yyyy}.{MM}.{dd}", "$.datetime").orderBy("seq").collect()
     assert [g["index"] for g in got] == ["logs-2026.08.20"] * 2 and got[0].raw.startswith('{"m":1')
 
