@@ -4,6 +4,8 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from millrace.llm import line_dedup, ngram_join, topk
 from millrace.llm.queries import LINE_DEDUP_SQL, queries
 
@@ -186,3 +188,23 @@ def test_top_k_in_blocks(spark):
     df = spark.createDataFrame(list(v.items()), "vec_id bigint, embedding array<double>")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, k=7, every=4, shard_rows=64, query_rows=16).collect())
     assert got == nearest(v, 7, 4)
+
+
+def test_few_positions_are_selected(spark, data):
+    """Winnowing: each window selects one position, neighbours mostly the same; equal windows select equal lines."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    found = line_dedup.positions(docs, "doc_id", "text", 50)
+    rows = found.select("__line_doc", "fingerprint", "place", F.explode("windows").alias("w")).select("*", "w.*").toPandas()
+    assert found.count() < 0.7 * len(rows)
+    assert (rows.groupby(["h", "g"])["fingerprint"].nunique() == 1).all()
+    assert ((rows["first"] <= -rows["place"]) & (-rows["place"] <= rows["last"])).all()
+
+
+def test_many_lines(spark):
+    """A long text whose repeated lines alternate with new ones, and one that repeats as a whole."""
+    n = 4000
+    base = [f"line {k} of seven words or so" for k in range(n)]
+    other = [x if k % 3 else f"{k}" for k, x in enumerate(base)]
+    got = dedup_rows(spark, ["\n".join(base), "\n".join(other), "\n".join(base[n // 2 :])], min_words=14)
+    assert got[0] == "\n".join(base) and got[2] == ""
+    assert got[1].split("\n") == [x for k, x in enumerate(other) if k % 3 == 0]
