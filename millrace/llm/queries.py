@@ -90,5 +90,30 @@ SELECT doc_id, n_removed, length(text) AS n_chars_left, md5(text) AS text_md5 FR
 """
 
 
+#: All pairs of a query and another vector, ranked.
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+#: Sets of equal content are one class; classes with a common shingle are compared, and links followed to the smallest id.
+NGRAM_JOIN_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS c, s FROM sets WHERE len(s) > 0 GROUP BY s),
+each AS (SELECT c, len(s) AS n, unnest(s) AS g FROM classes),
+met AS (SELECT a.c AS x, b.c AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS o FROM each a JOIN each b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c),
+link AS (SELECT x, y FROM met WHERE 100 * o >= 85 * (nx + ny - o) UNION ALL SELECT y, x FROM met WHERE 100 * o >= 85 * (nx + ny - o)),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, link.y FROM reach JOIN link ON reach.r = link.x),
+top AS (SELECT c, min(r) AS component FROM reach GROUP BY c)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(top.component, sets.doc_id) AS component_id
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN top ON top.c = classes.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": LINE_DEDUP_SQL}
+    return {"op5_ngram_join": NGRAM_JOIN_SQL, "op8_topk": TOPK_SQL, "op9_line_dedup": LINE_DEDUP_SQL}

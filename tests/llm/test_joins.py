@@ -3,11 +3,12 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, ngram_join, topk
-from millrace.llm.queries import LINE_DEDUP_SQL, queries
+from millrace.llm.queries import LINE_DEDUP_SQL, oracle_sql, queries
 
 
 def linked(texts, n, num, den):
@@ -186,7 +187,7 @@ def test_top_k_in_blocks(spark):
     rng = np.random.default_rng(6)
     v = {i: rng.standard_normal(5).tolist() for i in range(400)}
     df = spark.createDataFrame(list(v.items()), "vec_id bigint, embedding array<double>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, k=7, every=4, shard_rows=64, query_rows=16).collect())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, k=7, every=4, shard_rows=16, query_rows=16, cell_rows=40).collect())
     assert got == nearest(v, 7, 4)
 
 
@@ -208,3 +209,32 @@ def test_many_lines(spark):
     got = dedup_rows(spark, ["\n".join(base), "\n".join(other), "\n".join(base[n // 2 :])], min_words=14)
     assert got[0] == "\n".join(base) and got[2] == ""
     assert got[1].split("\n") == [x for k, x in enumerate(other) if k % 3 == 0]
+
+
+def test_top_k_exact_or_refused(spark):
+    big = [(0, [3e5, 1.0]), (1, [2e5, 3.0]), (2, [-1e5, 5.0]), (3, [2e5, 3.5])]
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(frame(big)).collect()) == nearest(dict(big), 20, 20)
+    huge = [(0, [2.0**31, 2.0**31]), (1, [2.0**19, 1.0]), (2, [2.0**19, -(2.0**19)])]
+    want = sorted(((0, 64 * 64 * sum(int(a) * int(b) for a, b in zip(huge[0][1], v, strict=True)), i) for i, v in huge[1:]), key=lambda x: (-x[1], x[2]))
+    assert [(r.vec_id, r.score) for r in topk.top_k(frame(huge)).orderBy("rank").collect()] == [(i, x) for _, x, i in want]
+    for bad in ([(0, [1e8]), (1, [5e8])], [(0, [1e300]), (1, [1.0])]):
+        with pytest.raises(Exception, match="64-bit integer"):
+            topk.top_k(frame(bad)).collect()
+
+
+def test_top_k_odd_rows(spark):
+    """Repeated ids, vectors of unequal width, clashing names, and the query as a whole."""
+    rows = [(0, [1.0, 2.0], 9), (0, [0.5], 9), (1, [1.0], 9), (1, [2.0, 1.0, 7.0], 9), (2, [], 9), (20, [0.0], 9)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, cell int").withColumn("shard", F.lit("x")).withColumn("score", F.lit(1))
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).collect())
+    assert got == [(0, 1, 1, 64 * 64), (0, 2, 1, 32 * 64), (0, 3, 2, 0), (0, 4, 20, 0), (20, 1, 0, 0), (20, 2, 0, 0), (20, 3, 1, 0), (20, 4, 1, 0), (20, 5, 2, 0)]
+
+
+@pytest.mark.parametrize("name,tables", [("op8_topk", ["embeddings"]), ("op5_ngram_join", ["documents"])])
+def test_queries_by_sql(spark, data, name, tables):
+    con = duckdb.connect()
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    key = lambda df: sorted(map(tuple, df[sorted(df.columns)].astype(object).to_numpy().tolist()))
+    assert key(queries()[name](spark, data).toPandas()) == key(con.sql(oracle_sql()[name]).df())
