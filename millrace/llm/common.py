@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A blank between two letters or digits: a place where texts may be cut without changing pretokens or words.
+BETWEEN_WORDS = re.compile(r"(?<=[^\W_]) (?=[^\W_])")
 #: Bytes of text that one numpy pass handles at a time (temporaries take about 60 times as much).
 CHUNK_BYTES = 1 << 20
 
@@ -75,9 +77,9 @@ def pieces_of(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTE
         start = stop
 
 
-def parts_of(texts: list[str], edge: re.Pattern, limit: int = CHUNK_BYTES // 2) -> Iterator[tuple[np.ndarray, list[str]]]:
+def parts_of(texts: list[str], edge: re.Pattern, limit: int = CHUNK_BYTES // 2, skip: int = 0) -> Iterator[tuple[np.ndarray, list[str]]]:
     """The texts in groups of about `limit` characters, with each one's number; longer texts are cut before matches of `edge`, so that
-    temporaries stay bounded whatever a text's length (a run without any such place stays whole)."""
+    temporaries stay bounded whatever a text's length (a run without any such place stays whole). skip: characters left out at a cut."""
     owner, held, size = [], [], 0
     for k, text in enumerate(texts):
         a = 0
@@ -93,7 +95,7 @@ def parts_of(texts: list[str], edge: re.Pattern, limit: int = CHUNK_BYTES // 2)
                 owner, held, size = [], [], 0
             if b >= len(text):
                 break
-            a = b
+            a = b + skip
     if held:
         yield np.array(owner, np.int64), held
 

@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 import regex
 
-from millrace.llm.common import prefix_hash, ragged, span_hash
+from millrace.llm.common import BETWEEN_WORDS, parts_of, prefix_hash, ragged, span_hash
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
@@ -81,8 +81,9 @@ def strings(points: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> list[
 class Cache:
     """What distinct pretokens encode to, kept by a Python worker from batch to batch; bounded, then begun anew."""
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = 2_000_000, split: Callable = split, kind: type = np.uint16):
-        self.encode, self.limit, self.split, self.kind = encode, limit, split, kind
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, split: Callable = split, kind: type = np.uint16, skip: int = 0):
+        """skip: characters that `split` puts before each text itself, so a text cut there is given without them."""
+        self.encode, self.limit, self.split, self.kind, self.skip = encode, limit, split, kind, skip
         self.clear()
 
     def clear(self) -> None:
@@ -117,7 +118,15 @@ class Cache:
         return which, per_text, self.first[spot], self.size[spot], often
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Values of all texts one after the other, and values per text."""
+        """Values of all texts one after the other, and values per text. Long texts are encoded in parts."""
+        total, out = np.zeros(len(texts), np.int64), [np.empty(0, self.kind)]
+        for owner, part in parts_of(texts, BETWEEN_WORDS, skip=self.skip):
+            values, sizes = self._ids(part)
+            out.append(values)
+            np.add.at(total, owner, sizes)
+        return np.concatenate(out), total
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         which, per_text, first, size, _ = self.look_up(texts)
         sizes = size[which].astype(np.int64)
         ends = np.append(0, np.cumsum(sizes))
@@ -135,13 +144,14 @@ def library(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
         def encode(points: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             found = [e.ids for e in tokenizer.encode_batch_fast(strings(points, first, lengths), add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(found), np.uint16), np.fromiter(map(len, found), np.int32, len(found))
+            return np.fromiter(chain.from_iterable(found), kind), np.fromiter(map(len, found), np.int32, len(found))
 
         special = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
-        _workers[path] = (tokenizer, Cache(encode), special)
+        _workers[path] = (tokenizer, Cache(encode, kind=kind), special)
     return _workers[path]
 
 
@@ -152,10 +162,13 @@ def encode_texts(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     tokenizer, cache, special = library(path)
     odd = [k for k, t in enumerate(texts) if any(s in t for s in special)]
-    ids, sizes = cache.ids([t if k not in set(odd) else "" for k, t in enumerate(texts)] if odd else texts)
+    plain = list(texts)
+    for k in odd:
+        plain[k] = ""
+    ids, sizes = cache.ids(plain)
     if odd:
         parts = np.split(ids, np.cumsum(sizes)[:-1])
         for k in odd:
-            parts[k] = np.array(tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint16)
+            parts[k] = np.array(tokenizer.encode(texts[k], add_special_tokens=False).ids, cache.kind)
         ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
     return ids, sizes

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import bpe
-from millrace.llm.common import free_names, pieces_of, ragged, texts_of
+from millrace.llm.common import free_names, lean, pieces_of, ragged, texts_of
 from millrace.llm.pretokens import Cache, strings
 
 BLANK = "▁"
@@ -44,6 +44,11 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return points, at, np.diff(np.searchsorted(at[:-1], np.append(0, bounds)))
 
 
+def _merges(model) -> bool:
+    """Whether the model is of the BPE type: its scores are places in the order of merges, whole numbers, not log probabilities."""
+    return all(model.get_score(i).is_integer() for i in range(model.get_piece_size()))
+
+
 class SentencePieces:
     """Encoder and decoder of one model file."""
 
@@ -52,6 +57,8 @@ class SentencePieces:
 
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         every = range(sp.get_piece_size())
+        if not _merges(sp):
+            raise ValueError(f"{path}: only models of the BPE type are supported")
         plain = [i for i in every if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.pieces = bpe.scored([(sp.id_to_piece(i), sp.get_score(i), i) for i in plain])
         byte_ids = {int(sp.id_to_piece(i)[3:5], 16): i for i in every if sp.is_byte(i)}
@@ -60,7 +67,7 @@ class SentencePieces:
         self.size = np.array([len(c) for c in content], np.int64)
         self.first = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(content), np.uint8)
-        self.cache = Cache(self.encode_words, split=_words, kind=np.uint16 if len(content) <= 1 << 16 else np.uint32)
+        self.cache = Cache(self.encode_words, split=_words, kind=np.uint16 if len(content) <= 1 << 16 else np.uint32, skip=1)
 
     def encode_words(self, points: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, spans of code points that begin with the blank mark, and ids per word."""
@@ -119,7 +126,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*piece.columns, column], names=[*piece.schema.names, ids_col])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -132,7 +139,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "
             texts = codec(path).decode(np.concatenate([np.empty(0, np.int64), *ids]), np.array([len(x) for x in ids], np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
+    return kept.mapInArrow(lean(run), T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,4 +160,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64()), pa.array(crc_text, pa.int64()), pa.array(same)], names=[id_col, "n_tokens", "ids_crc32", "text_crc32", "same"])
 
     chosen = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return chosen.mapInArrow(run, f"{id_col} bigint, n_tokens bigint, ids_crc32 bigint, text_crc32 bigint, same boolean")
+    return chosen.mapInArrow(lean(run), f"{id_col} bigint, n_tokens bigint, ids_crc32 bigint, text_crc32 bigint, same boolean")

@@ -10,6 +10,7 @@ stay as they are; an empty table gives an empty result. Columns of `docs` other
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, pretokens
-from millrace.llm.common import pieces_of, ragged, texts_of
+from millrace.llm.common import BETWEEN_WORDS, lean, parts_of, pieces_of, ragged, texts_of
 
 _workers: dict[str, tuple] = {}
 
@@ -35,43 +36,40 @@ def _counter(path: str) -> tuple[pretokens.Cache, list[str], bpe.Pieces]:
             return pieces.counts(raw, edge[:-1], np.diff(edge)), np.diff(edge)
 
         special = sorted(t.content for t in pretokens.library(path)[0].get_added_tokens_decoder().values())
-        _workers[path] = (pretokens.Cache(counts, limit=1_000_000, kind=np.int32), special, pieces)
+        _workers[path] = (pretokens.Cache(counts, limit=250_000, kind=np.int32), special, pieces)
     return _workers[path]
 
 
 def _parts(text: str, special: list[str]) -> list[tuple[str, bool]]:
     """The text cut at the strings of special tokens, which are one token each; the leftmost and longest first."""
-    out, rest = [], text
-    while rest:
-        found = [(rest.index(s), -len(s), s) for s in special if s in rest]
-        if not found:
-            break
-        at, _, s = min(found)
-        out += [(rest[:at], False), (s, True)]
-        rest = rest[at + len(s) :]
-    return [*out, (rest, False)]
+    if not special:
+        return [(text, False)]
+    cut = re.split("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")", text)
+    return [(part, k % 2 == 1) for k, part in enumerate(cut)]
 
 
 def _measured(path: str, texts: list[str], limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens per text, and per text the UTF-8 bytes of all leading pretokens that `limit` tokens hold."""
+    """Tokens per text, and per text the UTF-8 bytes of all leading pretokens that `limit` tokens hold. Long texts are counted in parts."""
     cache, special, _ = _counter(path)
     cut = [_parts(t, special) if any(s in t for s in special) else [(t, False)] for t in texts]
+    whose = np.repeat(np.arange(len(texts)), [len(parts) for parts in cut])
     flat = [p for parts in cut for p in parts]
-    which, per_part, first, size, _ = cache.look_up([t if not is_special else "" for t, is_special in flat])
-    # special strings stand as one more pretoken of one token
     is_special = np.array([s for _, s in flat], bool)
-    tokens = cache.values[first + size - 1].astype(np.int64)[which]
-    sizes = size.astype(np.int64)[which]
-    at = np.cumsum(per_part)[is_special]
-    tokens = np.insert(tokens, at, 1)
-    sizes = np.insert(sizes, at, [len(t.encode()) for t, s in flat if s])
-    per_part = per_part + is_special
-    per_text = np.add.reduceat(per_part, np.cumsum([0, *map(len, cut)])[:-1])
-    edge = np.append(0, np.cumsum(per_text))
-    total = np.append(0, np.cumsum(tokens))
-    width = np.append(0, np.cumsum(sizes))
-    stop = np.minimum(np.searchsorted(total, total[edge[:-1]] + limit, side="right") - 1, edge[1:])
-    return np.diff(total[edge]), width[stop] - width[edge[:-1]]
+    total, fit = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for part, group in parts_of([t for t, _ in flat], BETWEEN_WORDS):
+        # special strings stand as one pretoken of one token
+        which, per_part, first, size, _ = cache.look_up([t if not s else "" for t, s in zip(group, is_special[part].tolist(), strict=True)])
+        at = np.cumsum(per_part)[is_special[part]]
+        tokens = np.insert(cache.values[first + size - 1].astype(np.int64)[which], at, 1)
+        sizes = np.insert(size.astype(np.int64)[which], at, [len(t.encode()) for t, s in zip(group, is_special[part].tolist(), strict=True) if s])
+        owner = np.repeat(whose[part], per_part + is_special[part])
+        so_far = np.cumsum(tokens)
+        start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))[: len(owner)]
+        before = np.repeat((so_far - tokens)[start], np.diff(np.append(start, len(owner)))) if len(owner) else so_far
+        fits_in = so_far - before + total[owner] <= limit
+        np.add.at(fit, owner[fits_in], sizes[fits_in])
+        np.add.at(total, owner, tokens)
+    return total, fit
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,7 +85,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array(bytes_), pa.array(n), pa.array(n > limit), pa.array(fit)], names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 
     chosen = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return chosen.mapInArrow(run, f"{id_col} bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_bytes bigint")
+    return chosen.mapInArrow(lean(run), f"{id_col} bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, fit_bytes bigint")
 
 
 def prefix_counts(texts: list[str], path: str) -> list[np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import pretokens
-from millrace.llm.common import pieces_of, saved, shared_dir, shuffle_parts, texts_of
+from millrace.llm.common import lean, pieces_of, saved, shared_dir, shuffle_parts, texts_of
 
 NULL_ID = -(1 << 63)
 
@@ -94,26 +94,28 @@ def _file_row(name: str, least: int, rows: int, ids: int) -> pa.RecordBatch:
 def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
     """Encodes whole texts, appends `end_id` to each unless None, and writes the files in ascending order of ids.
 
-    Texts are encoded once: a first pass writes plain 16-bit ids and counts them, a second ranks and packs them.
+    Texts are encoded once: a first pass writes plain ids, of 16 or, for larger vocabularies, 32 bits, and counts them, a second ranks and packs them.
     Returns the manifest (a row per file: file, its least id, rows, ids, and how many rows and ids all files before it
     hold) and the table rank -> id. Both are bounded: by the number of files and by the vocabulary.
     """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
+    size = max(pretokens.library(path)[0].get_vocab_size(), (end_id or 0) + 1)
+    plain_kind = "<u2" if size <= 1 << 16 else "<u4"
     docs = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, rows, ids, least, count = None, 0, 0, 0, np.zeros(1 << 16, np.int64)
+        out, rows, ids, least, count = None, 0, 0, 0, np.zeros(size, np.int64)
         for batch in batches:
             for piece in pieces_of(batch, text_col):
                 got, sizes = pretokens.encode_texts(path, texts_of(piece.column(text_col)))
                 if end_id is not None:
-                    got, sizes = np.insert(got, np.cumsum(sizes), end_id), sizes + 1
+                    got, sizes = np.insert(got.astype(plain_kind), np.cumsum(sizes), end_id), sizes + 1
                 count += np.bincount(got, minlength=len(count))
                 keys = piece.column(id_col).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
                 if out is None:
                     (out, name), least = _open(f"{folder}/plain", "zstd"), int(keys[0])
-                _write_block(out, keys, sizes, len(got), np.empty(0, np.uint8), got.astype("<u2"))
+                _write_block(out, keys, sizes, len(got), np.empty(0, np.uint8), got.astype(plain_kind))
                 rows, ids = rows + len(keys), ids + len(got)
         if out is not None:
             out.close()
@@ -124,10 +126,10 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, folder: str
             yield pa.RecordBatch.from_arrays([*blank, pa.array(at.astype(np.int32)), pa.array(count[at])], schema=first.schema)
 
     ordered = docs.repartitionByRange(shuffle_parts(spark), id_col).sortWithinPartitions(id_col)
-    plain = saved(ordered.mapInArrow(encode, f"{_FILE}, token_id int, n bigint"), "plain")
+    plain = saved(ordered.mapInArrow(lean(encode), f"{_FILE}, token_id int, n bigint"), "plain")
     counts = plain.where("token_id is not null").groupBy("token_id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "token_id"], ascending=[False, True])
     id_of = counts["token_id"].to_numpy(np.uint32)
-    rank_of = np.zeros(1 << 16, np.uint32)
+    rank_of = np.zeros(size, np.uint32)
     rank_of[id_of] = np.arange(len(id_of), dtype=np.uint32)
     shared_ranks = spark.sparkContext.broadcast(rank_of)
 
@@ -136,12 +138,13 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, folder: str
             for row in batch.to_pylist():
                 out, name = _open(folder)
                 for keys, sizes, n, _, data in _raw_blocks(row["file"], "zstd"):
-                    _write_block(out, keys, sizes, n, *pack(shared_ranks.value[np.frombuffer(data, "<u2")]))
+                    _write_block(out, keys, sizes, n, *pack(shared_ranks.value[np.frombuffer(data, plain_kind)]))
                 out.close()
                 yield pa.RecordBatch.from_pylist([row | {"file": name}], batch.schema)
 
     files = plain.where("file is not null").select("file", "least", "rows", "ids").repartition(shuffle_parts(spark), "file")
-    made = files.mapInArrow(rank, _FILE).toPandas().sort_values(["least"], kind="stable")
+    made = files.mapInArrow(lean(rank), _FILE).toPandas().sort_values(["least"], kind="stable")
+    shared_ranks.destroy()
     made["first_row"] = made["rows"].cumsum() - made["rows"]
     made["first_id"] = made["ids"].cumsum() - made["ids"]
     made = made.astype({c: "int64" for c in made.columns if c != "file"})
@@ -186,4 +189,4 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, id_of: np.ndarray, wit
 
     schema = f"{id_col} bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     files = manifest.repartition(max(1, shuffle_parts(spark)), "file")
-    return files.select("file", "first_id").mapInArrow(run, schema)
+    return files.select("file", "first_id").mapInArrow(lean(run), schema)

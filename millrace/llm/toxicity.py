@@ -17,6 +17,7 @@ Extra columns are ignored. Texts are read whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import pretokens
-from millrace.llm.common import U64, pieces_of, prefix_hash, ragged, span_hash, texts_of
+from millrace.llm.common import U64, lean, parts_of, pieces_of, prefix_hash, ragged, span_hash, texts_of
 
 FOLDS = 5
 BLOCK = 64
@@ -35,6 +36,8 @@ GROUP = 64
 ENTRIES = 4096
 #: Terms that more than one in COMMON examples have are multiplied as a matrix.
 COMMON = 16
+#: Where long texts may be cut (every such character isn't a letter).
+NOT_A_LETTER = re.compile(r"[\W\d_]")
 _lower: list[np.ndarray] = []
 
 
@@ -54,7 +57,12 @@ def _lower_table() -> np.ndarray:
 
 
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of letters, in lower case, and the number of the text that each is in."""
+    """Hashes of all runs of letters, in lower case, and the number of the text that each is in. Long texts are taken in parts."""
+    found = [(owner, *_words(part)) for owner, part in parts_of(texts, NOT_A_LETTER)]
+    return np.concatenate([np.empty(0, U64), *(h for _, h, _ in found)]), np.concatenate([np.empty(0, np.int64), *(owner[doc] for owner, _, doc in found)])
+
+
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     points = _lower_table()[points]
     letter = np.zeros(len(points) + 1, np.int8)
@@ -211,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, k: int = 1
                 own = [np.unique(part, return_counts=True) for part in parts]
                 yield pa.RecordBatch.from_arrays([piece.column(id_col), pa.array([t.tobytes() for t, _ in own], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in own], pa.binary())], names=[id_col, "terms", "times"])
 
-    found = sample.mapInArrow(vectors, f"{id_col} bigint, terms binary, times binary").toArrow()
+    found = sample.mapInArrow(lean(vectors), f"{id_col} bigint, terms binary, times binary").toArrow()
     ids = found.column(id_col).to_numpy()
     label_of = {i: label_of[i] for i in ids.tolist()}
     times = [np.frombuffer(x, np.int32) for x in found.column("times").to_pylist()]
@@ -229,7 +237,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, k: int = 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["term", "n"])
 
-    df = docs.select(text_col).mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = docs.select(text_col).mapInArrow(lean(frequencies), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
     count = np.zeros(len(terms) + 1, np.int64)
     count[df.column("term").to_numpy()] = df.column("n").to_numpy()
     idf = np.log((1 + count[-1]) / (1 + count[:-1])) + 1
@@ -303,7 +312,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "held_out", "score", "predicted", "evidence"])
 
     chosen = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col), held_out(id_col).alias("held_out"))
-    return chosen.mapInArrow(run, f"{id_col} bigint, held_out boolean, score double, predicted int, evidence array<bigint>")
+    return chosen.mapInArrow(lean(run), f"{id_col} bigint, held_out boolean, score double, predicted int, evidence array<bigint>")
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -316,4 +325,4 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 scores, _ = shared.value.scores(texts_of(piece.column(text_col)))
                 yield piece.filter(pa.array(scores < 0.5))
 
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(lean(run), docs.withColumn(text_col, F.col(text_col).cast("string")).schema)

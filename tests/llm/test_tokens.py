@@ -88,9 +88,49 @@ def test_sentencepieces(docs, texts, empty):
     assert sentencepieces.encode(empty, PIECES).count() == sentencepieces.round_trip(empty, PIECES).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_sentencepiece", "op6_token_files", "op7_token_counts"])
-def test_queries(spark, data, name):
+def test_long_texts_in_parts(monkeypatch):
+    """Texts that are cut give what they give as a whole."""
+    words = ["naïve", "it's", "12.5%", "中文字", "a", "  two", "x\n", "end.", "don't", "Ünder_score"]
+    text = " ".join(words[(k * 7 + k // 5) % 10] for k in range(3000))
+    texts = ["", text, "short one", text[:700], "nocutinhere" * 100]
+    from millrace.llm import common
+
+    whole = pretokens.encode_texts(BYTES, texts), sentencepieces.codec(PIECES).encode(texts), token_counts._measured(BYTES, texts, 500)
+    for module in (pretokens, token_counts):
+        monkeypatch.setattr(module, "parts_of", lambda t, e, skip=0: common.parts_of(t, e, 300, skip))
+    cut = pretokens.encode_texts(BYTES, texts), sentencepieces.codec(PIECES).encode(texts), token_counts._measured(BYTES, texts, 500)
+    for a, b in zip(whole, cut, strict=True):
+        assert all((x == y).all() for x, y in zip(a, b, strict=True))
+    library = pretokens.library(BYTES)[0]
+    assert whole[0][1].tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_other_models_are_refused(monkeypatch):
+    import sentencepiece
+
+    class Unigram(sentencepiece.SentencePieceProcessor):
+        def get_score(self, i):
+            return -2.5
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Unigram)
+    with pytest.raises(ValueError, match="BPE"):
+        sentencepieces.SentencePieces(PIECES)
+
+
+def test_queries_by_the_libraries(spark, data):
+    """The registered queries over their whole table, each row against the public library."""
     from millrace.llm.queries import queries
 
-    got = queries()[name](spark, data).toPandas()
-    assert len(got) == spark.read.parquet(f"{data}/documents.parquet").count() and got["doc_id"].is_unique
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    library, codec = pretokens.library(BYTES)[0], sentencepieces.codec(PIECES).library
+    ids = {d: library.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
+    pieces = {d: codec.encode(t) for d, t in texts.items()}
+    found = {name: {r.doc_id: r for r in queries()[name](spark, data).collect()} for name in ("op2_sentencepiece", "op6_token_files", "op7_token_counts")}
+    start = 0
+    for d in sorted(texts):
+        two, six, seven = (found[name][d] for name in found)
+        assert (two.n_tokens, two.ids_crc32, two.same) == (len(pieces[d]), crc(pieces[d]), True) and two.text_crc32 == zlib.crc32(texts[d].encode())
+        assert (six.start, six.n_tokens, six.ids_crc32) == (start, len(ids[d]) + 1, crc([*ids[d], 0]))
+        assert (seven.n_bytes, seven.n_tokens, seven.over_limit) == (len(texts[d].encode()), len(ids[d]), len(ids[d]) > 512)
+        start += six.n_tokens
+    assert all(len(rows) == len(texts) for rows in found.values())
