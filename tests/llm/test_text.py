@@ -62,30 +62,86 @@ URLS = [
 
 
 def test_urls(spark):
-    df = spark.createDataFrame([(k, u[0], "h") for k, u in enumerate(URLS)], "page_id bigint, url string, host string")
+    df = spark.createDataFrame([(k, u[0], "h", "w") for k, u in enumerate(URLS)], "page_id bigint, url string, host string, words string")
     got = url_filter.judge(df, url_filter.fit(df)).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule, r.verdict) for r in got] == [u[1:] for u in URLS]
     assert url_filter.judge(df.where("false"), url_filter.fit(df.where("false"))).count() == 0
 
 
-def test_segments_and_bayes(spark):
-    split = url_filter.Segmenter({"cheap": 50, "pills": 50, "news": 80})
-    assert split("cheappills") == ("cheap", "pills") and split("xqzcheapnews") == ("xqz", "cheap", "news") and split("") == ()
-    rows = [(k, f"http://{h}.com/en/{k}") for k, h in enumerate(["cheap-pills", "casinobonus", "bonuscasino", "weather", "citynews", "blog", "garden", "books"] * 20)] + [(999, "http://bonus.com/x")]
-    df = spark.createDataFrame(rows, "page_id bigint, url string")
-    got = {r.page_id: r.verdict for r in url_filter.judge(df, url_filter.fit(df)).collect()}
-    assert [got[k] for k in range(8)] == ["block"] * 3 + ["allow"] * 5 and got[999] == "block"  # bonus keeps casino's company
+TALK = "<p>cheap news for the city</p> weather in the garden; books, blogs and a bonus. A blog on music news <script>farmfarm</script>"
+
+
+def pages_of(spark, hosts, more=()):
+    rows = [(k, f"http://{h}.com/en/{k}", TALK) for k, h in enumerate(hosts)]
+    return spark.createDataFrame([*rows, *more], "page_id bigint, url string, html string")
+
+
+def test_segments(spark):
+    df = pages_of(spark, ["x"] * 5, [(9, None, None), (10, "http://y/quilt/quilt", None)])
+    words = url_filter.word_counts(df)
+    n = {r.word: r.n for r in words.collect()}
+    assert n["news"] == 10 and n["quilt"] == 2 and n["casino"] == 1 and "farmfarm" not in n and "a" not in n
+    hosts = spark.createDataFrame([("cheappills.citynews.com",), ("xqzcheapnews-quilt",), ("",), ("7.8",), ("b" * 300 + "garden",)], "host string")
+    got = {r.host[:20]: r.words for r in url_filter.segmented(hosts, words).collect()}
+    assert got["cheappills.citynews."] == ["cheap", "pills", "city", "news", "com"] and got["xqzcheapnews-quilt"] == ["xqz", "cheap", "news", "quilt"]
+    assert got["b" * 20] == ["b" * 300, "garden"] and set(got) == {"cheappills.citynews.", "xqzcheapnews-quilt", "b" * 20}
+
+
+def test_split_is_the_cheapest():
+    """Viterbi against all ways to cut."""
+    rng = np.random.default_rng(5)
+    cost = {"".join(rng.choice(list("abc"), rng.integers(2, 5))): float(c) for c in 1 + 5 * rng.random(12)}
+
+    def all_ways(run):
+        if not run:
+            yield 0.0
+        for k in range(1, len(run) + 1):
+            c = cost.get(run[:k], 7.0 * k if k == 1 else None)
+            if c is not None:
+                yield from (c + x for x in all_ways(run[k:]))
+
+    for _ in range(60):
+        run = "".join(rng.choice(list("abc"), 9))
+        parts = url_filter.split_run(run, cost, 7.0)
+        assert "".join(parts) == run and sum(cost.get(x, 7.0 * len(x)) for x in parts) == pytest.approx(min(all_ways(run)))
+
+
+def test_bayes_learns_company(spark):
+    """Hosts without any seed are known by the words that blocked sites have too."""
+    hosts = (["casino-bonus", "bonus-pills", "cheapbets", "cheap-casino", "weather", "citynews", "blog", "garden", "books", "musicblog", "citygarden", "newsweather"] * 20)
+    df = pages_of(spark, hosts, [(1000 + k, f"http://{h}.com/en/x", TALK) for k, h in enumerate(["bonuscheap", "bonus", "cheap-bonus", "newsblog", "city-books", "musicgarden"])])
+    got = {r.page_id: r for r in url_filter.judge(df, url_filter.fit(df)).collect()}
+    assert [got[k].verdict for k in range(12)] == ["block"] * 4 + ["allow"] * 8
+    assert [got[1000 + k].verdict for k in range(6)] == ["block"] * 3 + ["allow"] * 3  # no seed among these
+    assert len({round(r.score, 6) for r in got.values()}) > 6
 
 
 def test_rare_words_count(spark):
-    rows = [(k, f"http://{h}.com/en/{k}") for k, h in enumerate(["weather", "citynews", "blog", "garden", "books", "music"] * 40)]
-    rows += [(1000, "http://warez.com/qqq"), (1000, "http://warez.com/qqq"), (1001, "http://warez.com/zzz/yyy/qqq"), (1002, "http://plain.com/zzz"), (1003, None), (1004, "http://plain.com/unseen")]
-    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    more = [(1000, "http://warez.com/qqq", None), (1000, "http://warez.com/qqq", None), (1001, "http://warez.com/zzz/yyy/qqq", ""), (1002, "http://plain.com/zzz", "plain"), (1003, None, "x"), (1004, "http://plain.com/unseen", None)]
+    df = pages_of(spark, ["weather", "citynews", "blog", "garden", "books", "music"] * 40, more)
     got, want = (sorted((r.page_id, r.verdict, round(r.score, 9)) for r in url_filter.judge(df, url_filter.fit(df, max_words=m)).collect()) for m in (8, 4096))
-    assert got == want and len(got) == len(rows)
+    assert got == want and len(got) == df.count()
     assert [v for k, v, _ in got if k in (1000, 1001)] == ["block"] * 3
 
 
+def test_url_query_by_brute_force(spark, data):
+    """Host, path, rule and ruled verdicts of the registered query, page by page."""
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rules = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+    rows = queries()["op3_url_filter"](spark, data).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for r in rows:
+        host = path = ""
+        if "://" in (pages[r.page_id] or ""):
+            rest = re.split("[?#]", pages[r.page_id].split("://", 1)[1])[0]
+            host, slash, path = rest.partition("/")
+            host, path = host.translate(lower), slash + path
+        fits = [(len(h + p), v, h + p) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert (r.host, r.path, r.rule) == (host, path, max(fits)[2] if fits else None)
+        assert r.verdict == max(fits)[1] if fits else r.verdict in ("allow", "block")
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(4)
     n, t = 500, 40
