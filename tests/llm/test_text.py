@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -19,6 +20,31 @@ def test_base_spans():
     assert secret_scan.base_spans("ſecret=abcdefgh12") == []  # only ASCII letters have two cases
 
 
+def test_candidates():
+    """Vectorised candidates against a plain loop."""
+    rng = np.random.default_rng(9)
+    alphabet = list("ab3F+/_.=- \n:é\"") + ["token=", "AKIA", "-----", "deadbeef"]
+    texts = ["", "...", "é" * 9, *("".join(rng.choice(alphabet, 80)) for _ in range(200))]
+    got = secret_scan.search(texts)
+    want = []
+    for k, t in enumerate(texts):
+        spans = secret_scan.base_spans(t)
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t):
+            a = m.start() + len(m[0]) - len(m[0].lstrip(".-"))
+            b = max(a, m.start() + len(m[0].rstrip(".-")))
+            if b - a >= 8 and not any(s < b and e > a for s, _, e in spans):
+                want.append((k, a, b))
+    found = [(k, a - got.begin[k], b - got.begin[k]) for k, a, b in zip(got.owner.tolist(), got.start.tolist(), got.end.tolist(), strict=True)]
+    assert found == want and len(want) > 20
+
+
+def test_long_texts_take_linear_time():
+    text = "token=abcdefgh12 supercalifragilistic 0123456789abcdef0123456789abcdef " * 40_000
+    began = time.perf_counter()
+    got = secret_scan.search([text])
+    assert len(got.start) == 40_000 and len(got.matches[0]) == 80_000 and time.perf_counter() - began < 20
+
+
 def test_automaton_learns_a_format():
     rng = np.random.default_rng(1)
     hexes = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(300)]
