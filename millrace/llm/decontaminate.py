@@ -9,24 +9,28 @@ candidates that have enough of the item's words around them at all, the longest
 words in order make a leak; with `min_paraphrase`, which a rewording may leave, the item's answer (its last sentence, or
 the last quarter of its words if there is one sentence) must be there to min_overlap as well.
 
-Null and empty texts and items leak nothing. Items whose words occur nowhere else work like others. Items are handled in
-slices of bounded size, so a benchmark of any length is held against all documents. Texts are read whole. Rows without
+Null and empty texts and items leak nothing. Items whose words occur nowhere else work like others. Items are indexed in
+slices of bounded size, each kept in the shared folder; documents are read once to count words and once to be searched, whatever the number of
+slices: a task holds a bounded share of its texts and one slice's index at a time. What comes to the driver is one slice's items at a
+time, and the benchmark's vocabulary. Texts are read whole. Rows without
 an id are judged, with a null id in the result; rows that repeat give their results again. Items of equal id count as one by the
 best of them. An empty table on either side gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, mixed, pieces_of, ragged, texts_of
+from millrace.llm.common import U64, lean, mixed, pieces_of, ragged, shared_dir, texts_of
 from millrace.llm.toxicity import words
 
 #: Words of a window, which starts every HALF words.
@@ -34,8 +38,9 @@ WINDOW = 32
 HALF = WINDOW // 2
 #: Bits of the hash of an item and a term.
 PAIR_BITS = 24
-#: Items that a task holds at a time.
+#: Items of a slice, and bytes of texts that a task searches with one slice's index before the next (it holds that many).
 SLICE = 4096
+HELD_BYTES = 8 << 20
 
 
 @dataclass
@@ -94,8 +99,9 @@ def randomised_svd(items: DataFrame, terms: np.ndarray, idf: np.ndarray, rank: i
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([x.tobytes() for x in out], pa.binary())], names=["term", "sums"])
 
         total = np.zeros((len(terms), width))
-        for r in items.select(text_col).mapInArrow(run, "term bigint, sums binary").toLocalIterator():
+        for r in items.select(text_col).mapInArrow(lean(run), "term bigint, sums binary").toLocalIterator():
             total[r.term] += np.frombuffer(r.sums)
+        shared.destroy()
         return total
 
     for _ in range(rounds):
@@ -124,7 +130,8 @@ def _frequencies(docs: DataFrame, terms: np.ndarray, text_col: str) -> np.ndarra
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["term", "n"])
 
-    found = docs.select(text_col).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select(text_col).mapInArrow(lean(run), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    shared.destroy()
     df = np.zeros(len(terms) + 1, np.int64)
     df[found["term"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
@@ -141,8 +148,19 @@ def _known(texts: list[str], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at[hit], doc[near[hit]], (h, doc, near[hit])
 
 
-def index(docs: DataFrame, items: DataFrame, rank: int = 256, id_col: str = "item_id", item_text: str = "text", text_col: str = "text") -> Index | None:
-    """The index of one slice of items (a bounded table), with counts over all documents; None if no item has words."""
+def vocabulary(items: DataFrame, text_col: str) -> np.ndarray:
+    """Hashes of all words of the items, sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(words(texts_of(batch.column(text_col)))[0]).view(np.int64))], names=["term"])
+
+    found = items.select(text_col).mapInArrow(lean(run), "term bigint").distinct().toPandas()
+    return np.sort(found["term"].to_numpy(np.int64).view(U64))
+
+
+def index(items: DataFrame, every: np.ndarray, idf_of: np.ndarray, rank: int = 256, id_col: str = "item_id", item_text: str = "text") -> Index | None:
+    """The index of one slice of items (a bounded table), with the inverse document frequencies of every word; None if no item has words."""
     # rows' order doesn't matter, but must not change between reads
     rows = items.select(F.col(id_col).alias("id"), F.col(item_text).cast("string").alias(item_text)).orderBy("id", item_text).toPandas()
     texts = [t or "" for t in rows[item_text].tolist()]
@@ -150,9 +168,9 @@ def index(docs: DataFrame, items: DataFrame, rank: int = 256, id_col: str = "ite
     terms = np.unique(h)
     if not len(terms):
         return None
+    idf = idf_of[np.searchsorted(every, terms)]
     full = np.flatnonzero(np.bincount(row, minlength=len(texts)))
     cut = np.split(h, np.searchsorted(row, np.arange(1, len(texts))))
-    idf = _frequencies(docs, terms, text_col)
     space = randomised_svd(items.select(F.col(item_text).cast("string").alias(item_text)).repartition(4), terms, idf, rank, item_text)
     r, t, w = _tfidf(h, row, len(texts), terms, idf)
     latent = np.zeros((len(texts), space.shape[1]))
@@ -266,56 +284,96 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, min_ov
     docs = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col))
     items = benchmark.select(F.col(item_id).cast("bigint").alias(item_id), F.col(item_text).cast("string").alias(item_text))
     slices = max(1, -(-items.count() // SLICE))
-    schema = f"{id_col} bigint, {item_id} bigint, overlap double"
-    out = spark.createDataFrame([], schema)
+    every = vocabulary(items, item_text)
+    idf = _frequencies(docs, every, text_col) if len(every) else np.zeros(0)
+    folder, files = shared_dir(spark, "leak-index"), []
     for k in range(slices):
-        own = items.where(F.pmod(F.xxhash64(item_text), F.lit(slices)) == k)
-        found = index(docs, own, rank, item_id, item_text, text_col)
+        found = index(items.where(F.pmod(F.xxhash64(item_text), F.lit(slices)) == k), every, idf, rank, item_id, item_text)
         if found is not None:
-            out = out.unionByName(docs.mapInArrow(_search(spark.sparkContext.broadcast(found), min_cosine, min_overlap, min_paraphrase, id_col, text_col, item_id), schema))
+            files.append(_kept(folder, k, found))
+    out = docs.mapInArrow(lean(_search(files, min_cosine, min_overlap, min_paraphrase, id_col, text_col, item_id)), f"{id_col} bigint, {item_id} bigint, overlap double")
     return out if slices == 1 else out.groupBy(id_col, item_id).agg(F.max("overlap").alias("overlap"))
 
 
-def _search(shared, min_cosine: float, min_overlap: float, min_paraphrase: float, id_col: str, text_col: str, item_id: str):
+def _kept(folder: str, number: int, index: Index) -> str:
+    """The file that holds a slice's index."""
+    fs, inner = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(inner, recursive=True)
+    with fs.open_output_stream(f"{inner}/{number}.index") as f:
+        f.write(pickle.dumps(index))
+    return f"{folder}/{number}.index"
+
+
+def _loaded(file: str) -> tuple:
+    """A slice's index, and what the checks need of its items."""
+    fs, inner = pafs.FileSystem.from_uri(file)
+    with fs.open_input_stream(inner) as f:
+        index: Index = pickle.loads(f.read())
+    masks = [(_masks(w), len(w), _masks(a), len(a)) for w, a in zip(index.item_words, index.answers, strict=True)]
+    return index, masks, _pair_bits(index), np.array([len(w) for w in index.item_words])
+
+
+def _search(files: list[str], min_cosine: float, min_overlap: float, min_paraphrase: float, id_col: str, text_col: str, item_id: str):
+    def found(loaded: tuple, piece: pa.RecordBatch, memo: dict[tuple[bytes, int], float]) -> pa.RecordBatch:
+        index, masks, bits, sizes = loaded
+        texts = texts_of(piece.column(text_col))
+        window, item, starts, owner, h, count, place, term = _candidates(index, texts, min_cosine)
+        ends = np.cumsum(count)
+        doc = owner[window]
+        low = np.maximum((ends - count)[doc], starts[window] - sizes[item])
+        high = np.minimum(ends[doc], starts[window] + WINDOW + sizes[item])
+        keep = _shared_words(bits, low, high, item, place, term) / sizes[item] >= min_paraphrase
+        best: dict[tuple[int, int], float] = {}
+        for i, d, a, b in zip(*(x[keep].tolist() for x in (item, doc, low, high)), strict=True):
+            own, size, answer, answer_size = masks[i]
+            row = h[a:b]
+            key = (row.tobytes(), i)
+            if key not in memo:
+                if len(memo) > 20_000:
+                    memo.clear()
+                near = row.tolist()
+                share = common_length(own, size, near) / size
+                if share < min_paraphrase or (share < min_overlap and common_length(answer, answer_size, near) < min_overlap * answer_size):
+                    share = 0.0
+                memo[key] = share
+            if memo[key]:
+                best[d, i] = max(best.get((d, i), 0.0), memo[key])
+        ids = piece.column(id_col).to_pylist()
+        merged: dict[tuple[int, int | None], float] = {}
+        for (d, i), share in best.items():
+            merged[d, index.ids[i]] = max(merged.get((d, index.ids[i]), 0.0), share)
+        return pa.RecordBatch.from_pydict({id_col: pa.array([ids[d] for d, _ in merged], pa.int64()), item_id: pa.array([i for _, i in merged], pa.int64()), "overlap": pa.array(list(merged.values()), pa.float64())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
-        masks = [(_masks(w), len(w), _masks(a), len(a)) for w, a in zip(index.item_words, index.answers, strict=True)]
-        bits, sizes = _pair_bits(index), np.array([len(w) for w in index.item_words])
-        memo: dict[tuple[bytes, int], float] = {}
+        held, size = [], 0
+        loaded: tuple | None = None  # the last slice's index: the only one where there is one slice
+        number, memo = -1, {}
+
+        def searched() -> Iterator[pa.RecordBatch]:
+            nonlocal loaded, number
+            for k in range(len(files)):
+                if number != k:
+                    loaded, number = None, k
+                    memo.clear()
+                    loaded = _loaded(files[k])
+                for piece in held:
+                    yield found(loaded, piece, memo)
+
         for batch in batches:
             for piece in pieces_of(batch, text_col):
-                texts = texts_of(piece.column(text_col))
-                window, item, starts, owner, h, count, place, term = _candidates(index, texts, min_cosine)
-                ends = np.cumsum(count)
-                doc = owner[window]
-                low = np.maximum((ends - count)[doc], starts[window] - sizes[item])
-                high = np.minimum(ends[doc], starts[window] + WINDOW + sizes[item])
-                keep = _shared_words(bits, low, high, item, place, term) / sizes[item] >= min_paraphrase
-                best: dict[tuple[int, int], float] = {}
-                for i, d, a, b in zip(*(x[keep].tolist() for x in (item, doc, low, high)), strict=True):
-                    own, size, answer, answer_size = masks[i]
-                    row = h[a:b]
-                    key = (row.tobytes(), i)
-                    if key not in memo:
-                        if len(memo) > 20_000:
-                            memo.clear()
-                        near = row.tolist()
-                        share = common_length(own, size, near) / size
-                        if share < min_paraphrase or (share < min_overlap and common_length(answer, answer_size, near) < min_overlap * answer_size):
-                            share = 0.0
-                        memo[key] = share
-                    if memo[key]:
-                        best[d, i] = max(best.get((d, i), 0.0), memo[key])
-                ids = piece.column(id_col).to_pylist()
-                merged: dict[tuple[int, int | None], float] = {}
-                for (d, i), share in best.items():
-                    merged[d, index.ids[i]] = max(merged.get((d, index.ids[i]), 0.0), share)
-                yield pa.RecordBatch.from_pydict({id_col: pa.array([ids[d] for d, _ in merged], pa.int64()), item_id: pa.array([i for _, i in merged], pa.int64()), "overlap": pa.array(list(merged.values()), pa.float64())})
+                held.append(piece)
+                size += piece.nbytes
+                if size >= HELD_BYTES or len(files) == 1:
+                    yield from searched()
+                    held, size = [], 0
+        yield from searched()
 
     return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of documents into which no item leaks, with all their columns."""
+    """The rows of documents into which no item leaks, with all their columns, whatever their names. Rows without an id stay, as no
+    result can name them."""
     bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **settings).select(F.col(id_col).alias("__leaking")).distinct()
-    return docs.join(bad, docs[id_col].cast("bigint") == F.col("__leaking"), "left_anti")
+    joined = docs.alias("d").join(bad.alias("b"), F.col(f"d.{id_col}").cast("bigint") == F.col("b.__leaking"), "left_anti")
+    return joined.select("d.*")

@@ -291,3 +291,51 @@ def test_leak_query_by_brute_force(spark, data):
     items = {r.item_id: flat(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
     want = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     assert want <= {(r.doc_id, r.item_id) for r in queries()["op4_decontaminate"](spark, data).collect()}
+
+
+def altered(rng, row, share, keep=0):
+    """A row of words with a share of them reworded, but for the last `keep`."""
+    row = list(row)
+    n = len(row) - keep
+    for k in rng.choice(n, min(n, int(share * len(row))), replace=False) if n > 0 else []:
+        row[k] = "".join(rng.choice(list("qxzj"), 6))
+    return row
+
+
+@pytest.mark.parametrize("settings", [{}, {"rank": 12}, {"SLICE": 7}])
+def test_leaks_by_full_subsequences(spark, monkeypatch, settings):
+    """Recall and precision against the longest common subsequence of every item with every window of every document: verbatim items,
+    reworded ones, and paraphrases that leave the answer."""
+    rng = np.random.default_rng(11)
+    items = {r.item_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()}
+    prose = [w for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars between 500 and 3000").orderBy("doc_id").limit(60).collect() for w in r.text.split()]
+    docs, n = {}, 0
+    for t in items.values():
+        row, answer = t.split(), len(decontaminate._answer(t).split())
+        for share, keep in ((0, 0), (0.12, 0), (0.2, 0), (0.3, answer), (0.45, 0)):
+            at = int(rng.integers(0, len(prose) - 400))
+            docs[n] = " ".join([*prose[at : at + int(rng.integers(0, 200))], *altered(rng, row, share, keep), *prose[at + 200 : at + 200 + int(rng.integers(0, 200))]])
+            n += 1
+    if "SLICE" in settings:
+        monkeypatch.setattr(decontaminate, "SLICE", settings["SLICE"])
+        monkeypatch.setattr(decontaminate, "HELD_BYTES", 5000)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3)
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, bench, **{k: v for k, v in settings.items() if k == "rank"}).collect()}
+    cut = lambda t: toxicity.words([t])[0]
+    want = set()
+    for d, t in docs.items():
+        row = cut(t)
+        for i, item in items.items():
+            w, a = cut(item), cut(decontaminate._answer(item))
+            masks, of_answer = decontaminate._masks(w), decontaminate._masks(a)
+            if decontaminate.common_length(masks, len(w), row.tolist()) < 0.65 * len(w):
+                continue
+            for s in range(0, len(row), 4):
+                near = row[max(0, s - len(w)) : s + 32 + len(w)].tolist()
+                share = decontaminate.common_length(masks, len(w), near) / len(w)
+                if share >= 0.8 or share >= 0.65 and decontaminate.common_length(of_answer, len(a), near) >= 0.8 * len(a):
+                    want.add((d, i))
+                    break
+    assert len(want) >= 2.5 * len(items)
+    assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
