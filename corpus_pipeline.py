@@ -1,7 +1,10 @@
 """Corpus pipeline: documents without toxic ones, repeated lines, near copies and benchmark leaks, encoded to ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet to the shared folder
-and reads them again for the next. All but the last return the columns of documents.
+and reads them again for the next. All but the last return the columns of documents, extra ones included, whatever their names.
+Null, empty and blank texts stay through all stages but line dedup, which drops a document only if it deleted lines and nothing is left; they get no
+ids. Very long texts are handled whole. Rows that repeat an id and a text stay or go together. Rows without an id are judged by toxicity and
+line dedup and pass the other two filters. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, ngram_join, sentencepieces, toxicity
-from millrace.llm.common import saved, table
+from millrace.llm.common import saved, table, unused
 from millrace.llm.queries import vocabulary
 
 
@@ -22,18 +25,21 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without runs of lines, of 50 words or more, that an earlier document has; n_chars follows the text.
     Documents with nothing left go."""
-    out = line_dedup.dedup(docs, min_words=50, removed_col="__removed")
-    out = out.where(~((F.col("__removed") > 0) & (F.trim(F.coalesce("text", F.lit(""))) == ""))).drop("__removed")
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("bigint"), F.col("n_chars"))).select(docs.columns)
+    removed = unused(docs, "removed_lines")
+    out = line_dedup.dedup(docs, min_words=50, removed_col=removed)
+    out = out.where(~((F.col(removed) > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")))
+    if "n_chars" in docs.columns:
+        length = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies: five-word shingles, Jaccard 0.8 or more.
 
     Without words a document is in no group; rows that repeat one id stay or go together."""
-    groups = ngram_join.join(docs, n=5, num=80, den=100).select(F.col("doc_id").alias("__id"), "component_id")
-    gone = groups.where("component_id != __id").select("__id").distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = ngram_join.join(docs, n=5, num=80, den=100).where("component_id != doc_id").select("doc_id").distinct()
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti").select("d.*")
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
