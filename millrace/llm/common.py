@@ -32,11 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the setting is unset (local runs and tests), a folder of the session's warehouse is used
-    and also set as the checkpoint directory.
+    Where the setting is unset and everything runs in one process (local runs and tests), a folder of the session's warehouse; on a cluster
+    an unset folder is an error, as executors and driver need not share any other.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[\d*, ]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         if "://" not in root and not root.startswith("file:"):
             root = f"file://{root}"
@@ -183,5 +185,13 @@ def free_names(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in names])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that the frame doesn't have (names are compared without regard to case)."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def as_long(name: str):
     return F.col(name).cast("bigint").alias(name)

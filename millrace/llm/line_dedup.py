@@ -88,9 +88,12 @@ def _kept(text: Column, runs: Column) -> Column:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, removed_col: str | None = None) -> DataFrame:
     """The rows with repeated runs deleted from their texts; with removed_col, also the number of lines deleted."""
     marks = saved(repeats(docs, id_col, text_col, min_words), "line-marks")
-    marked = docs.join(marks.hint("merge"), F.col(id_col).eqNullSafe(F.col(ID)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(COPY)), "left")
-    text = F.when(F.col(RUNS).isNull(), F.col(text_col)).otherwise(_kept(F.col(text_col).cast("string"), F.col(RUNS)))
-    columns = [(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns if c != removed_col]
+    # by place, so that no name of an input column can be one of the marks'
+    place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    body = F.col(place[text_col])
+    marked = docs.toDF(*place.values()).join(marks.hint("merge"), F.col(place[id_col]).eqNullSafe(F.col(ID)) & (F.xxhash64(body.cast("string")) == F.col(COPY)), "left")
+    text = F.when(F.col(RUNS).isNull(), body).otherwise(_kept(body.cast("string"), F.col(RUNS)))
+    columns = [(text if c == text_col else F.col(x)).alias(c) for c, x in place.items() if c != removed_col]
     if removed_col:
         columns.append(F.coalesce(F.aggregate(RUNS, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1), F.lit(0)).alias(removed_col))
     return marked.select(*columns)

@@ -4,9 +4,9 @@ Ids are replaced by their rank in frequency over all documents (the most frequen
 Each rank takes 1 to 4 bytes, low byte first; the byte counts, two bits each, lie apart in control bytes, four
 to a byte. Decoding looks each control byte up in a table of lengths and gathers the bytes with numpy.
 
-A file is a run of blocks. A block: 4 little-endian unsigned 64-bit numbers (rows, ids, control bytes, data bytes),
+A file is a run of blocks, and files hold ascending ranges of ids. A block: 4 little-endian unsigned 64-bit numbers (rows, ids, control bytes, data bytes),
 then per row its id (signed 64-bit; the smallest number stands for null), its number of ids (unsigned 32-bit),
-the control bytes and the data bytes. Files hold disjoint, ascending ranges of row ids, and rows ascend within
+the control bytes and the data bytes. Files hold ascending ranges of row ids, which share an id at most where it ends one and begins the next, and rows ascend within
 them (null first); the rank table is kept beside them as Parquet.
 
 Null and empty texts give the end id alone. Equal ids and repeated rows stay, in any order among themselves. An empty
@@ -83,12 +83,12 @@ def _write_block(out, keys: np.ndarray, sizes: np.ndarray, n: int, control: np.n
         out.write(part.tobytes())
 
 
-_FILE = "file string, least bigint, rows bigint, ids bigint"
+_FILE = "file string, least bigint, most bigint, rows bigint, ids bigint"
 
 
-def _file_row(name: str, least: int, rows: int, ids: int) -> pa.RecordBatch:
-    schema = pa.schema([("file", pa.string()), ("least", pa.int64()), ("rows", pa.int64()), ("ids", pa.int64()), ("token_id", pa.int32()), ("n", pa.int64())])
-    return pa.RecordBatch.from_pylist([{"file": name, "least": least, "rows": rows, "ids": ids}], schema)
+def _file_row(name: str, least: int, most: int, rows: int, ids: int) -> pa.RecordBatch:
+    schema = pa.schema([("file", pa.string()), ("least", pa.int64()), ("most", pa.int64()), ("rows", pa.int64()), ("ids", pa.int64()), ("token_id", pa.int32()), ("n", pa.int64())])
+    return pa.RecordBatch.from_pylist([{"file": name, "least": least, "most": most, "rows": rows, "ids": ids}], schema)
 
 
 def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray]:
@@ -105,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, folder: str
     docs = docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias(text_col))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, rows, ids, least, count = None, 0, 0, 0, np.zeros(size, np.int64)
+        out, rows, ids, least, most, count = None, 0, 0, 0, 0, np.zeros(size, np.int64)
         for batch in batches:
             for piece in pieces_of(batch, text_col):
                 got, sizes = pretokens.encode_texts(path, texts_of(piece.column(text_col)))
@@ -116,16 +116,17 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, folder: str
                 if out is None:
                     (out, name), least = _open(f"{folder}/plain", "zstd"), int(keys[0])
                 _write_block(out, keys, sizes, len(got), np.empty(0, np.uint8), got.astype(plain_kind))
-                rows, ids = rows + len(keys), ids + len(got)
+                rows, ids, most = rows + len(keys), ids + len(got), int(keys[-1])
         if out is not None:
             out.close()
-            first = _file_row(name, least, rows, ids)
+            first = _file_row(name, least, most, rows, ids)
             yield first
             at = np.flatnonzero(count)
-            blank = [pa.nulls(len(at), f.type) for f in first.schema][:4]
+            blank = [pa.nulls(len(at), f.type) for f in first.schema][:5]
             yield pa.RecordBatch.from_arrays([*blank, pa.array(at.astype(np.int32)), pa.array(count[at])], schema=first.schema)
 
-    ordered = docs.repartitionByRange(shuffle_parts(spark), id_col).sortWithinPartitions(id_col)
+    # rows of one id (or of none) may be many: they are dealt by their texts too, and their files stand side by side
+    ordered = docs.repartitionByRange(shuffle_parts(spark), F.col(id_col), F.xxhash64(text_col)).sortWithinPartitions(id_col)
     plain = saved(ordered.mapInArrow(lean(encode), f"{_FILE}, token_id int, n bigint"), "plain")
     counts = plain.where("token_id is not null").groupBy("token_id").agg(F.sum("n").alias("n")).toPandas().sort_values(["n", "token_id"], ascending=[False, True])
     id_of = counts["token_id"].to_numpy(np.uint32)
@@ -142,8 +143,8 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 0, folder: str
                 out.close()
                 yield pa.RecordBatch.from_pylist([row | {"file": name}], batch.schema)
 
-    files = plain.where("file is not null").select("file", "least", "rows", "ids").repartition(shuffle_parts(spark), "file")
-    made = files.mapInArrow(lean(rank), _FILE).toPandas().sort_values(["least"], kind="stable")
+    files = plain.where("file is not null").select("file", "least", "most", "rows", "ids").repartition(shuffle_parts(spark), "file")
+    made = files.mapInArrow(lean(rank), _FILE).toPandas().sort_values(["least", "most"], kind="stable")
     shared_ranks.destroy()
     made["first_row"] = made["rows"].cumsum() - made["rows"]
     made["first_id"] = made["ids"].cumsum() - made["ids"]

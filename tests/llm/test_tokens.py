@@ -76,6 +76,19 @@ def test_files(spark, docs, texts, empty):
     assert token_files.read_tokens(spark, manifest, id_of).count() == 0
 
 
+def test_files_of_one_id(spark):
+    """An id, and no id, that many rows share: dealt over files, in ascending order all the same."""
+    rows = [(7 if k % 3 else None, f"text {k}") for k in range(300)] + [(k, "x") for k in range(5)] + [(9, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    manifest, id_of = token_files.write_tokens(df, BYTES, end_id=0)
+    files = manifest.collect()
+    assert sum(f.least == f.most == 7 or f.most == token_files.NULL_ID for f in files) >= 1 and len(files) > 1
+    got = token_files.read_tokens(spark, manifest, id_of).orderBy("start").collect()
+    keys = [-1 if r.doc_id is None else r.doc_id for r in got]
+    assert keys == sorted(-1 if i is None else i for i, _ in rows)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1].tolist()]
+
+
 def test_sentencepieces(docs, texts, empty):
     codec = sentencepieces.codec(PIECES)
     encoded = sentencepieces.encode(docs, PIECES)
