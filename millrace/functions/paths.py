@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -53,19 +54,43 @@ class Path:
         """Name for a field that holds the selected value: the last key."""
         return next((s for s in reversed(self.steps) if isinstance(s, str)), "")
 
-    def column(self, doc: Column) -> Column:
-        """The selected scalar of a variant column as text; null if there is none."""
+    def sql(self, doc: str) -> str:
+        """The selected scalar of a variant, given as SQL text, as SQL text for a string; null if there is none."""
         if not self.steps:
-            return F.lit(None).cast("string")
+            return "CAST(NULL AS STRING)"
+        plain = "$"
         for step in self.steps:
-            if isinstance(step, int):
-                at = F.lit(step + 1 if step >= 0 else step)
-                doc = F.try_element_at(doc.try_cast("array<variant>"), at)
-            elif step and all(c.isalnum() and c.isascii() or c == "_" for c in step) and not step[0].isdigit():
-                doc = F.try_variant_get(doc, f"$.{step}", "variant")
-            else:
-                doc = F.try_element_at(doc.try_cast("map<string,variant>"), F.lit(step))
-        return variant_text(doc)
+            if isinstance(step, int) and step >= 0:
+                plain += f"[{step}]"
+            elif isinstance(step, str) and re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", step):
+                plain += f".{step}"
+            else:  # what the variant's own paths can't say
+                doc, plain = _got(doc, plain), "$"
+                doc = f"try_element_at(TRY_CAST({doc} AS ARRAY<VARIANT>), {step})" if isinstance(step, int) else f"try_element_at(TRY_CAST({doc} AS MAP<STRING, VARIANT>), {literal(step)})"
+        return variant_text(_got(doc, plain))
+
+    def column(self, doc: str = "doc", raw: str | None = None) -> Column:
+        """The selected scalar of a variant (a column's name or SQL text) as text. raw: the JSON text that the variant was read from,
+        in which most scalars are found more cheaply."""
+        return F.expr(self.sql(doc) if raw is None else self.sql_of_text(raw, doc))
+
+    def sql_of_text(self, raw: str, doc: str | None = None) -> str:
+        """sql() of JSON text. What the text holds is taken as it stands where it begins with a letter (only strings and booleans do) or is a
+        short whole number; other values are read as a variant."""
+        slow = self.sql(doc or f"parse_json({raw})")
+        if not self.steps or not all(isinstance(s, str) and re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", s) for s in self.steps):
+            return slow
+        quick = f"get_json_object({raw}, '$.{'.'.join(self.steps)}')"
+        return f"CASE WHEN {quick} RLIKE '^([A-Za-z_]|(0|-?[1-9][0-9]{{0,14}})$)' THEN {quick} WHEN {quick} IS NOT NULL THEN {slow} END"
+
+
+def _got(doc: str, path: str) -> str:
+    return doc if path == "$" else f"try_variant_get({doc}, '{path}', 'variant')"
+
+
+def literal(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def compile_path(expression: str) -> Path:
@@ -142,45 +167,37 @@ def scalar_text(value: object) -> str | None:
     return None
 
 
-def _bound(value: Column, f) -> Column:
-    """f(value) with the value computed once, and with its code kept out of the surrounding generated code."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
-def variant_text(value: Column) -> Column:
-    """scalar_text of a variant column. Integers up to 2**53 are taken as they are, other numbers through double."""
-    return _bound(value, lambda v: _variant_text(v, F.schema_of_variant(v)))
+def _bound(value: str, name: str, out: str) -> str:
+    """SQL text of `out`, in which `name` stands for the value: computed once."""
+    return f"get(transform(array({value}), {name} -> {out}), 0)"
 
 
-def _variant_text(value: Column, kind: Column) -> Column:
-    whole = F.try_variant_get(value, "$", "bigint")
-    double = F.try_variant_get(value, "$", "double")
-    small = (kind == "BIGINT") & whole.between(-(1 << 53), 1 << 53)
-    return (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "string"))
-        .when(small, whole.cast("string"))
-        .when((kind == "BIGINT") | (kind == "DOUBLE") | (kind == "FLOAT") | kind.startswith("DECIMAL"), double_text(double))
+def variant_text(value: str) -> str:
+    """scalar_text of a variant as SQL text. Integers up to 2**53 are taken as they are, other numbers through double."""
+    number = double_text("try_variant_get(v, '$', 'double')")
+    return _bound(
+        value,
+        "v",
+        f"""CASE WHEN schema_of_variant(v) IN ('STRING', 'BOOLEAN') THEN try_variant_get(v, '$', 'string')
+        WHEN schema_of_variant(v) = 'BIGINT' AND try_variant_get(v, '$', 'bigint') BETWEEN -{1 << 53} AND {1 << 53} THEN try_variant_get(v, '$', 'string')
+        WHEN schema_of_variant(v) IN ('BIGINT', 'DOUBLE', 'FLOAT') OR startswith(schema_of_variant(v), 'DECIMAL') THEN {number} END""",
     )
 
 
-def double_text(double: Column) -> Column:
-    """number_text of a double column, by moving the point of Spark's shortest form where that has an exponent."""
-    return _bound(double, lambda x: F.when(~(F.isnan(x) | (F.abs(x) == float("inf"))), _bound(x.cast("string"), _without_exponent)))
+def double_text(value: str) -> str:
+    """number_text of a double as SQL text: Spark's shortest form, whose point is moved only where it has an exponent."""
+    text = _bound("CAST(x AS STRING)", "t", rf"CASE WHEN contains(t, 'E') THEN {_WITHOUT_EXPONENT} ELSE regexp_replace(t, '\\.0$', '') END")
+    return _bound(value, "x", f"CASE WHEN NOT isnan(x) AND abs(x) < double('infinity') THEN {text} END")
 
 
-def _without_exponent(text: Column) -> Column:
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    mantissa = F.regexp_extract(text, r"^-?([0-9.]+)(?:E-?\d+)?$", 1)
-    power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    whole, part = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), r"^0$", "")
-    digits = F.concat(whole, part)
-    point = F.length(whole) + power
-    left = F.when(point <= 0, "0").otherwise(F.rpad(digits.substr(F.lit(1), F.greatest(point, F.lit(0))), point, "0"))
-    right = F.when(point <= 0, F.concat(F.repeat(F.lit("0"), -point), digits)).otherwise(digits.substr(point + 1, F.length(digits)))
-    right = F.rtrim(right, F.lit("0"))
-    plain = F.concat(sign, F.regexp_replace(left, r"^0+(?=\d)", ""), F.when(right == "", "").otherwise(F.concat(F.lit("."), right)))
-    return F.when(text.contains("E"), plain).otherwise(F.regexp_replace(text, r"\.0$", ""))
+#: t is sign, one digit, point, digits, E and power; its digits without the point, and the point's new place, give the plain form.
+_WITHOUT_EXPONENT = _bound(
+    r"named_struct('sign', regexp_extract(t, '^-?', 0), 'digits', concat(regexp_extract(t, '^-?(\\d)', 1), regexp_replace(regexp_extract(t, '\\.(\\d+)', 1), '^0$', '')), 'point', 1 + CAST(regexp_extract(t, 'E(-?\\d+)$', 1) AS INT))",
+    "n",
+    """CASE WHEN n.point <= 0 THEN concat(n.sign, '0.', repeat('0', -n.point), n.digits)
+    WHEN n.point >= length(n.digits) THEN concat(n.sign, rpad(n.digits, n.point, '0'))
+    ELSE concat(n.sign, left(n.digits, n.point), '.', substring(n.digits, n.point + 1)) END""",
+)
 
 
 def canonical_json(doc: object) -> str:

@@ -52,13 +52,21 @@ def pending(outbox: DataFrame, now: Column, limit: int = 64) -> DataFrame:
     return due.limit(limit) if limit else due
 
 
+#: Status of records whose whole batch failed; retryable like all from 500 on.
+BATCH_FAILED = 599
+
+
 def send(batch: DataFrame, sink: Callable) -> DataFrame:
-    """Verdicts (output_id, status, error_type) of a sink, called once per partition on the executors."""
+    """Verdicts (output_id, status, error_type) of a sink, called on the executors for some records at a time. An exception
+    of the sink is the verdict of all these records: they are retryable, and the job goes on."""
 
     def run(batches):
         for b in batches:
             rows = list(zip(*[b.column(c).to_pylist() for c in ("output_id", "index", "document")], strict=True))
-            got = list(sink(rows))
+            try:
+                got = [(i, int(status), error) for i, status, error in sink(rows)]
+            except Exception as e:  # whatever the sink raises, no record may be lost
+                got = [(i, BATCH_FAILED, type(e).__name__) for i, _, _ in rows]
             yield pa.RecordBatch.from_pydict({"output_id": pa.array([g[0] for g in got], pa.string()), "status": pa.array([g[1] for g in got], pa.int32()), "error_type": pa.array([g[2] for g in got], pa.string())})
 
     return batch.select("output_id", "index", "document").mapInArrow(run, "output_id string, status int, error_type string")

@@ -1,8 +1,9 @@
 """Flows of a bounded table: one exchange by (rule, key), a sort, and the fold over each sorted partition.
 
-The fold streams: a task holds the open flow of one key and the rows of the batches it is reading, so a key with
-any number of events needs no more memory than its longest flow. Keys are independent, so partitions scale out; one
-key's events are in order by nature and stay in one task.
+Only the keys are read before the exchange; types, stamps, groups and roles are read after it, where the work is spread by
+key however the input was cut, and the exchange carries five columns. The fold streams: a task holds the open flow of one key and the
+rows of the batches it is reading, so a key with any number of events needs no more memory than its longest flow. Keys are
+independent, so partitions scale out; one key's events are in order by nature and stay in one task.
 """
 
 from __future__ import annotations
@@ -11,33 +12,46 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from millrace.operators.fold import FLOW_SCHEMA, Event, Flow, closed_row
-from millrace.operators.route import matched
+from millrace.operators.fold import FLOW_SCHEMA, Closed, Event, Flow, closed_batch
+from millrace.operators.route import claim, describe, matched
 from millrace.plans.rules import Rule
 
 #: Closed flows per Arrow batch.
 BATCH = 4096
 INPUT = ("rule", "key", "observed_at", "raw", "event_type", "stamp", "stitch", "role", "groups", "terminal")
+ORDER = ("rule", "key", "observed_at", "seq")
 
 
-def fold(routed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Closed flows (FLOW_SCHEMA) of routed events, numbered per key from 1. Open flows at the end close at their deadlines."""
+def flows(events: DataFrame, rules: Sequence[Rule], with_raw: bool = True) -> DataFrame:
+    """Closed flows (FLOW_SCHEMA) of events, numbered per key from 1. Open flows at the end close at their deadlines.
+    with_raw False: without the events' texts, for views that don't look into them."""
+    narrow = matched(claim(events, rules)).select(*ORDER, "raw").repartition("rule", "key").sortWithinPartitions(*ORDER)
+    return _folded(describe(narrow.withColumn("doc", F.parse_json("raw")), rules).select(*INPUT), rules, with_raw)
+
+
+def fold(routed: DataFrame, rules: Sequence[Rule], with_raw: bool = True) -> DataFrame:
+    """Closed flows of events that are routed already."""
+    needed = matched(routed).select(*INPUT, "seq").repartition("rule", "key").sortWithinPartitions(*ORDER)
+    return _folded(needed.select(*INPUT), rules, with_raw)
+
+
+def _folded(needed: DataFrame, rules: Sequence[Rule], with_raw: bool) -> DataFrame:
     rules = tuple(rules)
-    schema = T._parse_datatype_string(FLOW_SCHEMA)
-    arrow = to_arrow_schema(schema, timestamp_utc=True)
+    arrow = to_arrow_schema(T._parse_datatype_string(FLOW_SCHEMA), timestamp_utc=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[dict] = []
+        out: list[Closed] = []
         at: tuple[int, str] | None = None
         flow, seq, rule = None, 0, None
 
         def close(reason: str, when: int) -> None:
             nonlocal flow, seq
             seq += 1
-            out.append(closed_row(*at, seq, flow, reason, when))
+            out.append(Closed(*at, seq, flow, reason, when))
             flow = None
 
         for batch in batches:
@@ -57,12 +71,11 @@ def fold(routed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
                 if reason := flow.closes(rule, observed):
                     close(reason, observed)
             while len(out) >= BATCH:
-                yield pa.RecordBatch.from_pylist(out[:BATCH], arrow)
+                yield closed_batch(out[:BATCH], arrow, with_raw)
                 del out[:BATCH]
         if flow is not None:
             close(flow.expiry_reason(rule), flow.expires_at)
-        for k in range(0, len(out), BATCH):
-            yield pa.RecordBatch.from_pylist(out[k : k + BATCH], arrow)
+        if out:
+            yield closed_batch(out, arrow, with_raw)
 
-    needed = matched(routed).select(*INPUT, "seq").repartition("rule", "key").sortWithinPartitions("rule", "key", "observed_at", "seq")
-    return needed.select(*INPUT).mapInArrow(run, FLOW_SCHEMA)
+    return needed.mapInArrow(run, FLOW_SCHEMA)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.paths import Path, compile_path
+from millrace.functions.paths import Path, compile_path, literal
 from millrace.functions.scalars import index_name, stamp
 from millrace.plans.rules import Rule
 
@@ -21,43 +21,45 @@ def _by_rule(rules: Sequence[Rule], make, kind: str) -> Column:
     return out
 
 
-def route(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Events with rule (its place among `rules`; null if none claims the event), key, and what the fold needs of each:
-    event_type, stamp (the producer's time), stitch, role, groups (null if the event stands alone) and terminal."""
-    enabled = [(k, r) for k, r in enumerate(rules) if r.enabled]
-    keyed = events
-    for k, r in enabled:
-        keyed = keyed.withColumn(f"key{k}", r.key.column(F.col("doc")))
-    which = F.coalesce(*[F.when(F.col(f"key{k}") != "", F.lit(k)) for k, _ in enabled], F.lit(None).cast("int"))
-    key = F.coalesce(*[F.when(F.col(f"key{k}") != "", F.col(f"key{k}")) for k, _ in enabled], F.lit(None).cast("string"))
-    out = keyed.select(*events.columns, which.alias("rule"), key.alias("key"))
-    out = out.withColumn("event_type", _by_rule(rules, lambda r: r.event_type.column(F.col("doc")) if r.event_type else None, "string"))
-    out = out.withColumn("stamp", _by_rule(rules, lambda r: stamp(r.timestamp.column(F.col("doc"))) if r.timestamp else None, "timestamp"))
-    out = out.withColumn("terminal", F.coalesce(_by_rule(rules, lambda r: F.col("event_type").isin(*r.terminal_events) if r.terminal_events else None, "boolean"), F.lit(False)))
+def claim(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Events with rule (its place among `rules`; null if none claims the event) and key."""
+    names = {k: f"__key{k}" for k, r in enumerate(rules) if r.enabled}
+    keyed = events.select("*", *[rules[k].key.column("doc", "raw").alias(name) for k, name in names.items()])
+    which = "CAST(NULL AS INT)" if not names else "coalesce(" + ", ".join(f"CASE WHEN {n} != '' THEN {k} END" for k, n in names.items()) + ")"
+    key = "CAST(NULL AS STRING)" if not names else "coalesce(" + ", ".join(f"nullif({n}, '')" for n in names.values()) + ")"
+    return keyed.select(*events.columns, F.expr(which).cast("int").alias("rule"), F.expr(key).alias("key"))
+
+
+def describe(claimed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Claimed events with what the fold needs of each: event_type, stamp (the producer's time), stitch, role, groups (null if the event
+    stands alone) and terminal."""
+    event_type = _by_rule(rules, lambda r: r.event_type.column("doc", "raw") if r.event_type else None, "string")
+    stamped = _by_rule(rules, lambda r: stamp(r.timestamp.column("doc", "raw")) if r.timestamp else None, "timestamp")
+    out = claimed.select("*", event_type.alias("event_type"), stamped.alias("stamp"))
+    terminal = F.coalesce(_by_rule(rules, lambda r: F.col("event_type").isin(*r.terminal_events) if r.terminal_events else None, "boolean"), F.lit(False))
 
     def place(rule: Rule) -> Column | None:
         """(stitch, role) that the event's type has in the rule."""
-        made = None
-        for s in reversed(rule.stitches):
-            for role in reversed(s.roles):
-                hit = F.struct(F.lit(s.id).alias("stitch"), F.lit(role.name).alias("role"))
-                cond = F.col("event_type").isin(*role.types)
-                made = F.when(cond, hit) if made is None else F.when(cond, hit).otherwise(made)
-        return made
+        cases = [f"WHEN event_type IN ({', '.join(map(literal, role.types))}) THEN named_struct('stitch', {literal(s.id)}, 'role', {literal(role.name)})" for s in rule.stitches for role in s.roles if role.types]
+        return F.expr(f"CASE {' '.join(cases)} END") if cases else None
 
-    out = out.withColumn("place", _by_rule(rules, place, "struct<stitch:string,role:string>"))
+    out = out.select("*", terminal.alias("terminal"), _by_rule(rules, place, "struct<stitch:string,role:string>").alias("place"))
 
     def groups(rule: Rule) -> Column | None:
-        made = None
-        for s in rule.stitches:
-            values = F.array(*[g.column(F.col("doc")) for g in s.group_by]) if s.group_by else F.array().cast("array<string>")
-            known = F.when(~F.exists(values, lambda v: v.isNull()), values)
-            made = F.when(F.col("place.stitch") == s.id, known) if made is None else made.when(F.col("place.stitch") == s.id, known)
-        return made
+        cases = [f"WHEN place.stitch = {literal(s.id)} THEN array({', '.join(g.sql_of_text('raw', 'doc') for g in s.group_by)})" for s in rule.stitches if s.group_by]
+        cases += [f"WHEN place.stitch = {literal(s.id)} THEN CAST(array() AS ARRAY<STRING>)" for s in rule.stitches if not s.group_by]
+        return F.expr(f"CASE {' '.join(cases)} END") if cases else None
 
     out = out.withColumn("groups", _by_rule(rules, groups, "array<string>"))
+    known = F.expr("CASE WHEN groups IS NOT NULL AND NOT exists(groups, g -> g IS NULL) THEN groups END")
+    grouped = out.withColumn("groups", known)
     alone = F.col("groups").isNull()
-    return out.withColumn("stitch", F.when(~alone, F.col("place.stitch"))).withColumn("role", F.when(~alone, F.col("place.role"))).drop("place")
+    return grouped.select(*[c for c in grouped.columns if c not in ("place", "terminal")], "terminal", F.when(~alone, F.col("place.stitch")).alias("stitch"), F.when(~alone, F.col("place.role")).alias("role"))
+
+
+def route(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Claimed and described events."""
+    return describe(claim(events, rules), rules)
 
 
 def matched(routed: DataFrame) -> DataFrame:
@@ -72,5 +74,5 @@ def unmatched(routed: DataFrame) -> DataFrame:
 def pass_through(routed: DataFrame, index: str, timestamp: str = "", now: Column | None = None) -> DataFrame:
     """Unclaimed events as they came, with the index their date gives them; without a readable date, that of `now`."""
     path = compile_path(timestamp) if timestamp else Path()
-    at = stamp(path.column(F.col("doc")))
+    at = stamp(path.column())
     return unmatched(routed).select("raw", "observed_at", "seq", index_name(index, at, now if now is not None else F.col("observed_at")).alias("index"))

@@ -10,8 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import SPARK_TYPES, coerced, index_name, micros, milliseconds, output_id
-from millrace.plans.rules import FINALIZED, LAST, Promotion, Rule, Stitch
+from millrace.functions.paths import literal
+from millrace.functions.scalars import SPARK_TYPES, coerced, index_name, output_id
+from millrace.plans.rules import FINALIZED, LAST, Promotion, Rule
 
 
 def per_rule(rules: Sequence[Rule], make, kind: str) -> Column:
@@ -23,60 +24,47 @@ def per_rule(rules: Sequence[Rule], make, kind: str) -> Column:
     return out
 
 
-def _role_stamps(call: Column, stitch: Stitch, names: Sequence[str]) -> Column:
-    """Stamps of the members of a call in these roles, in this order; roles without a member are left out."""
+def _role_stamps(names: Sequence[str]) -> str:
+    """SQL text: stamps of the members of the call c in these roles, in this order; roles without a member are left out."""
+    members = [f"transform(filter(events, e -> e.invocation = c.number AND e.role = {literal(n)}), e -> e.stamp)" for n in names]
+    return f"flatten(array({', '.join(members)}))" if members else "CAST(array() AS ARRAY<TIMESTAMP>)"
 
-    def of(name: str) -> Column:
-        return F.filter("events", lambda e: (e["invocation"] == call["number"]) & (e["role"] == name))
 
-    members = [of(n) for n in names]
-    return F.flatten(F.array(*[F.transform(m, lambda e: e["stamp"]) for m in members])) if members else F.array().cast("array<timestamp>")
-
-
-def _first_known(stamps: Column) -> Column:
-    return F.get(F.filter(stamps, lambda s: s.isNotNull()), F.lit(0))
-
-
-def _last(stamps: Column) -> Column:
-    return F.get(stamps, F.size(stamps) - 1)
+def _timed(rule: Rule) -> str:
+    """SQL text: the flow's calls with started_at, ended_at and duration_ms. A call begins with its first known stamp in the order of the
+    required roles, and ends with the last of these; if none of them has a stamp, all roles count."""
+    need = "CASE " + " ".join(f"WHEN c.stitch = {literal(s.id)} THEN {_role_stamps(s.required)}" for s in rule.stitches) + " END"
+    every = "CASE " + " ".join(f"WHEN c.stitch = {literal(s.id)} THEN {_role_stamps([r.name for r in s.roles])}" for s in rule.stitches) + " END"
+    known = "exists(c.need, s -> s IS NOT NULL)"
+    given = ", ".join(f"'{n}', c.{n}" for n in ("stitch", "groups", "ord", "first_observed", "complete", "duplicates", "number"))
+    numbered = "transform(invocations, (i, k) -> named_struct('stitch', i.stitch, 'groups', i.groups, 'ord', i.ord, 'first_observed', i.first_observed, 'complete', i.complete, 'duplicates', i.duplicates, 'number', k))"
+    stamped = f"transform({numbered}, c -> named_struct({given}, 'need', {need}, 'every', {every}))"
+    bounded = f"transform({stamped}, c -> named_struct({given}, 'started_at', get(filter(CASE WHEN {known} THEN c.need ELSE c.every END, s -> s IS NOT NULL), 0), 'last', CASE WHEN {known} THEN get(c.need, size(c.need) - 1) ELSE get(c.every, size(c.every) - 1) END))"
+    apart = "unix_micros(c.last) - unix_micros(c.started_at)"
+    return f"transform({bounded}, c -> named_struct({given}, 'started_at', c.started_at, 'ended_at', CASE WHEN c.complete THEN c.last END, 'duration_ms', CASE WHEN c.complete THEN ({apart}) DIV 1000 ELSE -1L END))"
 
 
 def with_figures(flows: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Flow rows with rule_id, rule_version, started_at, ended_at, duration_ms, age_ms, event_count, entry_count,
     duplicate_count, incomplete_invocations, complete_invocations, calls (invocations with their times) and output_id."""
-    stamps = F.filter(F.transform("events", lambda e: e["stamp"]), lambda s: s.isNotNull())
-    numbered = F.transform("invocations", lambda i, k: i.withField("number", k))
-
-    def timed(rule: Rule) -> Column:
-        def times(call: Column) -> Column:
-            first, last = F.lit(None).cast("timestamp"), F.lit(None).cast("timestamp")
-            for s in rule.stitches:
-                need = _role_stamps(call, s, s.required)
-                every = _role_stamps(call, s, [r.name for r in s.roles])
-                known = _first_known(need).isNotNull()
-                own = call["stitch"] == s.id
-                first = F.when(own, F.coalesce(_first_known(need), _first_known(every))).otherwise(first)
-                last = F.when(own, F.when(known, _last(need)).otherwise(_last(every))).otherwise(last)
-            duration = F.when(call["complete"], milliseconds(micros(last) - micros(first))).otherwise(F.lit(-1).cast("bigint"))
-            return call.withField("started_at", first).withField("ended_at", F.when(call["complete"], last)).withField("duration_ms", duration)
-
-        return F.transform(numbered, times)
-
     calls_type = "array<struct<stitch:string,groups:array<string>,ord:int,first_observed:timestamp,complete:boolean,duplicates:bigint,number:int,started_at:timestamp,ended_at:timestamp,duration_ms:bigint>>"
-    out = flows.withColumn("started_at", F.array_min(stamps)).withColumn("ended_at", F.array_max(stamps))
-    open_calls = F.size(F.filter("invocations", lambda i: ~i["complete"]))
+    out = flows.selectExpr(
+        "*",
+        "array_min(transform(events, e -> e.stamp)) AS started_at",
+        "array_max(transform(events, e -> e.stamp)) AS ended_at",
+        "CAST(size(filter(invocations, i -> NOT i.complete)) AS BIGINT) AS incomplete_invocations",
+        "CAST(size(filter(invocations, i -> i.complete)) AS BIGINT) AS complete_invocations",
+    )
     return out.select(
         "*",
         per_rule(rules, lambda r: F.lit(r.id), "string").alias("rule_id"),
         per_rule(rules, lambda r: F.lit(r.version), "string").alias("rule_version"),
-        milliseconds(micros(F.col("ended_at")) - micros(F.col("started_at"))).alias("duration_ms"),
-        milliseconds(micros(F.col("finalized_at")) - micros(F.col("first_observed"))).alias("age_ms"),
-        F.size("events").cast("bigint").alias("event_count"),
-        (F.size("invocations") + F.size(F.filter("events", lambda e: e["invocation"] < 0))).cast("bigint").alias("entry_count"),
-        F.coalesce(F.aggregate("duplicates", F.lit(0).cast("bigint"), lambda a, d: a + d["count"]), F.lit(0)).alias("duplicate_count"),
-        open_calls.cast("bigint").alias("incomplete_invocations"),
-        (F.size("invocations") - open_calls).cast("bigint").alias("complete_invocations"),
-        per_rule(rules, timed, calls_type).alias("calls"),
+        F.expr("(unix_micros(ended_at) - unix_micros(started_at)) DIV 1000 AS duration_ms"),
+        F.expr("(unix_micros(finalized_at) - unix_micros(first_observed)) DIV 1000 AS age_ms"),
+        F.expr("CAST(size(events) AS BIGINT) AS event_count"),
+        F.expr("CAST(size(invocations) + size(filter(events, e -> e.invocation < 0)) AS BIGINT) AS entry_count"),
+        F.expr("coalesce(aggregate(duplicates, 0L, (n, d) -> n + d.count), 0L) AS duplicate_count"),
+        per_rule(rules, lambda r: F.expr(_timed(r)).cast(calls_type) if r.stitches else F.expr(f"CAST(array() AS {calls_type})"), calls_type).alias("calls"),
     ).withColumn("output_id", output_id(F.col("rule_id"), F.col("key"), F.col("first_observed")))
 
 
@@ -116,17 +104,13 @@ def entries(figures: DataFrame) -> DataFrame:
 def promoted_text(rule: Rule, p: Promotion) -> Column:
     """The raw text that a promotion selects from a flow's events."""
 
-    def value(e: Column) -> Column:
-        return p.path.column(F.parse_json(e["raw"]))
-
-    if p.source == "first":
-        return value(F.get("events", F.lit(0)))
-    if p.source == "last":
-        return value(F.get("events", F.size("events") - 1))
+    if p.source in ("first", "last"):
+        at = "0" if p.source == "first" else "size(events) - 1"
+        return F.expr(p.path.sql_of_text(f"get(events, {at}).raw"))
     if p.source:
         # the first event in the role decides, even if it has no such value
-        return value(F.get(F.filter("events", lambda e: e["role"] == p.source), F.lit(0)))
-    return F.get(F.filter(F.transform("events", value), lambda v: v.isNotNull()), F.lit(0))
+        return F.expr(p.path.sql_of_text(f"get(filter(events, e -> e.role = {literal(p.source)}), 0).raw"))
+    return F.expr(f"get(filter(transform(events, e -> {p.path.sql_of_text('e.raw')}), w -> w IS NOT NULL), 0)")
 
 
 def promoted(figures: DataFrame, rules: Sequence[Rule]) -> DataFrame:

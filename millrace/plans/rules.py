@@ -82,10 +82,39 @@ class Rule:
     max_flow_bytes: int = 0
     output_timestamp: str = FIRST
     version: str = ""
+    _required: dict[str, frozenset[str]] = field(default_factory=dict, init=False, repr=False, compare=False, hash=False)
 
     def stitch(self, stitch_id: str) -> Stitch:
         return next(s for s in self.stitches if s.id == stitch_id)
 
+    def required(self, stitch_id: str) -> frozenset[str]:
+        """Roles that make an invocation of the stitch complete."""
+        if not self._required:
+            self._required.update({s.id: frozenset(s.required) for s in self.stitches})
+        return self._required[stitch_id]
+
+    def to_json(self) -> str:
+        """The whole rule, in the order it was given, as text that from_json reads."""
+
+        def plain(x: Any) -> Any:
+            if isinstance(x, Path):
+                return x.expression
+            if is_dataclass(x):
+                return {f.name: plain(getattr(x, f.name)) for f in fields(x) if f.compare}
+            return [plain(v) for v in x] if isinstance(x, tuple) else x
+
+        return json.dumps(plain(self), ensure_ascii=False, separators=(",", ":"))
+
+    @classmethod
+    def from_json(cls, text: str) -> Rule:
+        raw = json.loads(text)
+        path = lambda x: compile_path(x) if x else Path()
+        for name in ("key", "event_type", "timestamp"):
+            raw[name] = path(raw[name])
+        raw["stitches"] = tuple(Stitch(s["id"], tuple(map(path, s["group_by"])), tuple(Role(r["name"], tuple(r["types"])) for r in s["roles"]), tuple(s["requires"])) for s in raw["stitches"])
+        raw["promotions"] = tuple(Promotion(p["name"], path(p["path"]), p["type"], p["source"]) for p in raw["promotions"])
+        return cls(**raw | {"terminal_events": tuple(raw["terminal_events"])})
+
     def check(self) -> None:
         """Raises ConfigError if the rule contradicts itself."""
         for ok, why in ((self.id, "rule id is required"), (self.key, "correlation key is required"), (self.timeout_us > 0, "timeout must be positive"), (self.index, "output index is required")):
@@ -116,7 +145,7 @@ class Rule:
             if isinstance(x, Path):
                 return x.expression
             if is_dataclass(x):
-                return {f.name: plain(getattr(x, f.name)) for f in fields(x) if f.name != "version"}
+                return {f.name: plain(getattr(x, f.name)) for f in fields(x) if f.compare and f.name != "version"}
             return [plain(v) for v in x] if isinstance(x, tuple) else x
 
         stitches = tuple(replace(s, roles=tuple(sorted((replace(r, types=tuple(sorted(r.types))) for r in s.roles), key=lambda r: r.name)), requires=tuple(sorted(s.requires))) for s in self.stitches)

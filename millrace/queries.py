@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from millrace.functions.paths import compile_path
 from millrace.functions.scalars import coerced, index_name, retry_delay_ms
 from millrace.operators import delivery, views
-from millrace.operators.flows import fold
+from millrace.operators.flows import flows
 from millrace.operators.route import pass_through, route, unmatched
 from millrace.plans.rules import ALL_COMPLETE, Promotion, Role, Rule, Stitch
 from millrace.sources.events import accept, accept_batch, as_events
@@ -69,7 +69,7 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _selected(name: str, expression: str, sql: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _documents(spark, d).select(F.col("seq").alias("event_id"), p(expression).column(F.col("doc")).alias("selected"))
+        return _documents(spark, d).select(F.col("seq").alias("event_id"), p(expression).column().alias("selected"))
 
     run.__name__ = name
     query(f"SELECT event_id, {sql} AS selected FROM events")(run)
@@ -111,8 +111,8 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _flows(spark: SparkSession, d: str, rule: Rule) -> DataFrame:
-    return views.with_figures(fold(route(_events(spark, d), [rule]), [rule]), [rule])
+def _flows(spark: SparkSession, d: str, rule: Rule, with_raw: bool = False) -> DataFrame:
+    return views.with_figures(flows(_events(spark, d), [rule], with_raw), [rule])
 
 
 STAMP = "(ts - to_hours(CAST(event_id % 5 * 3 AS INTEGER)))"
@@ -172,12 +172,12 @@ def flow_complete(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CALLS_SQL + "SELECT reason, count(*) AS n FROM f GROUP BY reason")
 def flow_reason_counts(spark: SparkSession, d: str) -> DataFrame:
-    return views.reason_counts(fold(route(_events(spark, d), [CALLS]), [CALLS]))
+    return views.reason_counts(flows(_events(spark, d), [CALLS], with_raw=False))
 
 
 @query(CALLS_SQL + f"SELECT {KEY}, flow_seq, event_id, CASE WHEN status = 'member' THEN CASE bit WHEN 1 THEN 'request' ELSE 'response' END END AS role FROM r")
 def flow_assign_events(spark: SparkSession, d: str) -> DataFrame:
-    events = fold(route(_events(spark, d), [CALLS]), [CALLS]).select("key", "flow_seq", F.explode("events").alias("e"))
+    events = flows(_events(spark, d), [CALLS]).select("key", "flow_seq", F.explode("events").alias("e"))
     return events.select("key", "flow_seq", F.get_json_object("e.raw", "$.event_id").cast("bigint").alias("event_id"), "e.role")
 
 
@@ -223,7 +223,7 @@ def entry_timeline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _promoted(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return views.promoted(_flows(spark, d, CALLS), [CALLS]).select("key", "flow_seq", F.col(f"fields.{name}").alias(name))
+    return views.promoted(_flows(spark, d, CALLS, with_raw=True), [CALLS]).select("key", "flow_seq", F.col(f"fields.{name}").alias(name))
 
 
 @query(CALLS_SQL + f"SELECT {KEY}, flow_seq, arg_min(value, rn) AS first_value FROM r GROUP BY user_id, flow_seq")
@@ -248,7 +248,7 @@ def promote_default(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CALLS_SQL + f"""SELECT {KEY}, flow_seq, 'promoted field "wrong" received "' || arg_min(event_type, rn) || '", which is not long' AS detail FROM r GROUP BY user_id, flow_seq""")
 def promotion_failed(spark: SparkSession, d: str) -> DataFrame:
-    found = views.anomalies(views.promoted(_flows(spark, d, CALLS), [CALLS]))
+    found = views.anomalies(views.promoted(_flows(spark, d, CALLS, with_raw=True), [CALLS]))
     return found.where("kind = 'promotion_failed'").select("key", "flow_seq", "detail")
 
 
@@ -268,13 +268,13 @@ def index_daily(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def document_json(spark: SparkSession, d: str) -> DataFrame:
-    docs = views.documents(fold(route(_events(spark, d), [CALLS]), [CALLS]), [CALLS])
+    docs = views.documents(flows(_events(spark, d), [CALLS]), [CALLS])
     return docs.select("output_id", "index", us("created_at").alias("created_us"), "document")
 
 
 @query(CALLS_SQL + f"SELECT sha256('user-calls:' || user_id || ':' || {RFC}) AS output_id, {KEY}, reason, event_count FROM f")
 def document_fields(spark: SparkSession, d: str) -> DataFrame:
-    docs = views.documents(fold(route(_events(spark, d), [CALLS]), [CALLS]), [CALLS])
+    docs = views.documents(flows(_events(spark, d), [CALLS]), [CALLS])
     get = lambda path: F.get_json_object("document", path)
     return docs.select("output_id", get("$.flow.id").alias("key"), get("$.flow.finalization_reason").alias("reason"), get("$.flow.event_count").cast("bigint").alias("event_count"))
 
@@ -312,7 +312,7 @@ SELECT {KEY}, CAST(before AS BIGINT) + 1 AS flow_seq, CASE WHEN bool_or(big) THE
 )
 def flow_max_event_bytes(spark: SparkSession, d: str) -> DataFrame:
     rule = Rule("big", p("$.user"), 100_000 * HOUR, "x", event_type=p("$.event"), max_event_bytes=30)
-    return views.with_figures(fold(route(_small(spark, d), [rule]), [rule]), [rule]).select("key", "flow_seq", "reason", "event_count")
+    return views.with_figures(flows(_small(spark, d), [rule]), [rule]).select("key", "flow_seq", "reason", "event_count")
 
 
 @query(
@@ -323,7 +323,7 @@ SELECT {KEY}, flow_seq, CASE WHEN max(total) > 200 THEN 'limit_exceeded' ELSE 't
 )
 def flow_max_flow_bytes(spark: SparkSession, d: str) -> DataFrame:
     rule = Rule("heavy", p("$.user"), 100_000 * HOUR, "x", event_type=p("$.event"), max_flow_bytes=200)
-    return views.with_figures(fold(route(_small(spark, d), [rule]), [rule]), [rule]).select("key", "flow_seq", "reason", "event_count")
+    return views.with_figures(flows(_small(spark, d), [rule]), [rule]).select("key", "flow_seq", "reason", "event_count")
 
 
 DONE = "(s0 = 3 OR s1 = 3 OR s2 = 3) AND s0 NOT IN (1, 2) AND s1 NOT IN (1, 2) AND s2 NOT IN (1, 2)"
@@ -357,13 +357,12 @@ def flow_duplicates_by_type(spark: SparkSession, d: str) -> DataFrame:
     kinds = ("view", "click", "purchase", "signup", "error")
     stitch = Stitch("each", (p("$.event_id"),), tuple(Role(k, (k,)) for k in kinds), kinds)
     rule = Rule("twice", p("$.user"), 12 * HOUR, "x", event_type=p("$.event"), stitches=(stitch,))
-    flows = fold(route(_twice(spark, d), [rule]), [rule])
-    return flows.select("key", "flow_seq", F.explode("duplicates").alias("t")).select("key", "flow_seq", "t.type", F.col("t.count").alias("n"))
+    return flows(_twice(spark, d), [rule]).select("key", "flow_seq", F.explode("duplicates").alias("t")).select("key", "flow_seq", "t.type", F.col("t.count").alias("n"))
 
 
 @query(timebox_sql(12) + f"SELECT {KEY}, flow_seq, 2 * count(*) AS event_count, CAST(0 AS BIGINT) AS duplicate_count FROM b GROUP BY user_id, flow_seq")
 def plain_not_deduped(spark: SparkSession, d: str) -> DataFrame:
-    return views.with_figures(fold(route(_twice(spark, d), [TIMEBOX]), [TIMEBOX]), [TIMEBOX]).select("key", "flow_seq", "event_count", "duplicate_count")
+    return views.with_figures(flows(_twice(spark, d), [TIMEBOX]), [TIMEBOX]).select("key", "flow_seq", "event_count", "duplicate_count")
 
 
 @query(
@@ -377,7 +376,7 @@ def conversations_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     e = as_events(c, at, F.col("turn"), conv=F.col("conv_id"), role=F.col("role"), pair=F.floor(F.col("turn") / 2), turn=F.col("turn"))
     stitch = Stitch("turns", (p("$.pair"),), (Role("question", ("user",)), Role("answer", ("assistant",))))
     rule = Rule("dialogue", p("$.conv"), HOUR, "x", event_type=p("$.role"), stitches=(stitch,))
-    found = views.entries(views.with_figures(fold(route(e, [rule]), [rule]), [rule])).where("kind = 'stitched'")
+    found = views.entries(views.with_figures(flows(e, [rule]), [rule])).where("kind = 'stitched'")
     return found.select("key", F.get("groups", F.lit(0)).alias("pair"), "complete")
 
 
@@ -391,7 +390,7 @@ def order_shards(spark: SparkSession, d: str) -> DataFrame:
     place = ((F.col("l_linenumber").cast("bigint") * (1 << 27) + F.col("l_partkey")) * (1 << 24) + F.col("l_suppkey")) * (1 << 8) + F.col("l_quantity").cast("bigint")
     e = as_events(line, F.col("l_shipdate"), place, order=F.col("l_orderkey"), status=F.col("l_linestatus"), quantity=F.col("l_quantity"))
     rule = Rule("shards", p("$.order"), 100_000 * HOUR, "x", event_type=p("$.status"), max_events=3, promotions=(Promotion("first_quantity", p("$.quantity"), "double", "first"),))
-    made = views.promoted(views.with_figures(fold(route(e, [rule]), [rule]), [rule]), [rule])
+    made = views.promoted(views.with_figures(flows(e, [rule]), [rule]), [rule])
     return made.select("key", "flow_seq", "event_count", F.col("fields.first_quantity").alias("first_quantity"))
 
 
@@ -457,7 +456,7 @@ def batch_source(spark: SparkSession, d: str) -> DataFrame:
     second = F.when(F.col("event_id") % 3 == 0, one).otherwise(F.lit("7"))
     rows = e.select(F.concat(F.lit("["), one, F.lit(","), second, F.lit(","), second, F.lit("]")).alias("body"), F.col("ts").cast("timestamp").alias("observed_at"))
     got = accept_batch(rows).events.where("seq < 2")
-    return got.select(p("$.event_id").column(F.col("doc")).cast("bigint").alias("event_id"), F.col("seq").cast("int").alias("seq"), p("$.user").column(F.col("doc")).alias("user"))
+    return got.select(p("$.event_id").column().cast("bigint").alias("event_id"), F.col("seq").cast("int").alias("seq"), p("$.user").column().alias("user"))
 
 
 def _coerce(name: str, kind: str, texts: tuple[str, ...], sql: str) -> None:
@@ -582,8 +581,8 @@ def open_flows_by_rule(spark: SparkSession, d: str) -> DataFrame:
     """Flows open six hours before the end."""
     e = _events(spark, d)
     at = F.timestamp_micros(F.lit(e.agg(F.max(us("observed_at"))).first()[0] - 6 * HOUR))
-    flows = views.with_figures(fold(route(e.where(F.col("observed_at") <= at), [TIMEBOX]), [TIMEBOX]), [TIMEBOX])
-    return flows.where(F.col("finalized_at") > at).groupBy("rule_id").agg(F.count("*").alias("open_flows"))
+    found = views.with_figures(flows(e.where(F.col("observed_at") <= at), [TIMEBOX]), [TIMEBOX])
+    return found.where(F.col("finalized_at") > at).groupBy("rule_id").agg(F.count("*").alias("open_flows"))
 
 
 @query(CALLS_SQL + "SELECT reason, CASE WHEN event_count <= 1 THEN '1' WHEN event_count <= 3 THEN '3' ELSE 'inf' END AS le, count(*) AS n FROM f GROUP BY ALL")

@@ -1,15 +1,17 @@
 """Flows of a stream: the same fold with keyed state and timers.
 
-State holds the open flow of a (rule, key) and the rule as it was when the flow opened, so a flow ends under the rule it
-began with. In event time, the clock is observed_at: rows older than the watermark are dropped by Spark, so observed_at
-should be stamped on arrival (it then never goes back), or the watermark must allow for the disorder there is. In processing
-time nothing is dropped, and flows close when the clock reaches their deadlines.
+State holds the open flow of a (rule, key) and the rule as it was when the flow opened, as JSON, so a flow ends under the rule it
+began with even if the query is started again with other rules. It is cleared when the flow closes: what is kept are open flows
+only, and flows of a stream have no number (flow_seq is null; their ids don't need one).
+
+By default the clock is processing time: nothing is dropped, and flows close when the clock reaches their deadlines. In event time the
+clock is observed_at, and rows older than the watermark are dropped by Spark, so observed_at should be stamped on
+arrival (it then never goes back), or the watermark must allow for the disorder there is.
 """
 
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -17,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from millrace.operators.fold import UNAVAILABLE, Event, Flow, closed_row
 from millrace.operators.flows import INPUT
+from millrace.operators.fold import UNAVAILABLE, Closed, Event, Flow, closed_row
 from millrace.operators.route import matched
 from millrace.plans.rules import Rule
 
@@ -33,31 +35,31 @@ class FlowProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("flow", T.StructType([T.StructField("flow", T.StringType()), T.StructField("rule", T.BinaryType()), T.StructField("seq", T.LongType())]))
+        self.state = handle.getValueState("flow", T.StructType([T.StructField("flow", T.StringType()), T.StructField("rule", T.StringType())]))
 
-    def _load(self) -> tuple[Flow | None, Rule | None, int]:
+    def _load(self) -> tuple[Flow | None, Rule | None]:
         if not self.state.exists():
-            return None, None, 0
-        flow, rule, seq = self.state.get()
-        return (Flow.from_json(flow) if flow else None), (pickle.loads(rule) if rule else None), seq
+            return None, None
+        flow, rule = self.state.get()
+        return Flow.from_json(flow), Rule.from_json(rule)
 
-    def _save(self, flow: Flow | None, rule: Rule | None, seq: int) -> None:
+    def _save(self, flow: Flow | None, rule: Rule | None) -> None:
         for at in self.handle.listTimers():
             self.handle.deleteTimer(at)
-        if flow is not None:
-            self.handle.registerTimer(-(-flow.expires_at // 1000))
-        # the number goes on when a key comes back
-        self.state.update((flow.to_json() if flow else "", pickle.dumps(rule) if flow else b"", seq))
+        if flow is None:
+            self.state.clear()
+            return
+        self.handle.registerTimer(-(-flow.expires_at // 1000))
+        self.state.update((flow.to_json(), rule.to_json()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         place, text = int(key[0]), key[1]
-        flow, rule, seq = self._load()
+        flow, rule = self._load()
         events = pd.concat(list(rows)).sort_values(["observed_us", "seq"], kind="stable")
         out = []
         for r in events.itertuples(index=False):
             if flow is not None and flow.expires_at <= r.observed_us:
-                seq += 1
-                out.append(closed_row(place, text, seq, flow, flow.expiry_reason(rule), flow.expires_at))
+                out.append(Closed(place, text, None, flow, flow.expiry_reason(rule), flow.expires_at))
                 flow = None
             if flow is None:
                 rule = self.rules[place]
@@ -67,23 +69,21 @@ class FlowProcessor(StatefulProcessor):
             stamp = none(r.stamp_us)
             flow.apply(Event(r.observed_us, r.raw, none(r.event_type), None if stamp is None else int(stamp), none(r.stitch), none(r.role), groups, bool(r.terminal)), rule)
             if reason := flow.closes(rule, r.observed_us):
-                seq += 1
-                out.append(closed_row(place, text, seq, flow, reason, r.observed_us))
+                out.append(Closed(place, text, None, flow, reason, r.observed_us))
                 flow = None
-        self._save(flow, rule, seq)
+        self._save(flow, rule)
         if out:
             yield _frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        flow, rule, seq = self._load()
+        flow, rule = self._load()
         if flow is None or flow.expires_at > expiredTimerInfo.getExpiryTimeInMs() * 1000:
             return
         reason = flow.expiry_reason(rule)
         if self.versions is not None and rule.version not in self.versions:
             reason = UNAVAILABLE
-        seq += 1
-        self._save(None, None, seq)
-        yield _frame([closed_row(int(key[0]), key[1], seq, flow, reason, flow.expires_at)])
+        self._save(None, None)
+        yield _frame([Closed(int(key[0]), key[1], None, flow, reason, flow.expires_at)])
 
     def close(self) -> None:
         pass
@@ -93,13 +93,17 @@ class FlowProcessor(StatefulProcessor):
 STREAM_SCHEMA = "rule int, key string, flow_seq bigint, reason string, first_observed bigint, finalized_at bigint, event_count bigint, body string"
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    plain = [{k: r[k] for k in ("rule", "key", "flow_seq", "reason", *_TIMES)} | {"event_count": len(r["events"]), "body": json.dumps({k: r[k] for k in ("duplicates", "anomalies", "events", "invocations")})} for r in rows]
-    return pd.DataFrame(plain)
+def _frame(closed: list[Closed]) -> pd.DataFrame:
+    plain = []
+    for row in map(closed_row, closed):
+        body = json.dumps({k: row[k] for k in ("duplicates", "anomalies", "events", "invocations")})
+        plain.append({k: row[k] for k in ("rule", "key", "flow_seq", "reason", *_TIMES)} | {"event_count": len(row["events"]), "body": body})
+    return pd.DataFrame(plain).astype({"flow_seq": "Int64"})
 
 
-def stream_flows(routed: DataFrame, rules: Sequence[Rule], watermark: str | None = "0 seconds", versions: frozenset[str] | None = None) -> DataFrame:
-    """Closed flows of a stream of routed events, in the columns of the bounded fold. watermark None: processing time."""
+def stream_flows(routed: DataFrame, rules: Sequence[Rule], watermark: str | None = None, versions: frozenset[str] | None = None) -> DataFrame:
+    """Closed flows of a stream of routed events, in the columns of the bounded fold. watermark: event time, with this delay; None:
+    processing time."""
     from pyspark.sql import functions as F
 
     rows = matched(routed)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from millrace.functions.paths import compile_path as p
 from millrace.operators import views
 from millrace.operators.fold import Flow
-from millrace.operators.flows import fold
+from millrace.operators.flows import flows, fold
 from millrace.operators.route import pass_through, route
 from millrace.plans.rules import ALL_COMPLETE, Promotion, Role, Rule, Stitch
 from millrace.sources.events import accept, accept_batch
@@ -199,31 +199,77 @@ def test_fold_equals_a_plain_loop(spark, made):
     assert got == sequential(events, r)
 
 
+class Stream:
+    """A stream over files, started anew for each file."""
+
+    def __init__(self, spark, folder, watermark=None):
+        self.spark, self.folder, self.watermark, self.n = spark, folder, watermark, 0
+        (folder / "in").mkdir()
+
+    def put(self, rules, *events, start=0):
+        lines = [json.dumps({"raw": raw, "observed_at": at.isoformat(), "seq": start + k}) for k, (raw, at) in enumerate(events)]
+        self.n += 1
+        (self.folder / "in" / f"{self.n}.json").write_text("\n".join(lines))
+        raw = self.spark.readStream.schema("raw string, observed_at timestamp, seq bigint").json(str(self.folder / "in"))
+        out = stream_flows(route(accept(raw).events, rules), rules, self.watermark)
+        once = {"availableNow": True} if self.watermark else {"once": True}  # processing time goes on and on
+        q = out.writeStream.format("parquet").option("path", str(self.folder / "out")).option("checkpointLocation", str(self.folder / "cp")).outputMode("append").trigger(**once).start()
+        assert q.awaitTermination(180)
+
+    def rows(self):
+        return self.spark.read.parquet(str(self.folder / "out")).orderBy("first_observed", "key").collect()
+
+
 def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     r = rule(max_events=5, terminal_events=("done",))
     kinds = ["http.request", "http.response", "note", "http.request", "done"]
     events = [event(kinds[i * 7 % 5], i * 1.7, call=f"c{i % 3}", flow=f"f{i % 4}") for i in range(60)]
-    want = sorted((g.key, g.flow_seq, g.reason, g.event_count) for g in run(spark, events, r).collect())
-    source = tmp_path / "in"
-    source.mkdir()
-
-    def go():
-        raw = spark.readStream.schema("raw string, observed_at timestamp, seq bigint").json(str(source))
-        out = stream_flows(route(accept(raw).events, [r]), [r])
-        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
-        assert q.awaitTermination(180)
-
-    def put(name, part):
-        lines = [json.dumps({"raw": raw, "observed_at": at.isoformat(), "seq": k}) for k, (raw, at) in part]
-        (source / name).write_text("\n".join(lines))
-
-    numbered = list(enumerate(events))
-    put("1.json", numbered[:30])
-    go()
-    put("2.json", numbered[30:])
-    go()
+    want = sorted((g.key, g.first_observed, g.reason, g.event_count) for g in run(spark, events, r).collect())
+    s = Stream(spark, tmp_path, "0 seconds")
+    s.put([r], *events[:30])
+    s.put([r], *events[30:], start=30)
     # a late event of another key moves the clock, so all timers fire
-    put("3.json", [(99, event("note", 1000, flow="clock"))])
-    go()
-    got = spark.read.parquet(str(tmp_path / "out")).where("key != 'clock'")
-    assert sorted((g.key, g.flow_seq, g.reason, len(g.events)) for g in got.collect()) == want
+    s.put([r], event("note", 1000, flow="clock"))
+    got = [g for g in s.rows() if g.key != "clock"]
+    assert sorted((g.key, g.first_observed, g.reason, len(g.events)) for g in got) == want and all(g.flow_seq is None for g in got)
+
+
+def test_flow_ends_under_the_rule_it_began_with(spark, tmp_path):
+    """A query started again with other rules: open flows keep theirs, new ones get the new."""
+    old, new = rule(timeout_us=30 * SECOND, max_events=3), rule(timeout_us=5 * SECOND, max_events=2)
+    s = Stream(spark, tmp_path, "0 seconds")
+    s.put([old], event("note"))
+    s.put([new], event("note", 20), event("note", 40), event("note", 41))
+    s.put([new], event("note", 1000, flow="clock"))
+    assert [(g.reason, len(g.events), (g.finalized_at - g.first_observed).total_seconds()) for g in s.rows() if g.key == "flow-1"] == [("timeout", 2, 30), ("limit_exceeded", 2, 1)]
+
+
+def test_processing_time_drops_nothing(spark, tmp_path):
+    """Rows far behind others still count, and closed flows leave no state."""
+    r = rule(max_events=2)
+    s = Stream(spark, tmp_path)
+    ahead = timedelta(days=4000)
+    later = lambda *a, **k: (event(*a, **k)[0], event(*a, **k)[1] + ahead)
+    s.put([r], later("note", 500), later("note", 500, flow="flow-2"))
+    s.put([r], later("note", 0, flow="flow-3"), later("note", 1, flow="flow-3"), later("note", 501))
+    assert sorted((g.key, len(g.events)) for g in s.rows()) == [("flow-1", 2), ("flow-3", 2)]
+    state = spark.read.format("statestore").option("stateVarName", "flow").load(str(tmp_path / "cp"))
+    assert [x.key.key for x in state.select("key").collect()] == ["flow-2"]
+
+
+def test_rules_survive_as_json():
+    r = rule(promotions=(Promotion("status", p("$.payload.status"), "long", "response"),), terminal_events=("done",), settle_us=5)
+    assert Rule.from_json(r.to_json()) == r and Rule.from_json(rule(timestamp=p("$.a")).to_json()).timestamp == p("$.a")
+
+
+def test_several_rules_at_once(spark):
+    """Each event belongs to the first rule whose key it has; flows of all rules come from one fold, each under its own limits."""
+    by_flow, by_user = rule(max_events=2, stitches=()), Rule("users", p("$.user"), 60 * SECOND, "people-{yyyy}", event_type=p("$.event")).versioned()
+    events = [event("a", user="u1"), event("b", 1, user="u2"), (json.dumps({"user": "u1", "event": "c"}), T0), (json.dumps({"flow_id": "", "user": "u1", "event": "d"}), T0 + timedelta(seconds=30)), (json.dumps({"user": 7}), T0), (json.dumps({"other": 1}), T0)]
+    rows = spark.createDataFrame([(raw, at, k) for k, (raw, at) in enumerate(events)], "raw string, observed_at timestamp, seq bigint")
+    got = accept(rows).events
+    figures = views.with_figures(flows(got, [by_flow, by_user]), [by_flow, by_user])
+    assert sorted((g.rule_id, g.key, g.reason, g.event_count) for g in figures.collect()) == [("http", "flow-1", "limit_exceeded", 2), ("users", "7", "timeout", 1), ("users", "u1", "timeout", 2)]
+    documents = views.documents(flows(got, [by_flow, by_user]), [by_flow, by_user]).collect()
+    assert sorted(d["index"] for d in documents) == ["flows-2026.08.20", "people-2026", "people-2026"]
+    assert sorted(map(str, fold(route(got, [by_flow, by_user]), [by_flow, by_user]).collect())) == sorted(map(str, flows(got, [by_flow, by_user]).collect()))

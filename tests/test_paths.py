@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -73,7 +73,7 @@ def test_column_equals_python(spark):
     doc = {**BAKERY, "oven": BAKERY["oven.no"]}
     df = df.unionByName(spark.createDataFrame([(json.dumps(doc),)], "raw string").select(F.parse_json("raw").alias("doc")))
     paths = [compile_path(e) for e in every]
-    rows = df.select(*[p.column(F.col("doc")).alias(f"c{k}") for k, p in enumerate(paths)]).collect()
+    rows = df.select(*[p.column().alias(f"c{k}") for k, p in enumerate(paths)]).collect()
     assert [list(r) for r in rows] == [[p.resolve(d) for p in paths] for d in (BAKERY, doc)]
     assert list(rows[1])[-4:] == list(BAKERY["oven.no"].values())
 
@@ -100,6 +100,35 @@ def test_any_selection_can_be_written(first, more):
     assert path.resolve(doc) == "end"
 
 
+json_values = st.recursive(
+    st.none() | st.booleans() | st.integers(-(2**70), 2**70) | st.floats(allow_nan=False, allow_infinity=False) | st.text(st.characters(exclude_categories=["Cs"]), max_size=5) | st.sampled_from(["007", "12", "-0", "1e3", "true", "null", "{", "[1]", '"', "12\n", "x y"]),
+    lambda inner: st.lists(inner, max_size=3) | st.dictionaries(st.sampled_from(["a", "b", "c d"]), inner, max_size=3),
+    max_leaves=6,
+)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.dictionaries(st.sampled_from(["a", "b"]), json_values, max_size=2), min_size=40, max_size=60))
+def test_text_and_variant_agree(spark, docs):
+    """What is read from the text is what the variant gives, and what plain Python gives."""
+    paths = [compile_path(e) for e in ("$.a", "$.b", "$.a.b", "$.a.a.b", "$.a[0]", "$.b.a[-1]")]
+    df = spark.createDataFrame([(json.dumps(d),) for d in docs], "raw string").withColumn("doc", F.parse_json("raw")).coalesce(1)
+    rows = df.select(*[p.column("doc", "raw").alias(f"t{k}") for k, p in enumerate(paths)], *[p.column().alias(f"v{k}") for k, p in enumerate(paths)]).collect()
+    for d, r in zip(docs, rows, strict=True):
+        n = len(paths)
+        assert list(r)[:n] == list(r)[n:]
+        for p, got in zip(paths, list(r)[:n], strict=True):
+            want = p.resolve(json.loads(json.dumps(d)))
+            assert got == want or (want is not None and got is not None and number_like(want) and float(got) == float(want)), (d, p)
+
+
+def number_like(text):
+    try:
+        return text.strip() == text and float(text) == float(text)
+    except ValueError:
+        return False
+
+
 #: What breaks an expression when put after a well-formed one, or in place of its beginning.
 BAD_ENDS = [".", "..z", "[", "[]", "[-]", "[1", "[2.5]", "[ 1]", "[x]", '["', '["q', '["q"', '["q"x]', '["\\n"]', '["\\', "]"]
 BAD_STARTS = ["", ".", "$", "$.", "$..", "$[", "$$.", " $."]
