@@ -45,7 +45,9 @@ def to_long(text: Column) -> Column:
 
 
 def to_double(text: Column) -> Column:
-    value = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
+    """Decimal and hexadecimal floating-point texts."""
+    decimal, hexadecimal = r"(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", r"0[xX]([0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+"
+    value = F.when(text.rlike(f"^[+-]?({decimal}|{hexadecimal})$"), text.try_cast("double"))
     return F.when(F.abs(value) < float("inf"), value)
 
 

@@ -72,6 +72,45 @@ def send(batch: DataFrame, sink: Callable) -> DataFrame:
     return batch.select("output_id", "index", "document").mapInArrow(run, "output_id string, status int, error_type string")
 
 
+def verdicts_by_place(rows: DataFrame, sink: Callable, batch_size: int = 500) -> DataFrame:
+    """Lines (index, raw) with the status that the sink gives each by its place, batch_size lines a request."""
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, batch_size):
+                part = b.slice(k, batch_size)
+                lines = list(zip(*[part.column(c).to_pylist() for c in ("index", "raw")], strict=True))
+                try:
+                    status = list(sink(lines))
+                except Exception:  # as in send()
+                    status = [BATCH_FAILED] * len(lines)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(status, pa.int32())], names=["index", "raw", "status"])
+
+    return rows.select("index", "raw").mapInArrow(run, "index string, raw string, status int")
+
+
+class Unsent:
+    """Lines that wait for a sink: those left by batch N, in a folder of its number, are the first of batch N + 1. A repeated batch reads
+    and writes the same folders."""
+
+    def __init__(self, spark, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def read(self, number: int) -> DataFrame:
+        if number == 0:
+            return self.spark.createDataFrame([], "index string, raw string")
+        return self.spark.read.schema("index string, raw string").parquet(f"{self.folder}/waiting={number - 1}")
+
+    def write(self, answered: DataFrame, number: int) -> None:
+        way = classified(F.col("status"), F.lit(None).cast("string"))
+        kept = answered.withColumn("way", way).where(F.col("way") != DELIVERED)
+        # one request per line: the answers are written before they are told apart
+        kept.write.mode("overwrite").parquet(f"{self.folder}/answers={number}")
+        kept = self.spark.read.parquet(f"{self.folder}/answers={number}")
+        kept.where(F.col("way") == RETRYABLE).select("index", "raw").write.mode("overwrite").parquet(f"{self.folder}/waiting={number}")
+        kept.where(F.col("way") == PERMANENT).groupBy("index", "status").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{self.folder}/dropped={number}")
+
+
 def settled(batch: DataFrame, verdicts: DataFrame, now: Column, max_retries: int = 8) -> DataFrame:
     """The batch with disposition and its new state. Records that the sink left out are retryable; more than max_retries
     failures are permanent (retry_limit_exceeded)."""
@@ -148,6 +187,46 @@ def replayed(outbox: DataFrame, dead: DataFrame, chosen: DataFrame, limit: int =
     return kept.unionByName(fresh.select(outbox.columns)), dead.join(back.select("output_id"), "output_id", "left_anti")
 
 
+def replay(outbox: DataFrame, dead: DataFrame, output_id: str = "", reason: str = "", index: str = "", older_than: Column | None = None, limit: int = 100, dry_run: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outbox, dead letters, metadata of the chosen) after a replay by conditions. Without an id the conditions may fit many, so then
+    a dry run is the default: it shows what would go back, and changes nothing."""
+    chosen = selected(dead, output_id, reason, index, older_than).orderBy("output_id").limit(limit)
+    if dry_run if dry_run is not None else not output_id:
+        return outbox, dead, metadata(chosen)
+    return *replayed(outbox, dead, chosen, limit), metadata(chosen)
+
+
+def due(open_flows: DataFrame, before: Column, limit: int = 128) -> DataFrame:
+    """The next open flows to close: those of a deadline (expires_at) not after `before`, by deadline, rule and key."""
+    rows = open_flows.where(F.col("expires_at") <= before).orderBy("expires_at", "rule_id", "key")
+    return rows.limit(limit) if limit else rows
+
+
+def observed(outbox: DataFrame, dead: DataFrame, dropped: DataFrame | None, at: Column) -> DataFrame:
+    """One row of what alerts are made of: at, dead_letters, dropped, outbox, oldest_age_s, reasons (type and count of the dead
+    letters, by type) and indices (of the dead letters and of the outbox, each once, in order). Types and indices are few."""
+    now = at.alias("at")
+    by_reason = summary(dead, "rejection_type").agg(F.array_sort(F.collect_list(F.struct(F.col("rejection_type").alias("type"), F.col("n").alias("count")))).alias("reasons"), F.coalesce(F.sum("n"), F.lit(0)).alias("dead_letters"))
+    indices = dead.select("index", F.lit("dlq").alias("of")).unionByName(outbox.select("index", F.lit("outbox").alias("of"))).distinct()
+    listed = [F.array_sort(F.collect_list(F.when(F.col("of") == k, F.col("index")))).alias(f"{k}_indices") for k in ("dlq", "outbox")]
+    box = outbox.agg(F.count("*").alias("outbox"), F.min("created_at").alias("oldest"))
+    lost = (dropped if dropped is not None else dead.limit(0)).agg(F.count("*").alias("dropped"))
+    whole = by_reason.crossJoin(indices.agg(*listed)).crossJoin(box).crossJoin(lost)  # one row each
+    age = F.coalesce((F.unix_micros(now) - F.unix_micros("oldest")) / 1e6, F.lit(0.0))
+    return whole.select(now, "dead_letters", "dropped", "outbox", F.greatest(age, F.lit(0.0)).alias("oldest_age_s"), "reasons", "dlq_indices", "outbox_indices")
+
+
+def alert_documents(found: DataFrame) -> DataFrame:
+    """kind, at and document (JSON) of alerts."""
+    counts = F.struct(F.col("dead_letters").alias("dlq_records"), F.col("dropped").alias("dlq_dropped"), F.col("outbox").alias("outbox_records"))
+    dlq = F.concat(F.lit("dead-letter condition "), "state", F.lit(": "), F.col("dead_letters").cast("string"), F.lit(" retained, "), F.col("dropped").cast("string"), F.lit(" dropped"))
+    backlog = F.concat(F.lit("outbox backlog condition "), "state", F.lit(": "), F.col("outbox").cast("string"), F.lit(" records, oldest "), F.format_string("%.0f", "oldest_age_s"), F.lit("s"))
+    parts = [F.col("at").alias("@timestamp"), "kind", "state", counts.alias("counts")]
+    parts += [F.col(c) for c in ("reasons", "indices") if c in found.columns]
+    document = F.struct(*parts, F.col("oldest_age_s").alias("oldest_outbox_age_seconds"), F.when(F.col("kind") == "dlq", dlq).otherwise(backlog).alias("summary"))
+    return found.select("kind", "at", F.to_json(document).alias("document"))
+
+
 def summary(dead: DataFrame, by: str) -> DataFrame:
     """Counts of dead letters by rejection_type (unknown where missing) or index."""
     key = F.coalesce(F.when(F.col(by) != "", F.col(by)), F.lit("unknown")).alias(by)
@@ -164,26 +243,30 @@ def expired_indices(indices: DataFrame, now: Column, days: int = 30) -> DataFram
     return indices.where(F.col("created_at") < now - F.make_dt_interval(days=F.lit(days)))
 
 
-def alerts(observed: DataFrame, threshold_s: float = 300.0, min_interval_s: float = 300.0) -> DataFrame:
+def alerts(seen: DataFrame, threshold_s: float = 300.0, min_interval_s: float = 300.0) -> DataFrame:
     """Alert phases over observations (at, dead_letters, dropped, outbox, oldest_age_s): kinds dlq and outbox_backlog.
 
     A kind starts when its condition first holds, goes on where it still holds min_interval after its last alert, and
-    clears when it ends. Observations are few (one per delivery round); the chain of alerts of a kind is in
+    clears when it ends. Rows of observed() also give alerts their reasons and indices. Observations are few (one per delivery round); the chain of alerts of a kind is in
     order by nature, so each kind's run from start to clear is folded as one array of times.
     """
     kinds = F.array(
         F.struct(F.lit("dlq").alias("kind"), (F.col("dead_letters") > 0).alias("active")),
         F.struct(F.lit("outbox_backlog").alias("kind"), (F.col("oldest_age_s") > threshold_s).alias("active")),
     )
-    each = observed.select("at", "dead_letters", "dropped", "outbox", "oldest_age_s", F.explode(kinds).alias("k")).select("*", "k.kind", "k.active").drop("k")
+    figures = ["at", "dead_letters", "dropped", "outbox", "oldest_age_s"]
+    each = seen.select("*", F.explode(kinds).alias("k")).select(*seen.columns, "k.kind", "k.active")
+    if "reasons" in seen.columns:
+        each = each.withColumn("indices", F.when(F.col("kind") == "dlq", F.col("dlq_indices")).otherwise(F.col("outbox_indices")))
+        figures += ["reasons", "indices"]
     order = Window.partitionBy("kind").orderBy("at")
     before = F.coalesce(F.lag("active").over(order), F.lit(False))
     runs = each.withColumn("was", before).withColumn("run", F.sum((F.col("active") & ~F.col("was")).cast("int")).over(order))
-    clearing = runs.where("not active and was").select("at", "kind", F.lit("clearing").alias("state"), "dead_letters", "dropped", "outbox", "oldest_age_s")
-    row = F.struct("at", "dead_letters", "dropped", "outbox", "oldest_age_s")
-    lists = runs.where("active").groupBy("kind", "run").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    clearing = runs.where("not active and was").select("at", "kind", F.lit("clearing").alias("state"), *figures[1:])
+    row = F.struct(*figures)
+    lists = runs.where("active").groupBy("kind", "run").agg(F.sort_array(F.collect_list(row)).alias("rows"))
     gap = F.lit(int(min_interval_s * 1e6))
     state = F.array(F.get("rows", F.lit(0)))
     emitted = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), state, lambda acc, r: F.when(F.unix_micros(r["at"]) - F.unix_micros(F.element_at(acc, -1)["at"]) >= gap, F.array_append(acc, r)).otherwise(acc))
-    out = lists.select("kind", F.posexplode(emitted).alias("n", "r")).select("r.at", "kind", F.when(F.col("n") == 0, "starting").otherwise("ongoing").alias("state"), "r.dead_letters", "r.dropped", "r.outbox", "r.oldest_age_s")
+    out = lists.select("kind", F.posexplode(emitted).alias("n", "r")).select("r.at", "kind", F.when(F.col("n") == 0, "starting").otherwise("ongoing").alias("state"), *[f"r.{c}" for c in figures[1:]])
     return out.unionByName(clearing)

@@ -26,11 +26,12 @@ INPUT = ("rule", "key", "observed_at", "raw", "event_type", "stamp", "stitch", "
 ORDER = ("rule", "key", "observed_at", "seq")
 
 
-def flows(events: DataFrame, rules: Sequence[Rule], with_raw: bool = True) -> DataFrame:
+def flows(events: DataFrame, rules: Sequence[Rule], with_raw: bool = True, latest: bool = False) -> DataFrame:
     """Closed flows (FLOW_SCHEMA) of events, numbered per key from 1. Open flows at the end close at their deadlines.
-    with_raw False: without the events' texts, for views that don't look into them."""
+    with_raw False: without the events' texts, for views that don't look into them. latest: of a key's flows of one first observation, which
+    have one document id, only the last; documents then need no exchange by id."""
     narrow = matched(claim(events, rules)).select(*ORDER, "raw").repartition("rule", "key").sortWithinPartitions(*ORDER)
-    return _folded(describe(narrow.withColumn("doc", F.parse_json("raw")), rules).select(*INPUT), rules, with_raw)
+    return _folded(describe(narrow.withColumn("doc", F.parse_json("raw")), rules).select(*INPUT), rules, with_raw, latest)
 
 
 def fold(routed: DataFrame, rules: Sequence[Rule], with_raw: bool = True) -> DataFrame:
@@ -39,7 +40,7 @@ def fold(routed: DataFrame, rules: Sequence[Rule], with_raw: bool = True) -> Dat
     return _folded(needed.select(*INPUT), rules, with_raw)
 
 
-def _folded(needed: DataFrame, rules: Sequence[Rule], with_raw: bool) -> DataFrame:
+def _folded(needed: DataFrame, rules: Sequence[Rule], with_raw: bool, latest: bool = False) -> DataFrame:
     rules = tuple(rules)
     arrow = to_arrow_schema(T._parse_datatype_string(FLOW_SCHEMA), timestamp_utc=True)
 
@@ -51,6 +52,8 @@ def _folded(needed: DataFrame, rules: Sequence[Rule], with_raw: bool) -> DataFra
         def close(reason: str, when: int) -> None:
             nonlocal flow, seq
             seq += 1
+            if latest and out and (out[-1].rule, out[-1].key, out[-1].flow.first_observed) == (*at, flow.first_observed):
+                out.pop()
             out.append(Closed(*at, seq, flow, reason, when))
             flow = None
 
@@ -70,7 +73,7 @@ def _folded(needed: DataFrame, rules: Sequence[Rule], with_raw: bool) -> DataFra
                 flow.apply(Event(observed, raw, kind, stamp, stitch, role, groups, terminal), rule)
                 if reason := flow.closes(rule, observed):
                     close(reason, observed)
-            while len(out) >= BATCH:
+            while len(out) > BATCH:  # the last may yet be replaced
                 yield closed_batch(out[:BATCH], arrow, with_raw)
                 del out[:BATCH]
         if flow is not None:

@@ -35,9 +35,9 @@ def closed(figures: DataFrame) -> DataFrame:
     return figures.groupBy("rule_id", "reason").agg(F.count("*").alias("flows"), F.sum("event_count").alias("events"), F.sum("duplicate_count").alias("duplicates"), F.sum("incomplete_invocations").alias("incomplete"), F.sum("age_ms").alias("age_ms"))
 
 
-def histogram(figures: DataFrame, column: str, bounds: Sequence[int]) -> DataFrame:
-    """Counts per bucket of a figure, by rule."""
-    return figures.groupBy("rule_id", bucket(F.col(column), bounds).alias("le")).agg(F.count("*").alias("n"))
+def histogram(figures: DataFrame, column: str, bounds: Sequence[int], by: str = "rule_id") -> DataFrame:
+    """Counts per bucket of a figure, by rule (or another label)."""
+    return figures.groupBy(by, bucket(F.col(column), bounds).alias("le")).agg(F.count("*").alias("n"))
 
 
 def open_flows(flows: DataFrame, at: Column) -> DataFrame:

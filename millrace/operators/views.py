@@ -143,8 +143,9 @@ def timestamp_of(rules: Sequence[Rule]) -> Column:
     return per_rule(rules, lambda r: F.col("finalized_at") if r.output_timestamp == FINALIZED else F.col("ended_at") if r.output_timestamp == LAST else F.col("started_at"), "timestamp")
 
 
-def documents(flows: DataFrame, rules: Sequence[Rule], incomplete_is_skew: bool = True) -> DataFrame:
-    """output_id, index, created_at and document (JSON) of each flow; of equal ids the last one stays.
+def documents(flows: DataFrame, rules: Sequence[Rule], incomplete_is_skew: bool = True, unique: bool = False) -> DataFrame:
+    """output_id, index, created_at and document (JSON) of each flow; of equal ids the last one stays, unless ids are unique already (flows of which
+    only the latest was kept).
 
     Role and group names are keys of the JSON objects of entries.
     """
@@ -185,6 +186,8 @@ def documents(flows: DataFrame, rules: Sequence[Rule], incomplete_is_skew: bool
     events = F.concat(F.lit('"events":['), F.array_join(F.transform(timeline, lambda t: t["json"]), ","), F.lit("]"))
     index = per_rule(rules, lambda r: index_name(r.index, at, F.col("finalized_at")), "string")
     made = figures.select("output_id", index.alias("index"), F.col("finalized_at").alias("created_at"), "flow_seq", _joined_object(F.to_json(head), F.array(events)).alias("document"))
+    if unique:
+        return made.drop("flow_seq")
     # upsert by id: a later flow of the same first observation overwrites
     latest = made.groupBy("output_id").agg(F.max_by(F.struct("index", "created_at", "document"), F.struct("created_at", "flow_seq")).alias("d"))
     return latest.select("output_id", "d.index", "d.created_at", "d.document")

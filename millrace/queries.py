@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions.paths import compile_path
 from millrace.functions.scalars import coerced, index_name, retry_delay_ms
-from millrace.operators import delivery, views
+from millrace.operators import delivery, metrics, views
 from millrace.operators.flows import flows
 from millrace.operators.route import pass_through, route, unmatched
 from millrace.plans.rules import ALL_COMPLETE, Promotion, Role, Rule, Stitch
 from millrace.sources.events import accept, accept_batch, as_events
+from millrace.streaming import sinks
 
 HOUR = 3_600_000_000
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,13 +269,13 @@ def index_daily(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def document_json(spark: SparkSession, d: str) -> DataFrame:
-    docs = views.documents(flows(_events(spark, d), [CALLS]), [CALLS])
+    docs = views.documents(flows(_events(spark, d), [CALLS], latest=True), [CALLS], unique=True)
     return docs.select("output_id", "index", us("created_at").alias("created_us"), "document")
 
 
 @query(CALLS_SQL + f"SELECT sha256('user-calls:' || user_id || ':' || {RFC}) AS output_id, {KEY}, reason, event_count FROM f")
 def document_fields(spark: SparkSession, d: str) -> DataFrame:
-    docs = views.documents(flows(_events(spark, d), [CALLS]), [CALLS])
+    docs = views.documents(flows(_events(spark, d), [CALLS], latest=True), [CALLS], unique=True)
     get = lambda path: F.get_json_object("document", path)
     return docs.select("output_id", get("$.flow.id").alias("key"), get("$.flow.finalization_reason").alias("reason"), get("$.flow.event_count").cast("bigint").alias("event_count"))
 
@@ -587,7 +588,84 @@ def open_flows_by_rule(spark: SparkSession, d: str) -> DataFrame:
 
 @query(CALLS_SQL + "SELECT reason, CASE WHEN event_count <= 1 THEN '1' WHEN event_count <= 3 THEN '3' ELSE 'inf' END AS le, count(*) AS n FROM f GROUP BY ALL")
 def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
-    size = F.when(F.col("event_count") <= 1, "1").when(F.col("event_count") <= 3, "3").otherwise("inf")
-    return _flows(spark, d, CALLS).groupBy("reason", size.alias("le")).agg(F.count("*").alias("n"))
+    figures = _flows(spark, d, CALLS)
+    return metrics.histogram(figures, "event_count", (1, 3), by="reason").select("reason", F.when(F.col("le") == "+Inf", "inf").otherwise(F.col("le")).alias("le"), "n")
+
+
+@query(timebox_sql(12) + """, f AS (SELECT user_id, flow_seq, min(start) + INTERVAL 12 HOUR AS expires FROM b WHERE ts <= (SELECT max(ts) - INTERVAL 6 HOUR FROM events) GROUP BY ALL)
+SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(expires) AS expires_us FROM f WHERE expires > (SELECT max(ts) - INTERVAL 6 HOUR FROM events) AND expires <= (SELECT max(ts) FROM events) ORDER BY expires, CAST(user_id AS VARCHAR) LIMIT 20""")
+def due_flows_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Of the flows open six hours before the end, the next 20 to close until the end."""
+    e = _events(spark, d)
+    end = e.agg(F.max(us("observed_at"))).first()[0]
+    at = F.timestamp_micros(F.lit(end - 6 * HOUR))
+    found = views.with_figures(flows(e.where(F.col("observed_at") <= at), [TIMEBOX], with_raw=False), [TIMEBOX])
+    live = found.where(F.col("finalized_at") > at).select("rule_id", "key", F.col("finalized_at").alias("expires_at"))
+    return delivery.due(live, F.timestamp_micros(F.lit(end)), 20).select("key", us("expires_at").alias("expires_us"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type NOT IN ('purchase', 'signup')),
+b AS (SELECT user_id, ts, n, ts AS start, 1 AS flow_seq FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.ts, e.n, CASE WHEN e.ts >= b.start + INTERVAL 1 HOUR THEN e.ts ELSE b.start END, b.flow_seq + CASE WHEN e.ts >= b.start + INTERVAL 1 HOUR THEN 1 ELSE 0 END FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
+SELECT 'users' AS rule_id, CAST(user_id AS VARCHAR) AS key, flow_seq, count(*) AS event_count, 'y' AS index FROM b GROUP BY user_id, flow_seq
+UNION ALL SELECT 'purchases', 'o' || event_id, 1, 1, 'x' FROM events WHERE event_type = 'purchase'"""
+)
+def several_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Flows of two rules from one fold."""
+    rules = [BY_ORDER, BY_USER]
+    figures = views.with_figures(flows(_mixed(spark, d), rules, with_raw=False), rules)
+    index = views.per_rule(rules, lambda r: index_name(r.index, F.col("started_at"), F.col("finalized_at")), "string")
+    return figures.select("rule_id", "key", "flow_seq", "event_count", index.alias("index"))
+
+
+HALF = Stitch("half", (p("$.maybe"),), (Role("request", ("view",)), Role("response", ("purchase",))))
+HALVES = Rule("halves", p("$.user"), 12 * HOUR, "x", event_type=p("$.event"), stitches=(HALF,)).versioned()
+
+
+@query(timebox_sql(12) + f"""SELECT {KEY}, flow_seq, count(*) - count(*) FILTER (event_type IN ('view', 'purchase') AND k % 2 = 0) + count(*) FILTER (event_type IN ('view', 'purchase') AND k % 2 = 0)
+  - count(DISTINCT CASE WHEN event_type IN ('view', 'purchase') AND k % 2 = 0 THEN k || event_type END) + count(DISTINCT CASE WHEN event_type IN ('view', 'purchase') AND k % 2 = 0 THEN k END) AS entry_count,
+  count(DISTINCT CASE WHEN event_type IN ('view', 'purchase') AND k % 2 = 0 THEN k END) AS invocations FROM b GROUP BY user_id, flow_seq""")
+def ungrouped_is_plain(spark: SparkSession, d: str) -> DataFrame:
+    """Events in a role whose group has no value stand alone."""
+    found = views.with_figures(flows(_events(spark, d), [HALVES]), [HALVES])
+    return found.select("key", "flow_seq", "entry_count", (F.col("complete_invocations") + F.col("incomplete_invocations")).alias("invocations"))
+
+
+@query(
+    """WITH r AS (SELECT CASE event_id % 3 WHEN 0 THEN 'mapper_parsing_exception' WHEN 1 THEN 'retry_limit_exceeded' ELSE 'unknown' END AS type, count(*) AS n FROM events GROUP BY ALL)
+SELECT (SELECT string_agg(type || '=' || n, ',' ORDER BY type) FROM r) AS reasons, (SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT 'flows-' || event_type AS i FROM events)) AS indices,
+  (SELECT string_agg(i, ',' ORDER BY i) FROM (SELECT DISTINCT 'flows-' || event_type AS i FROM events WHERE event_id % 5 = 0)) AS outbox_indices, (SELECT count(*) FROM events) AS dead_letters, (SELECT count(*) FROM events WHERE event_id % 5 = 0) AS outbox"""
+)
+def alert_lists(spark: SparkSession, d: str) -> DataFrame:
+    """What alerts tell: reasons with counts and indices, in order."""
+    seen = delivery.observed(_outbox(spark, d).where("event_id % 5 = 0"), _dead(spark, d), None, F.current_timestamp())
+    reasons = F.array_join(F.transform("reasons", lambda r: F.concat(r["type"], F.lit("="), r["count"].cast("string"))), ",")
+    return seen.select(reasons.alias("reasons"), F.array_join("dlq_indices", ",").alias("indices"), F.array_join("outbox_indices", ",").alias("outbox_indices"), "dead_letters", "outbox")
+
+
+def _answers(rows):
+    """A sink that answers by the first digits of the id; it leaves some records out."""
+    for i, _, _ in rows:
+        status = (200, 429, 400, 0)[int(i[:2], 16) % 4]
+        if status:
+            yield i, status, "mapper_parsing_exception" if status == 400 else None
+
+
+@query(
+    f"""WITH o AS (SELECT sha256(CAST(event_id AS VARCHAR)) AS id, event_id % 10 AS attempts, ts, event_id FROM events),
+b AS (SELECT *, CAST('0x' || substr(id, 1, 2) AS INTEGER) % 4 AS way FROM o WHERE event_id % 4 = 0 OR ts + to_hours(CAST(event_id % 7 AS INTEGER)) <= {MIDDLE} ORDER BY ts, id LIMIT 64)
+SELECT 'dead' AS place, id AS output_id, attempts + CASE WHEN way = 2 THEN 0 ELSE 1 END AS attempts, CASE WHEN way = 2 THEN 'mapper_parsing_exception' ELSE 'retry_limit_exceeded' END AS rejection_type FROM b WHERE way = 2 OR (way IN (1, 3) AND attempts + 1 > 8)
+UNION ALL SELECT 'outbox', id, attempts + 1, NULL FROM b WHERE way IN (1, 3) AND attempts + 1 <= 8"""
+)
+def drain_round(spark: SparkSession, d: str) -> DataFrame:
+    """Where the records of one delivery round are after it."""
+    box = _outbox(spark, d).drop("event_id")
+    now = F.timestamp_micros(F.lit(box.agg(F.expr("min(unix_micros(created_at)) + (max(unix_micros(created_at)) - min(unix_micros(created_at))) div 2")).first()[0]))
+    dead = spark.createDataFrame([], box.withColumn("dead_lettered_at", F.col("created_at")).schema)
+    left, kept, _ = sinks.drain(box, dead, _answers, now)
+    sent = delivery.pending(box, now).select("output_id")
+    both = left.select(F.lit("outbox").alias("place"), "output_id", "attempts", "rejection_type").unionByName(kept.select(F.lit("dead").alias("place"), "output_id", "attempts", "rejection_type"))
+    return both.join(sent, "output_id", "left_semi").select("place", "output_id", "attempts", "rejection_type")
 
 

@@ -125,3 +125,14 @@ def stream_flows(routed: DataFrame, rules: Sequence[Rule], watermark: str | None
         F.transform("b.invocations", lambda i: i.withField("first_observed", time(i["first_observed"]))).alias("invocations"),
     )
 
+
+def open_flows(spark, checkpoint: str) -> DataFrame:
+    """Open flows in the state of a stream that stopped or goes on, by its checkpoint: rule_id, rule_version, key, first_observed, expires_at,
+    event_count. The rule's id and version are those that the flow began with."""
+    from pyspark.sql import functions as F
+
+    state = spark.read.format("statestore").option("stateVarName", "flow").load(checkpoint)
+    flow = F.from_json("value.flow", "struct<first_observed:bigint,expires_at:bigint,events:array<struct<order:int>>>")
+    rule = F.from_json("value.rule", "struct<id:string,version:string>")
+    rows = state.select(F.col("key.key").alias("key"), flow.alias("f"), rule.alias("r"))
+    return rows.select(F.col("r.id").alias("rule_id"), F.col("r.version").alias("rule_version"), "key", F.timestamp_micros("f.first_observed").alias("first_observed"), F.timestamp_micros("f.expires_at").alias("expires_at"), F.size("f.events").cast("bigint").alias("event_count"))
