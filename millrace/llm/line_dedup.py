@@ -58,12 +58,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     """Per id and hash of the text (__line_doc, __line_copy), __line_runs: first and last line of the longest runs, in order
     and apart from each other, that repeat an earlier run of min_words words or more."""
     selected = saved(positions(docs, id_col, text_col, min_words), "line-positions")
-    # joined alike at every size: by sorted exchanges whose large groups Spark can split
-    often = selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    # joined alike at every size: by sorted exchanges of tables, whose large groups Spark can split
+    often = saved(selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-fingerprints")
     met = saved(selected.join(often.hint("merge"), "fingerprint"), "line-matches").select(ID, COPY, "fingerprint", F.explode("windows").alias("w")).select(ID, COPY, "fingerprint", "w.*")
     key = ["fingerprint", "h", "g"]
     at = F.struct(F.col(ID).isNotNull().alias("known"), F.col(ID).alias("doc"), F.col("first").alias("first"), F.col("last").alias("last"), F.col(COPY).alias("copy"))
-    earliest = met.groupBy(*key).agg(F.min(at).alias("origin"), F.max(at).alias("newest")).where("origin != newest").select(*key, "origin")
+    earliest = saved(met.groupBy(*key).agg(F.min(at).alias("origin"), F.max(at).alias("newest")).where("origin != newest").select(*key, "origin"), "line-origins")
     later = met.join(earliest.hint("merge"), key).where((~F.col(ID).eqNullSafe(F.col("origin.doc"))) | (F.col(COPY) != F.col("origin.copy")) | (F.col("first") > F.col("origin.last")))
     # what is marked, as runs that don't touch
     doc = Window.partitionBy(ID, COPY).orderBy("first", "last")
