@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.paths import literal
-from millrace.functions.scalars import SPARK_TYPES, coerced, index_name, output_id
+from millrace.functions.scalars import SPARK_TYPES, coerced, index_name, output_id, rfc3339
 from millrace.plans.rules import FINALIZED, LAST, Promotion, Rule
 
 
@@ -151,6 +151,9 @@ def documents(flows: DataFrame, rules: Sequence[Rule], incomplete_is_skew: bool
     """
     figures = promoted(with_figures(flows, rules), rules)
     at = timestamp_of(rules)
+    dates = {p.name for r in rules for p in r.promotions if p.type == "date"}
+    names = sorted({p.name for r in rules for p in r.promotions})
+    fields = F.struct(*[(rfc3339(F.col(f"fields.`{n}`")) if n in dates else F.col(f"fields.`{n}`")).alias(n) for n in names]) if names else F.col("fields")
 
     def entry_json(e: Column) -> Column:
         return F.to_json(e)
@@ -164,24 +167,25 @@ def documents(flows: DataFrame, rules: Sequence[Rule], incomplete_is_skew: bool
 
     def stitched(call: Column) -> Column:
         group = per_rule(rules, lambda r: group_map(r, call), "map<string,string>")
-        base = F.struct(group.alias("group"), call["complete"].alias("complete"), call["started_at"].alias("started_at"), call["duration_ms"].alias("duration_ms"), call["ended_at"].alias("ended_at"), call["duplicates"].alias("duplicate_count"))
+        base = F.struct(group.alias("group"), call["complete"].alias("complete"), rfc3339(call["started_at"]).alias("started_at"), call["duration_ms"].alias("duration_ms"), rfc3339(call["ended_at"]).alias("ended_at"), call["duplicates"].alias("duplicate_count"))
         members = F.filter("events", lambda e: e["invocation"] == call["number"])
         roles = F.transform(members, lambda e: F.concat(F.to_json(F.struct(e["role"].alias("n"))).substr(F.lit(6), F.length(F.to_json(F.struct(e["role"].alias("n")))) - 6), F.lit(":"), plain_json(e)))
         return _joined_object(entry_json(base), roles)
 
     def plain_json(e: Column) -> Column:
-        return _joined_object(F.to_json(F.struct(e["type"].alias("type"), e["stamp"].alias("timestamp"))), F.array(F.concat(F.lit('"event":'), e["raw"])))
+        return _joined_object(F.to_json(F.struct(e["type"].alias("type"), rfc3339(e["stamp"]).alias("timestamp"))), F.array(F.concat(F.lit('"event":'), e["raw"])))
 
     calls = F.transform("calls", lambda c: F.struct(c["first_observed"].alias("at"), c["ord"].alias("ord"), stitched(c).alias("json")))
     plains = F.transform(F.filter("events", lambda e: e["invocation"] < 0), lambda e: F.struct(e["observed"].alias("at"), e["ord"].alias("ord"), plain_json(e).alias("json")))
     timeline = F.array_sort(F.concat(calls, plains), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(a["ord"] - b["ord"]))
-    skews = F.transform(F.filter("calls", lambda c: skewed(c, incomplete_is_skew)), lambda c: F.struct(F.lit("clock_skew").alias("kind"), F.lit("invocation duration is negative").alias("detail"), F.col("finalized_at").alias("at")))
-    failed = F.transform("promotion_failed", lambda f: F.struct(F.lit("promotion_failed").alias("kind"), F.concat(F.lit('promoted field "'), f["name"], F.lit('" received "'), f["text"], F.lit('", which is not '), f["type"]).alias("detail"), F.col("finalized_at").alias("at")))
+    skews = F.transform(F.filter("calls", lambda c: skewed(c, incomplete_is_skew)), lambda c: F.struct(F.lit("clock_skew").alias("kind"), F.lit("invocation duration is negative").alias("detail"), rfc3339(F.col("finalized_at")).alias("at")))
+    failed = F.transform("promotion_failed", lambda f: F.struct(F.lit("promotion_failed").alias("kind"), F.concat(F.lit('promoted field "'), f["name"], F.lit('" received "'), f["text"], F.lit('", which is not '), f["type"]).alias("detail"), rfc3339(F.col("finalized_at")).alias("at")))
+    noted = F.transform("anomalies", lambda a: F.struct(a["kind"], a["detail"], rfc3339(a["at"]).alias("at")))
     head = F.struct(
-        at.alias("@timestamp"),
-        F.struct(F.col("key").alias("id"), "rule_id", "rule_version", F.col("reason").alias("finalization_reason"), "started_at", "ended_at", "duration_ms", "age_ms", "event_count", "entry_count", "duplicate_count", "incomplete_invocations", "duplicates").alias("flow"),
-        F.col("fields").alias("fields"),
-        F.concat("anomalies", skews, failed).alias("anomalies"),
+        rfc3339(at).alias("@timestamp"),
+        F.struct(F.col("key").alias("id"), "rule_id", "rule_version", F.col("reason").alias("finalization_reason"), rfc3339(F.col("started_at")).alias("started_at"), rfc3339(F.col("ended_at")).alias("ended_at"), "duration_ms", "age_ms", "event_count", "entry_count", "duplicate_count", "incomplete_invocations", "duplicates").alias("flow"),
+        fields.alias("fields"),
+        F.concat(noted, skews, failed).alias("anomalies"),
     )
     events = F.concat(F.lit('"events":['), F.array_join(F.transform(timeline, lambda t: t["json"]), ","), F.lit("]"))
     index = per_rule(rules, lambda r: index_name(r.index, at, F.col("finalized_at")), "string")

@@ -267,10 +267,29 @@ def index_daily(spark: SparkSession, d: str) -> DataFrame:
     return figures.select(index_name(CALLS.index, views.timestamp_of([CALLS]), F.col("finalized_at")).alias("index")).groupBy("index").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query(
+    CALLS_SQL
+    + f""", t AS (SELECT user_id, flow_seq, first_observed AS t0, 'stitched:' || g AS what FROM c
+  UNION ALL SELECT user_id, flow_seq, ts, 'plain:' || event_type FROM r WHERE status <> 'member'),
+line AS (SELECT user_id, flow_seq, string_agg(what, ',' ORDER BY t0) AS timeline, count(*) AS entry_count FROM t GROUP BY ALL),
+o AS (SELECT user_id, flow_seq, count(*) AS n FROM r WHERE status = 'cardinality' GROUP BY ALL),
+i AS (SELECT user_id, flow_seq, count(*) AS n FROM c WHERE NOT complete GROUP BY ALL)
+SELECT sha256('user-calls:' || f.user_id || ':' || {RFC}) AS output_id, 'calls-' || strftime(started_at, '%Y.%m.%d') AS index, epoch_us(finalized_at) AS created_us, CAST(f.user_id AS VARCHAR) AS key, reason, event_count,
+  epoch_us(started_at) AS started_us, epoch_us(ended_at) AS ended_us, (epoch_us(ended_at) - epoch_us(started_at)) // 1000 AS duration_ms, (epoch_us(finalized_at) - epoch_us(first_observed)) // 1000 AS age_ms,
+  entry_count, timeline, coalesce(o.n, 0) AS cardinality_exceeded, coalesce(i.n, 0) AS incomplete_invocations
+FROM f LEFT JOIN line ON f.user_id = line.user_id AND f.flow_seq = line.flow_seq LEFT JOIN o ON f.user_id = o.user_id AND f.flow_seq = o.flow_seq LEFT JOIN i ON f.user_id = i.user_id AND f.flow_seq = i.flow_seq"""
+)
 def document_json(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, read again from their JSON."""
     docs = views.documents(flows(_events(spark, d), [CALLS], latest=True), [CALLS], unique=True)
-    return docs.select("output_id", "index", us("created_at").alias("created_us"), "document")
+    schema = """struct<flow:struct<id:string,finalization_reason:string,started_at:timestamp,ended_at:timestamp,duration_ms:bigint,age_ms:bigint,event_count:bigint,entry_count:bigint,incomplete_invocations:bigint>,
+      events:array<struct<group:map<string,string>,type:string>>,anomalies:array<struct<kind:string>>>"""
+    read = docs.withColumn("d", F.from_json("document", schema)).select("output_id", "index", us("created_at").alias("created_us"), "d.flow.*", "d.events", "d.anomalies")
+    return read.select(
+        "output_id", "index", "created_us", F.col("id").alias("key"), F.col("finalization_reason").alias("reason"), "event_count", us("started_at").alias("started_us"), us("ended_at").alias("ended_us"), "duration_ms", "age_ms", "entry_count",
+        F.expr("array_join(transform(events, e -> CASE WHEN e.group IS NULL THEN 'plain:' || e.type ELSE 'stitched:' || map_values(e.group)[0] END), ',') AS timeline"),
+        F.expr("CAST(size(filter(anomalies, a -> a.kind = 'cardinality_exceeded')) AS BIGINT) AS cardinality_exceeded"), "incomplete_invocations",
+    )
 
 
 @query(CALLS_SQL + f"SELECT sha256('user-calls:' || user_id || ':' || {RFC}) AS output_id, {KEY}, reason, event_count FROM f")
@@ -449,15 +468,15 @@ def reject_malformed(spark: SparkSession, d: str) -> DataFrame:
     return accept(rows, max_bytes=64).rejected.select(F.col("seq").alias("event_id"), "reason")
 
 
-@query("SELECT event_id, 0 AS seq, CAST(user_id AS VARCHAR) AS user FROM events UNION ALL SELECT event_id, 1, CAST(user_id AS VARCHAR) FROM events WHERE event_id % 3 = 0")
+@query("SELECT event_id, event_id * 1048576 + i AS seq, CAST(user_id AS VARCHAR) AS user FROM events, (SELECT unnest(range(3)) AS i) WHERE i = 0 OR event_id % 3 = 0")
 def batch_source(spark: SparkSession, d: str) -> DataFrame:
     """Arrays of events; in two of three the second element is malformed and ends the array."""
     e = table(spark, d, "events")
     one = F.to_json(F.struct("event_id", F.col("user_id").alias("user")))
     second = F.when(F.col("event_id") % 3 == 0, one).otherwise(F.lit("7"))
-    rows = e.select(F.concat(F.lit("["), one, F.lit(","), second, F.lit(","), second, F.lit("]")).alias("body"), F.col("ts").cast("timestamp").alias("observed_at"))
-    got = accept_batch(rows).events.where("seq < 2")
-    return got.select(p("$.event_id").column().cast("bigint").alias("event_id"), F.col("seq").cast("int").alias("seq"), p("$.user").column().alias("user"))
+    rows = e.select(F.concat(F.lit("["), one, F.lit(","), second, F.lit(","), one, F.lit("]")).alias("body"), F.col("ts").cast("timestamp").alias("observed_at"), "event_id")
+    got = accept_batch(rows, number="event_id").events
+    return got.select(p("$.event_id").column().cast("bigint").alias("event_id"), "seq", p("$.user").column().alias("user"))
 
 
 def _coerce(name: str, kind: str, texts: tuple[str, ...], sql: str) -> None:

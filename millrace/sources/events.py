@@ -26,20 +26,26 @@ def accept(rows: DataFrame, raw: str = "raw", observed_at: str = "observed_at",
     return Accepted(made.where("reason is null").drop("reason"), made.where("reason is not null").select("raw", "observed_at", "seq", "reason"))
 
 
-def accept_batch(rows: DataFrame, body: str = "body", observed_at: str = "observed_at", max_bytes: int = 4 << 20) -> Accepted:
+#: Elements of an array that have places of their own in seq; later ones share the last.
+WITHIN = 1 << 20
+
+
+def accept_batch(rows: DataFrame, body: str = "body", observed_at: str = "observed_at", max_bytes: int = 4 << 20, number: str | None = None) -> Accepted:
     """Rows that hold JSON arrays of events. All events of an array share its observed_at and are numbered in order; the first
-    element that isn't an object ends its array, and events before it count."""
+    element that isn't an object ends its array, and events before it count. number: a column that orders arrays of one observed_at; their
+    events are then numbered from WITHIN times it on, so that no two of them tie."""
     parsed = F.try_parse_json(F.col(body)).try_cast("array<variant>")
     ok = parsed.isNotNull() & (F.octet_length(body) <= max_bytes)
-    items = rows.where(ok).select(F.col(observed_at).cast("timestamp").alias("observed_at"), parsed.alias("items"))
+    base = F.col(number).cast("bigint") * WITHIN if number else F.lit(0).cast("bigint")
+    items = rows.where(ok).select(F.col(observed_at).cast("timestamp").alias("observed_at"), base.alias("base"), parsed.alias("items"))
     kinds = F.transform("items", lambda v: F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)))
     items = items.withColumn("first_bad", F.array_position(kinds, F.lit(False)))
-    each = items.select("observed_at", "first_bad", F.posexplode("items").alias("seq", "doc"))
-    good = each.where("first_bad = 0 or seq < first_bad - 1")
-    events = good.select(F.to_json("doc").alias("raw"), "doc", "observed_at", F.col("seq").cast("bigint").alias("seq"))
-    bad = each.where("seq = first_bad - 1").select(F.to_json("doc").alias("raw"), "observed_at", F.col("seq").cast("bigint").alias("seq"), F.lit("malformed json").alias("reason"))
+    each = items.select("observed_at", "base", "first_bad", F.posexplode("items").alias("at", "doc"))
+    seq = (F.col("base") + F.least(F.col("at"), F.lit(WITHIN - 1))).alias("seq")
+    events = each.where("first_bad = 0 or at < first_bad - 1").select(F.to_json("doc").alias("raw"), "doc", "observed_at", seq)
+    bad = each.where("at = first_bad - 1").select(F.to_json("doc").alias("raw"), "observed_at", seq, F.lit("malformed json").alias("reason"))
     whole = F.when(F.octet_length(body) > max_bytes, "too large").otherwise("malformed json")
-    lost = rows.where(~F.coalesce(ok, F.lit(False))).select(F.col(body).alias("raw"), F.col(observed_at).cast("timestamp").alias("observed_at"), F.lit(0).cast("bigint").alias("seq"), whole.alias("reason"))
+    lost = rows.where(~F.coalesce(ok, F.lit(False))).select(F.col(body).alias("raw"), F.col(observed_at).cast("timestamp").alias("observed_at"), base.alias("seq"), whole.alias("reason"))
     return Accepted(events, bad.unionByName(lost))
 
 
