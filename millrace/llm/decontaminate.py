@@ -38,6 +38,8 @@ WINDOW = 32
 HALF = WINDOW // 2
 #: Bits of the hash of an item and a term.
 PAIR_BITS = 24
+#: Terms whose occurrences are multiplied as a matrix.
+COMMON = 256
 #: Items of a slice, and bytes of texts that a task searches with one slice's index before the next (it holds that many).
 SLICE = 4096
 HELD_BYTES = 8 << 20
@@ -55,6 +57,13 @@ class Index:
     space: np.ndarray  # term -> latent coordinates
     items: np.ndarray  # unit latent vectors of the items
 
+    def __post_init__(self):
+        #: Coordinates times weights; the commonest terms, and each term's place among them (-1: none).
+        self.weighted = (self.idf[:, None] * self.space).astype(np.float32)
+        self.common = np.argsort(self.idf, kind="stable")[:COMMON]
+        self.often = np.full(len(self.terms), -1)
+        self.often[self.common] = np.arange(len(self.common))
+
 
 def _answer(text: str) -> str:
     """The last sentence; without a second one the last quarter of the words."""
@@ -219,7 +228,6 @@ def _candidates(index: Index, texts: list[str], min_cosine: float) -> tuple[np.n
     total = int(halves.sum())
     starts = np.repeat(first_word, halves) + HALF * (np.arange(total) - np.repeat(first_half, halves))
     owner = np.repeat(np.arange(len(texts)), halves)
-    weight = index.idf[term]
     known = np.bincount(block, minlength=total)
     joined = np.zeros(total, bool)  # whether the next half-block is of the same text
     joined[:-1] = owner[1:] == owner[:-1]
@@ -234,15 +242,20 @@ def _candidates(index: Index, texts: list[str], min_cosine: float) -> tuple[np.n
     at = ragged(edge[need], size)
     out_w, out_i = [none], [none]
     sums = np.zeros((len(need) + 1, index.space.shape[1]), np.float32)
-    filled = np.flatnonzero(size)
-    if len(filled):
-        step = 4096
-        ends = np.append(0, np.cumsum(size[filled]))
-        for a in range(0, len(filled), step):
-            b = min(len(filled), a + step)
-            part = at[ends[a] : ends[b]]
-            rows = weight[part].astype(np.float32)[:, None] * index.space[term[part]]
-            sums[filled[a:b]] = np.add.reduceat(rows, ends[a:b] - ends[a], axis=0)
+    ends = np.append(0, np.cumsum(size))
+    for a in range(0, len(need), 4096):
+        b = min(len(need), a + 4096)
+        part = at[ends[a] : ends[b]]
+        own, where = term[part], np.repeat(np.arange(b - a), size[a:b])
+        # the commonest terms, which most occurrences are of, by a matrix of counts; the others one by one
+        row = index.often[own]
+        many = row >= 0
+        counts = np.bincount(where[many] * len(index.common) + row[many], minlength=(b - a) * len(index.common))
+        sums[a:b] = counts.reshape(b - a, -1).astype(np.float32) @ index.weighted[index.common]
+        few = np.flatnonzero(~many)
+        if len(few):
+            first = np.flatnonzero(np.append(True, where[few][1:] != where[few][:-1]))
+            sums[a + where[few][first]] += np.add.reduceat(index.weighted[own[few]], first, axis=0)
     spot = np.searchsorted(need, live)
     after = np.where(joined[live], np.searchsorted(need, live + 1), len(need))
     for a in range(0, len(live), 8192):
@@ -267,15 +280,15 @@ def _pair(item: np.ndarray | int, term: np.ndarray) -> np.ndarray:
     return mixed((np.asarray(item, U64) << U64(32)) + term.astype(U64)) >> U64(64 - PAIR_BITS)
 
 
-def _shared_words(bits: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, place: np.ndarray, term: np.ndarray) -> np.ndarray:
-    """How many words between places low and high the item has too, at most; no common subsequence is longer."""
+def _shared_words(bits: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray, place: np.ndarray, term: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some candidates at a time: their numbers, the terms between places low and high that the item has too (and a few that it may
+    not have), one candidate after the other, and how many each has. No common subsequence is longer."""
     first, last = np.searchsorted(place, low), np.searchsorted(place, high)
-    out = np.zeros(len(item), np.int64)
     for a in range(0, len(item), 8192):
         size = (last - first)[a : a + 8192]
-        hit = bits[_pair(np.repeat(item[a : a + 8192], size), term[ragged(first[a : a + 8192], size)])]
-        out[a : a + 8192] = np.bincount(np.repeat(np.arange(len(size)), size), hit, len(size))
-    return out
+        near = term[ragged(first[a : a + 8192], size)]
+        hit = bits[_pair(np.repeat(item[a : a + 8192], size), near)]
+        yield np.arange(a, a + len(size)), near[hit], np.bincount(np.repeat(np.arange(len(size)), size)[hit], minlength=len(size))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, min_overlap: float = 0.8, min_paraphrase: float = 0.65, rank: int = 256, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -309,7 +322,8 @@ def _loaded(file: str) -> tuple:
     fs, inner = pafs.FileSystem.from_uri(file)
     with fs.open_input_stream(inner) as f:
         index: Index = pickle.loads(f.read())
-    masks = [(_masks(w), len(w), _masks(a), len(a)) for w, a in zip(index.item_words, index.answers, strict=True)]
+    numbers = [[np.searchsorted(index.terms, x) for x in rows] for rows in (index.item_words, index.answers)]  # an answer's words are its item's
+    masks = [(_masks(w), len(w), _masks(a), len(a)) for w, a in zip(*numbers, strict=True)]
     return index, masks, _pair_bits(index), np.array([len(w) for w in index.item_words])
 
 
@@ -322,22 +336,24 @@ def _search(files: list[str], min_cosine: float, min_overlap: float, min_paraphr
         doc = owner[window]
         low = np.maximum((ends - count)[doc], starts[window] - sizes[item])
         high = np.minimum(ends[doc], starts[window] + WINDOW + sizes[item])
-        keep = _shared_words(bits, low, high, item, place, term) / sizes[item] >= min_paraphrase
         best: dict[tuple[int, int], float] = {}
-        for i, d, a, b in zip(*(x[keep].tolist() for x in (item, doc, low, high)), strict=True):
-            own, size, answer, answer_size = masks[i]
-            row = h[a:b]
-            key = (row.tobytes(), i)
-            if key not in memo:
-                if len(memo) > 20_000:
-                    memo.clear()
-                near = row.tolist()
-                share = common_length(own, size, near) / size
-                if share < min_paraphrase or (share < min_overlap and common_length(answer, answer_size, near) < min_overlap * answer_size):
-                    share = 0.0
-                memo[key] = share
-            if memo[key]:
-                best[d, i] = max(best.get((d, i), 0.0), memo[key])
+        for who, near, n in _shared_words(bits, low, high, item, place, term):
+            ends_of = np.cumsum(n)
+            for k in np.flatnonzero(n >= min_paraphrase * sizes[item[who]]).tolist():
+                i, row = int(item[who[k]]), near[ends_of[k] - n[k] : ends_of[k]]
+                key = (row.tobytes(), i)
+                if key not in memo:
+                    if len(memo) > 20_000:
+                        memo.clear()
+                    own, size, answer, answer_size = masks[i]
+                    words_in_order = row.tolist()
+                    share = common_length(own, size, words_in_order) / size
+                    if share < min_paraphrase or (share < min_overlap and common_length(answer, answer_size, words_in_order) < min_overlap * answer_size):
+                        share = 0.0
+                    memo[key] = share
+                if memo[key]:
+                    d = int(doc[who[k]])
+                    best[d, i] = max(best.get((d, i), 0.0), memo[key])
         ids = piece.column(id_col).to_pylist()
         merged: dict[tuple[int, int | None], float] = {}
         for (d, i), share in best.items():
