@@ -52,7 +52,17 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the folders of saved frames that nothing will read again: what was made of them is itself written by now."""
+    for frame in frames:
+        context = frame.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(frame.saved_at)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

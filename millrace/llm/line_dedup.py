@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import saved
+from millrace.llm.common import discard, saved
 
 #: Names of this operator's own columns; no input column is touched or compared with them.
 ID, TEXT, COPY, RUNS = "__line_doc", "__line_text", "__line_copy", "__line_runs"
@@ -55,12 +55,13 @@ def positions(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Da
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
-    """Per id and hash of the text (__line_doc, __line_copy), __line_runs: first and last line of the longest runs, in order
+    """A written table: per id and hash of the text (__line_doc, __line_copy), __line_runs: first and last line of the longest runs, in order
     and apart from each other, that repeat an earlier run of min_words words or more."""
     selected = saved(positions(docs, id_col, text_col, min_words), "line-positions")
     # joined alike at every size: by sorted exchanges of tables, whose large groups Spark can split
     often = saved(selected.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "line-fingerprints")
-    met = saved(selected.join(often.hint("merge"), "fingerprint"), "line-matches").select(ID, COPY, "fingerprint", F.explode("windows").alias("w")).select(ID, COPY, "fingerprint", "w.*")
+    matches = saved(selected.join(often.hint("merge"), "fingerprint"), "line-matches")
+    met = matches.select(ID, COPY, "fingerprint", F.explode("windows").alias("w")).select(ID, COPY, "fingerprint", "w.*")
     key = ["fingerprint", "h", "g"]
     at = F.struct(F.col(ID).isNotNull().alias("known"), F.col(ID).alias("doc"), F.col("first").alias("first"), F.col("last").alias("last"), F.col(COPY).alias("copy"))
     earliest = saved(met.groupBy(*key).agg(F.min(at).alias("origin"), F.max(at).alias("newest")).where("origin != newest").select(*key, "origin"), "line-origins")
@@ -70,7 +71,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     reach = F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.select(ID, COPY, "first", "last").distinct().withColumn("apart", F.coalesce(F.col("first") > reach + 1, F.lit(True)).cast("int"))
     runs = marked.withColumn("run", F.sum("apart").over(doc.rowsBetween(Window.unboundedPreceding, Window.currentRow))).groupBy(ID, COPY, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return runs.groupBy(ID, COPY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(RUNS))
+    out = saved(runs.groupBy(ID, COPY).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias(RUNS)), "line-marks")
+    discard(selected, often, matches, earliest)
+    return out
 
 
 def _kept(text: Column, runs: Column) -> Column:
@@ -87,7 +90,7 @@ def _kept(text: Column, runs: Column) -> Column:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, removed_col: str | None = None) -> DataFrame:
     """The rows with repeated runs deleted from their texts; with removed_col, also the number of lines deleted."""
-    marks = saved(repeats(docs, id_col, text_col, min_words), "line-marks")
+    marks = repeats(docs, id_col, text_col, min_words)
     # by place, so that no name of an input column can be one of the marks'
     place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     body = F.col(place[text_col])

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, lean, mixed, parts_of, pieces_of, prefix_hash, ragged, saved, shuffle_parts, span_hash, texts_of
+from millrace.llm.common import U64, discard, lean, mixed, parts_of, pieces_of, prefix_hash, ragged, saved, shuffle_parts, span_hash, texts_of
 
 #: Coordinates of points; boxes above an R-tree's leaves hold them coarser, each COARSE of them summed.
 POINT = 128
@@ -477,7 +477,8 @@ def components(edges: DataFrame, what: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
         lower = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(lower, "b").select(F.col("m").alias("a"), F.col("a").alias("b")).where("a < b")
-        now = saved(small.unionByName(lower.select(F.col("m").alias("a"), "b")).distinct(), what)
+        last, now = now, saved(small.unionByName(lower.select(F.col("m").alias("a"), "b")).distinct(), what)
+        discard(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -509,7 +510,9 @@ def _sets(docs: DataFrame, rows: DataFrame, n: int, pairs: DataFrame) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(cls[fresh]), pa.array(cells, pa.binary())], names=["cls", "members"])
 
     made = some.mapInArrow(lean(run), "cls bigint, members binary")
-    return saved(made.join(asked.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
+    out = saved(made.join(asked.hint("merge"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets")
+    discard(asked, first)
+    return out
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, bands: Bands) -> DataFrame:
@@ -529,7 +532,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, n: int, bands:
                 keep.append(bool(bands.enough(overlap, len(s), len(t))))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return saved(full.mapInArrow(lean(run), "a bigint, b bigint"), "ngram-links")
+    out = saved(full.mapInArrow(lean(run), "a bigint, b bigint"), "ngram-links")
+    discard(sets)
+    return out
 
 
 ITEMS = "array<struct<cls:bigint,component:bigint,point:binary>>"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import lean, saved
+from millrace.llm.common import discard, lean, saved
 
 LEAF = 64
 #: Cells at most (their pivots are broadcast), and vectors that a cell is worth making for.
@@ -227,7 +227,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
         return pd.DataFrame({"query_id": np.repeat(asking["query_id"].to_numpy(), real.sum(axis=1)), "vec_id": ids[real], "score": scores[real]})
 
     queries = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v"))
-    state, seen, step = queries.withColumn("best", F.array().cast(BEST)), 0, 1
+    state, seen, step = saved(queries.withColumn("best", F.array().cast(BEST)), "topk-state"), 0, 1
     while seen < len(pivots):
         visits = _visits(state, pivots, reach, k, seen, seen + step)
         visits = visits.join(F.broadcast(shards), "cell").select("query_id", "v", "floor", "cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard")).withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(lanes)).cast("int"))
@@ -235,6 +235,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, sha
         # a shard sends k rows of a query at most
         lists = found.groupBy("query_id").agg(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id")).cast(BEST).alias("found"))
         merged = F.slice(F.array_sort(F.concat("best", F.coalesce("found", F.array().cast(BEST)))), 1, k)
-        state = saved(state.join(lists, "query_id", "left").select("query_id", "v", merged.alias("best")), "topk-state")
+        last, state = state, saved(state.join(lists, "query_id", "left").select("query_id", "v", merged.alias("best")), "topk-state")
+        discard(last)
         seen, step = seen + step, 2 * step
+    discard(rows, placed, trees)
     return state.select("query_id", F.posexplode("best")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.less")).alias("score"))

@@ -156,8 +156,9 @@ def test_lines_by_sql(spark, data):
 
 
 def test_lines_stay_in_the_jvm(spark, docs):
-    plan = line_dedup.repeats(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    frames = [line_dedup.positions(docs, "doc_id", "text", 50), line_dedup.dedup(docs)]
+    for plan in (f._jdf.queryExecution().toString() for f in frames):
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def nearest(vectors, k, every):

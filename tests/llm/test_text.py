@@ -187,6 +187,45 @@ def test_neighbours_are_exact():
         assert cosine[k].tolist() == pytest.approx(exact[k][want].tolist()) and who[k].tolist() == want.tolist()
 
 
+def test_neighbours_by_brute_force(spark, data):
+    """The registered query's model on whole real texts: neighbours, votes and scores from plain dictionaries of words."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+
+    def vector(text):
+        h, n = np.unique(toxicity.words([text])[0], return_counts=True)
+        own = {int(x): (1 + np.log(c)) * model.idf[np.searchsorted(model.terms, x)] for x, c in zip(h, n, strict=True) if (k := np.searchsorted(model.terms, x)) < len(model.terms) and model.terms[k] == x}
+        size = np.sqrt(sum(v * v for v in own.values()))
+        return {x: v / size for x, v in own.items()}
+
+    examples = [(int(i), vector(texts[int(i)]), label) for i, label in zip(model.ids, model.label, strict=True)]
+    assert len(model.terms) > 1000 and len(examples) > 30
+    picked = sorted(texts)[:60]
+    scores, evidence = model.scores([texts[d] for d in picked])
+    for d, got, ids in zip(picked, scores.tolist(), evidence, strict=True):
+        own = vector(texts[d])
+        cosine = np.array([sum(v * e.get(x, 0.0) for x, v in own.items()) for _, e, _ in examples])
+        best = np.lexsort((np.arange(len(cosine)), -np.round(cosine, 12)))[: model.k]
+        best = best[np.round(cosine[best], 12) > 0]
+        assert sorted(ids) == sorted(examples[k][0] for k in best) or np.allclose(sorted(cosine[[list(model.ids).index(i) for i in ids]]), sorted(cosine[best]), atol=1e-9)
+        vote = sum(cosine[k] * examples[k][2] for k in best) / cosine[best].sum() if len(best) else None
+        assert got == pytest.approx(model.rest if vote is None else np.interp(vote, model.votes, model.chance), abs=1e-6)
+    assert len(np.unique(scores.round(6))) > 5
+
+
+def test_long_texts_in_parts(monkeypatch):
+    from millrace.llm import common, ngram_join
+
+    text = " ".join(f"Wörd{k % 91} it's\tx{k % 7}.\n\nEnd" for k in range(3000))
+    texts = [text, "", "short one here", text[5000:9000], "nocut" * 500]
+    whole = toxicity.words(texts), ngram_join.shingle_sets(texts, 4)
+    for module in (toxicity, ngram_join):
+        monkeypatch.setattr(module, "parts_of", lambda t, e: common.parts_of(t, e, 200))
+    cut = toxicity.words(texts), ngram_join.shingle_sets(texts, 4)
+    assert all((x == y).all() for a, b in zip(whole, cut, strict=True) for x, y in zip(a, b, strict=True))
+
+
 def test_toxicity(spark, docs, empty):
     rng = np.random.default_rng(7)
     words = [f"w{k}a" for k in "abcdefghijklmnopqrstuvwxyz"]
