@@ -6,20 +6,34 @@ results are whole and not doubled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from millrace.operators import delivery, views
 from millrace.plans.rules import Rule
 
 
-def to_outbox(flows: DataFrame, rules: Sequence[Rule], folder: str, checkpoint: str) -> DataStreamWriter:
+def documents_by_rule(batch: DataFrame) -> DataFrame:
+    """Documents of a stream's closed flows, each made by the rule that its flow began with. A batch has few rules, but may have several
+    versions of one."""
+    rules = sorted(r.rule_json for r in batch.select("rule_json").distinct().collect())
+    made = [views.documents(batch.where(F.col("rule_json") == text).withColumn("rule", F.lit(0)).drop("rule_json"), [Rule.from_json(text)]) for text in rules]
+    return reduce(DataFrame.unionByName, made) if made else batch.sparkSession.createDataFrame([], "output_id string, index string, created_at timestamp, document string")
+
+
+def to_outbox(flows: DataFrame, folder: str, checkpoint: str) -> DataStreamWriter:
     """Documents of closed flows, as Parquet below folder/batch=N."""
 
     def write(batch: DataFrame, number: int) -> None:
-        views.documents(batch, rules).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.persist()
+        try:
+            documents_by_rule(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return flows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -159,7 +159,7 @@ def test_stream_to_outbox_and_open_flows(spark, tmp_path):
     rows = [(0, {"parcel": "p1", "step": "sent"}), (1, {"parcel": "p2", "step": "sent"}), (2, {"parcel": "p1", "step": "way"}), (3, {"parcel": "p1", "step": "there"}), (4, {"other": 1})]
     events = parcels(spark, tmp_path / "in", 1, rows)
     found = stream_flows(route(events, [RULE]), [RULE], "0 seconds")
-    q = sinks.to_outbox(found, [RULE], str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = sinks.to_outbox(found, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     docs = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(d["index"], json.loads(d.document)["flow"]["event_count"]) for d in docs] == [("parcels-2026", 3)]
