@@ -27,7 +27,8 @@ def claim(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     keyed = events.select("*", *[rules[k].key.column("doc", "raw").alias(name) for k, name in names.items()])
     which = "CAST(NULL AS INT)" if not names else "coalesce(" + ", ".join(f"CASE WHEN {n} != '' THEN {k} END" for k, n in names.items()) + ")"
     key = "CAST(NULL AS STRING)" if not names else "coalesce(" + ", ".join(f"nullif({n}, '')" for n in names.values()) + ")"
-    return keyed.select(*events.columns, F.expr(which).cast("int").alias("rule"), F.expr(key).alias("key"))
+    # generated columns: a filter on them stays above, so no key and no text is worked out twice for it
+    return keyed.select(*events.columns, F.inline(F.array(F.struct(F.expr(which).cast("int").alias("rule"), F.expr(key).alias("key")))))
 
 
 def describe(claimed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
