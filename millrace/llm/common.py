@@ -89,7 +89,7 @@ def pieces_of(batch: pa.RecordBatch, name: str = "text", limit: int = CHUNK_BYTE
         start = stop
 
 
-def parts_of(texts: list[str], edge: re.Pattern, limit: int = CHUNK_BYTES // 2, skip: int = 0) -> Iterator[tuple[np.ndarray, list[str]]]:
+def parts_of(texts: list[str], edge: re.Pattern, limit: int = CHUNK_BYTES, skip: int = 0) -> Iterator[tuple[np.ndarray, list[str]]]:
     """The texts in groups of about `limit` characters, with each one's number; longer texts are cut before matches of `edge`, so that
     temporaries stay bounded whatever a text's length (a run without any such place stays whole). skip: characters left out at a cut."""
     owner, held, size = [], [], 0
