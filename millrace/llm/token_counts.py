@@ -36,7 +36,7 @@ def _counter(path: str) -> tuple[pretokens.Cache, list[str], bpe.Pieces]:
             return pieces.counts(raw, edge[:-1], np.diff(edge)), np.diff(edge)
 
         special = sorted(t.content for t in pretokens.library(path)[0].get_added_tokens_decoder().values())
-        _workers[path] = (pretokens.Cache(counts, limit=250_000, kind=np.int32), special, pieces)
+        _workers[path] = (pretokens.Cache(counts, kind=np.int32), special, pieces)
     return _workers[path]
 
 
