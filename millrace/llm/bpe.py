@@ -11,7 +11,6 @@ array operations keep the back-pointers and counts.
 
 from __future__ import annotations
 
-import base64
 import json
 from collections.abc import Iterator
 
@@ -246,9 +245,3 @@ def _merged(text: str, rank: dict[str, int]) -> list[str]:
         i = best[1]
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
     return parts
-
-
-def tiktoken_ranks(path: str) -> dict[bytes, int]:
-    """Byte strings and ranks of a .tiktoken file."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

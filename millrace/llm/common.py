@@ -201,7 +201,3 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in held:
         name += "_"
     return name
-
-
-def as_long(name: str):
-    return F.col(name).cast("bigint").alias(name)
