@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,28 +17,12 @@ def stamp(text: Column) -> Column:
     return F.when(text.rlike(STAMP), F.try_to_timestamp(F.regexp_replace(text, ",", ".")))
 
 
-def micros(at: Column) -> Column:
-    return F.unix_micros(at)
-
-
-def milliseconds(us: Column) -> Column:
-    """Whole milliseconds of a difference in microseconds, towards zero."""
-    return F.expr("1").cast("bigint") * (F.signum(us) * F.floor(F.abs(us) / 1000)).cast("bigint")
-
-
 def rfc3339(at: Column) -> Column:
     """UTC timestamp as text with as many fractional digits as needed."""
     text = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     return F.concat(F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", ""), F.lit("Z"))
 
 
-def rfc3339_text(us: int) -> str:
-    """rfc3339 of microseconds since the epoch, on the driver."""
-    at = datetime.fromtimestamp(us // 1_000_000, UTC).strftime("%Y-%m-%dT%H:%M:%S")
-    part = f"{us % 1_000_000:06d}".rstrip("0")
-    return at + (f".{part}" if part else "") + "Z"
-
-
 def to_long(text: Column) -> Column:
     return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
 
