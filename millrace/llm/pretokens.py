@@ -81,7 +81,7 @@ def strings(points: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> list[
 class Cache:
     """What distinct pretokens encode to, kept by a Python worker from batch to batch; bounded, then begun anew."""
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = 500_000, split: Callable = split, kind: type = np.uint16, skip: int = 0):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000, split: Callable = split, kind: type = np.uint16, skip: int = 0):
         """skip: characters that `split` puts before each text itself, so a text cut there is given without them."""
         self.encode, self.limit, self.split, self.kind, self.skip = encode, limit, split, kind, skip
         self.clear()
@@ -146,9 +146,34 @@ def library(path: str):
         tokenizer = Tokenizer.from_file(path)
         kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
+        lines = tokenizer.encode("\n", add_special_tokens=False).ids
+
+        def apart(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), kind), np.fromiter(map(len, found), np.int64, len(found))
+
+        def together(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """One text of a line per pretoken, none of which holds or ends on white space: lines end where the line feed's id stands."""
+            ids = np.array(tokenizer.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, kind)
+            end = ids == lines[0]
+            if int(end.sum()) != len(texts) - 1:
+                return apart(texts)
+            edge = np.append(np.flatnonzero(end), len(ids))
+            return ids[~end], np.diff(edge, prepend=-1) - 1
+
         def encode(points: np.ndarray, first: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tokenizer.encode_batch_fast(strings(points, first, lengths), add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(found), kind), np.fromiter(map(len, found), np.int32, len(found))
+            blank = (classes()[points[first + lengths - 1]] == SPACE) | (len(lines) != 1)
+            sizes, parts = np.zeros(len(first), np.int64), []
+            some = np.flatnonzero(~blank)
+            for at, way in [(np.flatnonzero(blank), apart), *((some[k : k + 8192], together) for k in range(0, len(some), 8192))]:
+                if len(at):
+                    ids, sizes[at] = way(strings(points, first[at], lengths[at]))
+                    parts.append((at, ids))
+            begin = np.cumsum(sizes) - sizes
+            out = np.empty(int(sizes.sum()), kind)
+            for at, ids in parts:
+                out[ragged(begin[at], sizes[at])] = ids
+            return out, sizes.astype(np.int32)
 
         special = sorted(t.content for t in tokenizer.get_added_tokens_decoder().values())
         _workers[path] = (tokenizer, Cache(encode, kind=kind), special)
