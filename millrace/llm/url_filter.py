@@ -7,7 +7,8 @@ substrings are (by a join, so no dictionary is broadcast).
 
 Multinomial naive Bayes then scores the words of host and path. Its labels come from seeds, words of blocked sites: pages whose host holds
 one are its one class, the rest the other. Seeds are no features of the model that they label; what they say is added by itself
-(`seed_odds`), so other words count by the company they keep. The odds of the most frequent words are
+(`seed_odds`), so other words count by the company they keep. Counts of a word are smoothed by one occurrence that is divided like all
+words are, so rare words say little, however unequal the classes. The odds of the most frequent words are
 broadcast, those of all others joined to the pages that have them.
 
 A null url, or one without "://", has an empty host and path, no rule, and is allowed. Only A-Z are lower-cased.
@@ -193,13 +194,14 @@ def fit(pages: DataFrame, max_words: int = 4096, seeds: frozenset[str] = SEEDS,
     totals = {r.is_page: r for r in rows.groupBy(F.col("word").isNull().alias("is_page")).agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
     pages_of, all_of = totals.get(True), totals.get(False)
     prior = math.log((pages_of.ones + 1) / (pages_of.n - pages_of.ones + 1)) if pages_of else -1.0
-    if not all_of:
+    if not all_of or not 0 < all_of.ones < all_of.n:  # one class has taught nothing
         return Model(words, {}, prior, None, seeds, seed_odds)
-    total1, total0 = all_of.ones + all_of.words, all_of.n - all_of.ones + all_of.words
+    share = all_of.ones / all_of.n
+    apart = math.log(share / (1 - share))
     rows = rows.where("word is not null")
     few = rows.orderBy(F.desc("n"), "word").limit(max_words).collect()
-    odds = {r.word: math.log((r.ones + 1) / total1) - math.log((r.n - r.ones + 1) / total0) for r in few}
-    table = rows.select("word", (F.log((F.col("ones") + 1) / F.lit(total1)) - F.log((F.col("n") - F.col("ones") + 1) / F.lit(total0))).alias("odds"))
+    odds = {r.word: math.log((r.ones + share) / (r.n - r.ones + 1 - share)) - apart for r in few}
+    table = rows.select("word", (F.log((F.col("ones") + F.lit(share)) / (F.col("n") - F.col("ones") + F.lit(1 - share))) - F.lit(apart)).alias("odds"))
     return Model(words, odds, prior, table if all_of.words > len(few) else None, seeds, seed_odds)
 
 

@@ -84,6 +84,7 @@ URLS = [
     ("HTTP://A.Example.NET/en/x?y", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://example.net/de/", "example.net", "/de/", "net/", "block"), ("http://b.com#f/de/", "b.com", "", None, "allow"),
     ("x://example.com/de/1#z", "example.com", "/de/1", "example.com/de/", "block"), ("x://badexample.com/de/1", "badexample.com", "/de/1", None, "allow"), ("x://y.org/fr/", "y.org", "/fr/", "org/fr/", "allow"),
     ("no url", "", "", None, "allow"), (None, "", "", None, "allow"), ("", "", "", None, "allow"), ("x://a.net", "a.net", "", None, "allow"), ("x://ÄB.net/", "Äb.net", "/", "net/", "block"), ("a://b://c/d", "b:", "//c/d", None, "allow"),
+    ("x://" + "news" * 8000 + ".org/fr/" + "Z/" * 9000, "news" * 8000 + ".org", "/fr/" + "Z/" * 9000, "org/fr/", "allow"),
 ]
 
 
