@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import math
 import re
 import uuid
@@ -54,6 +55,7 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
+    trim()
     return out
 
 
@@ -121,17 +123,23 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            del _powers[:], _symbols[:]
-            _powers.extend([np.ones(1, U64), np.ones(1, U64)])
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            trim()
 
     return task
 
 
+def trim() -> None:
+    """Gives this process's freed memory, and tables that are quickly made again, back to the system."""
+    del _powers[:], _symbols[:]
+    _powers.extend([np.ones(1, U64), np.ones(1, U64)])
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalising mix of 64-bit values (splitmix)."""
     x = x.astype(U64, copy=True)

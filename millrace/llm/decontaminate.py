@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, lean, mixed, pieces_of, ragged, shared_dir, texts_of
+from millrace.llm.common import U64, lean, mixed, pieces_of, ragged, shared_dir, texts_of, trim
 from millrace.llm.toxicity import words
 
 #: Words of a window, which starts every HALF words.
@@ -304,6 +304,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_cosine: float = 0.4, min_ov
         found = index(items.where(F.pmod(F.xxhash64(item_text), F.lit(slices)) == k), every, idf, rank, item_id, item_text)
         if found is not None:
             files.append(_kept(folder, k, found))
+    trim()
     out = docs.mapInArrow(lean(_search(files, min_cosine, min_overlap, min_paraphrase, id_col, text_col, item_id)), f"{id_col} bigint, {item_id} bigint, overlap double")
     return out if slices == 1 else out.groupBy(id_col, item_id).agg(F.max("overlap").alias("overlap"))
 

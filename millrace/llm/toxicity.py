@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import pretokens
-from millrace.llm.common import U64, lean, parts_of, pieces_of, prefix_hash, ragged, span_hash, texts_of
+from millrace.llm.common import U64, lean, parts_of, pieces_of, prefix_hash, ragged, span_hash, texts_of, trim
 
 FOLDS = 5
 BLOCK = 64
@@ -242,7 +242,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = 4096, k: int = 1
     count = np.zeros(len(terms) + 1, np.int64)
     count[df.column("term").to_numpy()] = df.column("n").to_numpy()
     idf = np.log((1 + count[-1]) / (1 + count[:-1])) + 1
-    return _indexed(terms, idf * np.sqrt(1 + association(owner, which, len(terms), label_of)), owner, which, tf, label_of, k)
+    model = _indexed(terms, idf * np.sqrt(1 + association(owner, which, len(terms), label_of)), owner, which, tf, label_of, k)
+    del found, owner, which, tf, times
+    trim()
+    return model
 
 
 def association(owner: np.ndarray, term: np.ndarray, n: int, label_of: dict[int, int]) -> np.ndarray:
