@@ -3,7 +3,9 @@
 A text's set holds its distinct n-word shingles. Tokens (shingles) are hashed into groups; the counts of a set's groups are
 a point. The summed coordinate minima of two points bound the sets' overlap from above, and so do those of a point and the upper
 corner of a box: an R-tree of points skips whole boxes that can't reach the threshold. All candidates come from R-trees,
-and pairs that survive are verified on the sets.
+and pairs that survive are verified on the sets. Boxes and first comparisons sum neighbouring coordinates; what they let pass is compared
+by all of them, as a pair is found in every bucket that it shares and large groups of copies just short of the threshold would
+otherwise be named over and over.
 
 Blocks only deal the work to machines: two linked sets differ in at most d places, so of d + 1 blocks of token groups one has
 equal counts in both, and sets with an equal block share a bucket, without loss of a link. d follows from the sizes: sets are
@@ -36,9 +38,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import U64, discard, lean, mixed, parts_of, pieces_of, prefix_hash, ragged, saved, shuffle_parts, span_hash, texts_of
 
-#: Coordinates of points; boxes above an R-tree's leaves hold them coarser, each COARSE of them summed.
-POINT = 128
-COARSE = 4
+#: Coordinates of points; boxes of an R-tree hold them coarser, each COARSE of them summed, and rows are first compared by sums of MIDDLE.
+POINT = 1024
+MIDDLE = 8
+COARSE = 32
 #: Rows or nodes below a node.
 FAN = 16
 #: Token groups within each block.
@@ -185,24 +188,40 @@ def block_keys(h: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarr
 def points(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Counts of POINT token groups per set."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    return np.bincount(owner * POINT + (h >> U64(57)).astype(np.int64), minlength=len(sizes) * POINT).reshape(-1, POINT)
+    place = (h >> U64(64 - POINT.bit_length() + 1)).astype(np.int64)
+    return np.bincount(owner * POINT + place, minlength=len(sizes) * POINT).reshape(-1, POINT)
 
 
-def _point_bytes(p: np.ndarray) -> list[bytes]:
-    """Points as bytes: 1, 2 or 4 per coordinate, as the largest needs."""
-    most = p.max(axis=1, initial=0)
-    return [x.astype("u1" if m < 1 << 8 else "<u2" if m < 1 << 16 else "<u4").tobytes() for x, m in zip(p, most.tolist(), strict=True)]
+WIDTHS = {1: "u1", 2: "<u2", 4: "<u4"}
 
 
-def _points(column) -> np.ndarray:
-    """Points from their bytes."""
-    kinds = {POINT: "u1", 2 * POINT: "<u2", 4 * POINT: "<u4"}
-    out = np.empty((len(column), POINT), np.int32)
+def _point_bytes(h: np.ndarray, sizes: np.ndarray, step: int = 1024) -> list[bytes]:
+    """Points of sets as bytes: how many bytes each coordinate takes (1, 2 or 4, as the largest needs), then the compressed coordinates."""
+    zstd, out = pa.Codec("zstd"), []
+    ends = np.append(0, np.cumsum(sizes))
+    for a in range(0, len(sizes), step):
+        b = min(a + step, len(sizes))
+        p = points(h[ends[a] : ends[b]], sizes[a:b])
+        for x, m in zip(p, p.max(axis=1, initial=0).tolist(), strict=True):
+            width = 1 if m < 1 << 8 else 2 if m < 1 << 16 else 4
+            out.append(bytes([width]) + zstd.compress(x.astype(WIDTHS[width]).tobytes(), asbytes=True))
+    return out
+
+
+def _points(column: list[bytes]) -> np.ndarray:
+    """Points from their bytes, of the narrowest type that holds them all."""
+    zstd = pa.Codec("zstd")
+    out = np.empty((len(column), POINT), WIDTHS[max((x[0] for x in column), default=1)])
     for k, x in enumerate(column):
-        out[k] = np.frombuffer(x, kinds[len(x)])
+        out[k] = np.frombuffer(zstd.decompress(memoryview(x)[1:], POINT * x[0]), WIDTHS[x[0]])
     return out
 
 
+def _summed(points: np.ndarray, n: int) -> np.ndarray:
+    """Points with each n neighbouring coordinates summed."""
+    return np.add.reduce(points.reshape(len(points), -1, n), axis=2, dtype=np.int32)
+
+
 class Forest:
     """An R-tree for each group of points, in shared arrays.
 
@@ -215,11 +234,12 @@ class Forest:
         self.bands = bands
         size = points.sum(axis=1, dtype=np.int64)
         # near points lie side by side: by component, size, and place along a fixed direction
-        direction = (mixed(np.arange(POINT, dtype=U64)) >> U64(40)).astype(np.float64)
-        self.order = np.lexsort((points @ direction, size, component, group))
-        self.points, self.component = points[self.order], component[self.order]
+        direction = (mixed(np.arange(POINT // MIDDLE, dtype=U64)) >> U64(40)).astype(np.float64)
+        middle = _summed(points, MIDDLE)
+        self.order = np.lexsort((middle @ direction, size, component, group))
+        self.points, self.middle, self.component = points[self.order], middle[self.order], component[self.order]
         self.group = group[self.order]
-        coarse = self.points.reshape(len(points), -1, COARSE).sum(axis=2, dtype=np.int32)
+        coarse = _summed(self.middle, COARSE // MIDDLE)
         level = (coarse, size[self.order], size[self.order], self.component, self.component, self.group)
         self.levels, self.first = [level], []
         while True:
@@ -247,7 +267,8 @@ class Forest:
         return np.concatenate([q for q, _ in out]), np.concatenate([r for _, r in out])
 
     def _reach(self, points: np.ndarray, group: np.ndarray, component: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        coarse = points.reshape(len(points), -1, COARSE).sum(axis=2, dtype=np.int32)
+        middle = _summed(points, MIDDLE)
+        coarse = _summed(middle, COARSE // MIDDLE)
         size = points.sum(axis=1, dtype=np.int64)
         query, node = np.arange(len(points)), group.copy()  # the top level has one node per group
         for k in range(len(self.levels) - 1, -1, -1):
@@ -263,16 +284,18 @@ class Forest:
                 first = self.first[k - 1]
                 n = first[node + 1] - first[node]
                 query, node = np.repeat(query, n), ragged(first[node], n)
-        most = _overlap(self.points, node, points, query)
-        fits = self.bands.enough(most, self.levels[0][1][node], size[query])
-        return query[fits], node[fits]
+        for own, asking in ((self.middle, middle), (self.points, points)):
+            fits = self.bands.enough(_overlap(own, node, asking, query), self.levels[0][1][node], size[query])
+            query, node = query[fits], node[fits]
+        return query, node
 
 
 def _overlap(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Summed minima of rows i of a and rows j of b, in steps of bounded size."""
     out = np.empty(len(i), np.int64)
-    for k in range(0, len(i), 1 << 15):
-        out[k : k + (1 << 15)] = np.minimum(a[i[k : k + (1 << 15)]], b[j[k : k + (1 << 15)]]).sum(axis=1, dtype=np.int64)
+    step = (1 << 22) // max(1, a.shape[1])
+    for k in range(0, len(i), step):
+        out[k : k + step] = np.minimum(a[i[k : k + step]], b[j[k : k + step]]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -288,10 +311,11 @@ def cover(points: np.ndarray, group: np.ndarray, bands: Bands) -> tuple[np.ndarr
     count = np.bincount(group, minlength=n)
     order = np.argsort(group, kind="stable")
     start = np.cumsum(count) - count
-    mean = np.add.reduceat(points[order], start).astype(np.float32) / count[:, None].astype(np.float32)
+    middle = _summed(points, MIDDLE)
+    mean = np.add.reduceat(middle[order], start).astype(np.float32) / count[:, None].astype(np.float32)
     apart = np.empty(len(points), np.float32)
     for a in range(0, len(points), 1 << 14):
-        apart[a : a + (1 << 14)] = np.abs(points[a : a + (1 << 14)] - mean[group[a : a + (1 << 14)]]).sum(axis=1)
+        apart[a : a + (1 << 14)] = np.abs(middle[a : a + (1 << 14)] - mean[group[a : a + (1 << 14)]]).sum(axis=1)
     by = np.lexsort((apart, group))
     centre = by[start]
     met = np.zeros(len(points), bool)
@@ -337,7 +361,7 @@ def _set_rows(docs: DataFrame, n: int) -> DataFrame:
                 fresh = seen.fresh(cls, (sizes > 0) & piece.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
                 own = h[ragged((np.cumsum(sizes) - sizes)[fresh], sizes[fresh])]
                 cells: list[bytes | None] = [None] * len(cls)
-                for i, x in zip(fresh.tolist(), _point_bytes(points(own, sizes[fresh])), strict=True):
+                for i, x in zip(fresh.tolist(), _point_bytes(own, sizes[fresh]), strict=True):
                     cells[i] = x
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes), pa.array(cls), pa.array(cells, pa.binary())], names=["doc_id", "n_shingles", "cls", "point"])
 

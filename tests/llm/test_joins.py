@@ -96,6 +96,36 @@ def test_trees_find_the_candidates(spark, data):
     assert links.where("component_id != doc_id").count() > 0
 
 
+def test_copies_short_of_the_threshold_are_not_candidates():
+    """Copies of one text that differ in too many places: few of their pairs may be left to be verified, whatever their number."""
+    rng = np.random.default_rng(4)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.choice(400, 6, replace=False):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    h, sizes = ngram_join.shingle_sets(texts, 4)
+    ends, bands = np.append(0, np.cumsum(sizes)), ngram_join.Bands(85, 100)
+    sets = [set(h[ends[k] : ends[k + 1]].tolist()) for k in range(60)]
+    near = {(i, j) for i in range(60) for j in range(60) if bands.enough(np.int64(len(sets[i] & sets[j])), sizes[i], sizes[j])}
+    points = ngram_join.points(h, sizes)
+    q, row = ngram_join.Forest(points, np.zeros(60, np.int64), np.arange(60), bands).reach(points, np.zeros(60, np.int64))
+    got = set(zip(q.tolist(), row.tolist(), strict=True))
+    assert near <= got and len(got - near) < 40  # of 3540 pairs
+    assert (ngram_join._points(ngram_join._point_bytes(h, sizes, 7)) == points).all()
+
+
+def test_points_as_bytes():
+    """Coordinates beyond one and two bytes, and no sets at all."""
+    h = np.concatenate([np.zeros(300, np.uint64), np.ones(70_000, np.uint64), np.full(3, 1 << 63, np.uint64)])
+    sizes = np.array([300, 70_000, 0, 3])
+    held = ngram_join._point_bytes(h, sizes)
+    assert [x[0] for x in held] == [2, 4, 1, 1] and (ngram_join._points(held) == ngram_join.points(h, sizes)).all()
+    assert ngram_join._points([]).shape == (0, ngram_join.POINT)
+
+
 def test_join_edges(spark, docs, texts, empty):
     got = {r.doc_id: r for r in ngram_join.join(docs).collect()}
     assert got[4].component_id == 0 and got[1].n_shingles == 0 and got[1].component_id == 1 and got[None].component_id is None
