@@ -1,11 +1,15 @@
 """Secret scans: fixed patterns, and a probabilistic automaton inferred from labelled credentials.
 
-The patterns find credentials by their surroundings or prefix. What they find, in a bounded sample of all texts' strings, labels the
-training set: credentials, and for contrast ordinary candidates of the same alphabet. Of either set a prefix tree is made over
+The patterns find credentials by their surroundings or prefix. What they find in all texts labels the training set, which holds
+every distinct string: credentials, and for contrast ordinary candidates of the same alphabet. Of either set a prefix tree is made over
 classes of characters, and its states are merged, smallest prefixes first, where their frequencies are statistically
 compatible (Hoeffding's bound at every shared suffix); the two automata then score every candidate, a maximal
 run of 8 credential characters or more, by the log ratio of its likelihoods. Candidates over the threshold, which one in a
-thousand of the ordinary ones held out from learning exceeds, become spans of kind `format`. Pattern spans always stay.
+thousand of the ordinary ones exceeds, become spans of kind `format`. Pattern spans always stay.
+
+The driver holds the tree's nodes that one in SHARE strings passes (two at least), counted over all strings; rarer continuations begin anew at
+the root, where a node passed once always merges to as well. All strings then go through the merged automaton, rare
+ones too, and what they pass there makes its probabilities. Both thresholds are exact ranks among all strings.
 
 Null texts count as empty; an empty text has no spans. Texts are scanned whole, in time proportional to their length. Repeated rows
 are scanned one by one. Without any labelled credential nothing is added. An empty table gives an empty result; extra
@@ -16,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import U64, lean, pieces_of, prefix_hash, saved, span_hash, texts_of
+from millrace.llm.common import discard, lean, pieces_of, prefix_hash, saved, span_hash, texts_of
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -32,6 +36,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # no shorter run holds another match,
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Characters of a candidate at least; labelled credentials start there too.
 SHORTEST = 8
+#: Nodes of a prefix tree that fewer than one in so many strings pass are left to the root's counts.
+SHARE = 500
+#: Hashes of strings that a task remembers, so as not to hand them on again; then it begins anew.
+HELD = 500_000
 
 
 def _class_table() -> np.ndarray:
@@ -45,6 +53,8 @@ def _class_table() -> np.ndarray:
 CLASS = _class_table()
 IN_RUN = np.array([bool(re.fullmatch(r"[A-Za-z0-9+/_.=-]", chr(c))) for c in range(128)])
 SYMBOLS = int(CLASS.max()) + 1
+#: Symbols are written as letters from here on.
+LETTER = ord("a")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -130,6 +140,24 @@ class Automaton:
             state[live] = self.step[state[live], s]
         return total + self.log_end[state]
 
+    def passes(self, symbols: np.ndarray, first: np.ndarray, size: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """How often weighted spans of a row of symbols pass each state with each symbol, or (last column) end there."""
+        out = np.zeros((len(self.step), SYMBOLS + 1), np.int64)
+        order = np.argsort(-size, kind="stable")
+        state, live = np.zeros(len(size), np.int64), order
+        for i in range(int(size.max(initial=0))):
+            live = live[: int(np.searchsorted(-size[live], -i, side="left"))]
+            s = symbols[first[live] + i]
+            np.add.at(out, (state[live], s), weight[live])
+            state[live] = self.step[state[live], s]
+        np.add.at(out[:, SYMBOLS], state, weight)
+        return out
+
+    def counted(self, passes: np.ndarray, smooth: float = 0.1) -> Automaton:
+        """The same states, with the probabilities of these counts."""
+        p = np.log((passes + smooth) / (passes.sum(axis=1, keepdims=True) + smooth * (SYMBOLS + 1)))
+        return Automaton(self.step, p[:, :SYMBOLS], p[:, SYMBOLS])
+
 
 def infer(strings: list[np.ndarray], alpha: float = 0.05, smooth: float = 0.1) -> Automaton:
     """Merges compatible states of the strings' prefix tree, red-blue fashion, into an automaton."""
@@ -149,6 +177,20 @@ def infer(strings: list[np.ndarray], alpha: float = 0.05, smooth: float = 0.1) -
             at = child[at][c]
         seen[at] += 1
         ended[at] += 1
+    return _merged(child, seen, ended, passed, alpha, smooth)
+
+
+def infer_tree(nodes: dict[str, list[int]], alpha: float = 0.05, smooth: float = 0.1) -> Automaton:
+    """The same of a tree's nodes: by prefix (a letter per symbol), how many strings go on with each symbol, and how many end."""
+    order = sorted(nodes, key=lambda x: (len(x), x))
+    place = {x: k for k, x in enumerate(order)}
+    child: list[dict[int, int]] = [{} for _ in order]
+    for x in order[1:]:
+        child[place[x[:-1]]][ord(x[-1]) - LETTER] = place[x]
+    return _merged(child, [sum(nodes[x]) for x in order], [nodes[x][SYMBOLS] for x in order], [nodes[x][:SYMBOLS] for x in order], alpha, smooth)
+
+
+def _merged(child: list[dict[int, int]], seen: list[int], ended: list[int], passed: list[list[int]], alpha: float, smooth: float) -> Automaton:
     width = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(x: int, n: int, y: int, m: int) -> bool:
@@ -207,12 +249,6 @@ class Model:
     ordinary: Automaton
     threshold: float
 
-    def per_letter(self, texts: list[str]) -> np.ndarray:
-        """Log likelihood as a credential, per letter."""
-        size = np.array([len(t) for t in texts], np.int64)
-        flat = _symbols(["".join(texts)])[0]
-        return self.credential.likelihood(flat, np.cumsum(size) - size, size) / np.maximum(size, 1)
-
     def ratios(self, texts: list[str]) -> np.ndarray:
         size = np.array([len(t) for t in texts], np.int64)
         return self.spans(_symbols(["".join(texts)])[0], np.cumsum(size) - size, size)
@@ -222,44 +258,130 @@ class Model:
         return self.credential.likelihood(symbols, first, size) - self.ordinary.likelihood(symbols, first, size)
 
 
-def fit(docs: DataFrame, max_examples: int = 1000, text_col: str = "text") -> Model | None:
-    """Learns from at most 2 * max_examples distinct strings of either kind, those of the smallest hashes; half of the
-    ordinary ones set the threshold."""
-
-    keep = 2 * max_examples
+def _strings(docs: DataFrame, text_col: str) -> DataFrame:
+    """kind (1: credential, 0: ordinary candidate), s (a letter per symbol) and n (how many distinct strings have these symbols) of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[int, str]] = [{}, {}]
+        held: list[set[int]] = [set(), set()]
         for batch in batches:
             for piece in pieces_of(batch, text_col):
                 got = search(texts_of(piece.column(text_col)))
                 prefix = prefix_hash(got.points)
+                letters = (got.symbols() + LETTER).astype(np.uint8).tobytes().decode("ascii")
                 labelled = [(a + c, a + e) for a, own in zip(got.begin.tolist(), got.matches, strict=True) for _, _, e, c in own]
                 for kind, start, end in ((1, *np.array(labelled, np.int64).reshape(-1, 2).T), (0, got.start, got.end)):
-                    h = (span_hash(prefix, start, end) >> U64(8)).astype(np.int64)
-                    if len(held[kind]) >= keep:
-                        h = np.where(h < max(held[kind]), h, -1)
-                    hashes, one = np.unique(h, return_index=True)
-                    for x, i in zip(hashes.tolist()[:keep + 1], one.tolist(), strict=False):
-                        if x >= 0 and x not in held[kind]:
-                            held[kind][x] = got.points[start[i] : end[i]].astype(np.uint8).tobytes().decode("ascii")
-                    held[kind] = dict(sorted(held[kind].items())[:keep])
-        rows = [{"kind": k, "h": h, "s": s} for k in (0, 1) for h, s in held[k].items()]
-        yield pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.int32()), ("h", pa.int64()), ("s", pa.string())]))
-
-    found = saved(docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(lean(run), "kind int, h bigint, s string").groupBy("kind", "h").agg(F.min("s").alias("s")), "secret-examples")
-    drawn = {k: [r.s for r in found.where(f"kind = {k}").orderBy("h", "s").limit(2 * max_examples).collect()] for k in (0, 1)}
-    if not drawn[1]:
+                    h, one = np.unique(span_hash(prefix, start, end).view(np.int64), return_index=True)
+                    fresh = [k for k, x in enumerate(h.tolist()) if x not in held[kind]]
+                    if len(held[kind]) > HELD:
+                        held[kind].clear()
+                    held[kind].update(h[fresh].tolist())
+                    at = one[fresh]
+                    cells = [letters[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(h[fresh]), pa.array(cells, pa.string())], names=["kind", "h", "s"])
+
+    found = docs.select(F.col(text_col).cast("string").alias(text_col)).mapInArrow(lean(run), "kind int, h bigint, s string")
+    return saved(found.groupBy("kind", "h").agg(F.min("s").alias("s")).groupBy("kind", "s").agg(F.count("*").alias("n")), "secret-strings")
+
+
+def frequent_prefixes(strings: DataFrame, least: int) -> dict[str, list[int]]:
+    """The nodes of the prefix tree of all strings (s, n) that at least so many strings pass: how many go on with each symbol, and how many end.
+    Levels are counted in runs of growing length, each over the strings with a frequent prefix of the levels before."""
+    out: dict[str, list[int]] = {}
+    depth, step = 0, 8
+    live, open_ = strings.select("s", "n"), [""]
+    while open_:
+        if depth:
+            some = strings.sparkSession.createDataFrame([(x,) for x in open_], "__open string")
+            live = strings.select("s", "n").join(F.broadcast(some), F.substring("s", 1, depth) == F.col("__open"), "left_semi")
+        at = live.select("s", "n", F.explode(F.sequence(F.lit(depth), F.least(F.length("s"), F.lit(depth + step - 1)))).alias("i"))
+        node = at.select(F.expr("substring(s, 1, i)").alias("prefix"), F.expr("substring(s, i + 1, 1)").alias("next"), "n")
+        goes = [F.sum(F.when(F.col("next") == x, F.col("n")).otherwise(0)) for x in [*(chr(LETTER + k) for k in range(SYMBOLS)), ""]]
+        rows = node.groupBy("prefix").agg(F.sum("n").alias("all"), F.array(*goes).alias("goes")).where(F.col("all") >= least).select("prefix", "goes").collect()
+        out.update((r.prefix, list(r.goes)) for r in rows)
+        open_ = [r.prefix + chr(LETTER + k) for r in rows if len(r.prefix) == depth + step - 1 for k in range(SYMBOLS) if r.goes[k] >= least]
+        depth, step = depth + step, 2 * step
+    return out
+
+
+def _spread(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of symbols of a batch's strings, where each begins, and sizes."""
+    texts = batch.column("s").to_pylist()
+    size = np.array([len(x) for x in texts], np.int64)
+    return np.frombuffer("".join(texts).encode("ascii"), np.uint8).astype(np.int64) - LETTER, np.cumsum(size) - size, size
+
+
+def learn(strings: DataFrame) -> Automaton:
+    """Automaton of all strings (s, n): states from the frequent prefixes, probabilities from all strings' ways through them."""
+    total = strings.agg(F.sum("n")).first()[0]
+    shape = strings.sparkSession.sparkContext.broadcast(infer_tree(frequent_prefixes(strings, max(2, -(-total // SHARE))) or {"": [0] * (SYMBOLS + 1)}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = np.zeros((len(shape.value.step), SYMBOLS + 1), np.int64)
+        for batch in batches:
+            for piece in pieces_of(batch, "s"):
+                passes += shape.value.passes(*_spread(piece), piece.column("n").to_numpy())
+        cell = np.flatnonzero(passes)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(passes.ravel()[cell])], names=["cell", "n"])
+
+    passes = np.zeros((len(shape.value.step), SYMBOLS + 1), np.int64)
+    for r in strings.select("s", "n").mapInArrow(lean(run), "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        passes.ravel()[r.cell] = r.n
+    return shape.value.counted(passes)
+
+
+def _scored(strings: DataFrame, score: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Strings (s, n) with the score of each, written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces_of(batch, "s"):
+                yield pa.RecordBatch.from_arrays([piece.column("s"), piece.column("n"), pa.array(score(*_spread(piece)))], names=["s", "n", "score"])
+
+    return saved(strings.select("s", "n").mapInArrow(lean(run), "s string, n bigint, score double"), "secret-scores")
+
+
+def rank(scored: DataFrame, share: float, bins: int = 1024) -> float | None:
+    """The least score that so large a share of the rows (score, n) doesn't exceed, exactly: counts in bins, then in the
+    bins of the one that holds it."""
+    low, high, total = scored.agg(F.min("score"), F.max("score"), F.sum("n")).first()
+    if total is None:
         return None
-    credential = infer(_symbols(drawn[1][:max_examples]))
-    model = Model(credential, credential, 0.0)
+    below, want = 0, max(1, math.ceil(share * total))
+    while low < high:
+        place = F.least(F.lit(bins - 1), F.floor((F.col("score") - low) / (high - low) * bins).cast("int")).alias("bin")
+        rows = scored.where(F.col("score").between(low, high)).groupBy(place).agg(F.sum("n").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy("bin").collect()
+        for r in rows:
+            if below + r.n >= want:
+                low, high = r.low, r.high
+                break
+            below += r.n
+    return low
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Model | None:
+    """Learns from all distinct strings of either kind; None without any labelled credential."""
+    strings = _strings(docs, text_col)
+    labelled = strings.where("kind = 1")
+    if labelled.isEmpty():
+        discard(strings)
+        return None
+    credential = learn(labelled)
+
+    def per_letter(symbols: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return credential.likelihood(symbols, first, size) / np.maximum(size, 1)
+
     # ordinary strings that look as much like credentials as most of those do may be unlabelled ones: they teach nothing
-    usual = np.quantile(model.per_letter(drawn[1]), 0.02)
-    ordinary = [s for s, x in zip(drawn[0], model.per_letter(drawn[0]), strict=True) if x < usual]
-    learnt, apart = ordinary[: max_examples], ordinary[max_examples:] or ordinary
-    model.ordinary = infer(_symbols(learnt))
-    if apart:
-        model.threshold = max(0.0, float(np.quantile(model.ratios(apart), 0.999)))
+    known, others = _scored(labelled, per_letter), _scored(strings.where("kind = 0"), per_letter)
+    ordinary = others.where(F.col("score") < rank(known, 0.02))
+    model = Model(credential, credential, 0.0)
+    if not ordinary.isEmpty():
+        model.ordinary = learn(ordinary)
+        ratios = _scored(ordinary, model.spans)
+        model.threshold = max(0.0, rank(ratios, 0.999))
+        discard(ratios)
+    else:
+        model.ordinary = infer([])
+    discard(strings, known, others)
     return model
 
 

@@ -70,6 +70,39 @@ def test_scan(spark, docs, empty):
     assert secret_scan.scan(empty, secret_scan.fit(empty)).count() == 0
 
 
+def test_models_learn_from_every_string(spark):
+    """More credentials than any sample held: probabilities are the counts of all of them on their ways through the states."""
+    rng = np.random.default_rng(7)
+    secrets = ["".join(rng.choice(list("0123456789abcdefXYZ"), rng.integers(9, 20))) for _ in range(4000)]
+    df = spark.createDataFrame([(k, f"token = {x} and secret={x}") for k, x in enumerate(secrets)], "doc_id bigint, text string").repartition(3)
+    learnt = secret_scan.fit(df).credential
+    passes = np.full((len(learnt.step), secret_scan.SYMBOLS + 1), 0.1)
+    for x in set(secrets):
+        at = 0
+        for c in secret_scan.CLASS[np.frombuffer(x.encode(), np.uint8)].tolist():
+            passes[at, c] += 1
+            at = learnt.step[at, c]
+        passes[at, -1] += 1
+    want = np.log(passes / passes.sum(axis=1, keepdims=True))
+    assert np.allclose(learnt.log_p, want[:, :-1]) and np.allclose(learnt.log_end, want[:, -1])
+
+
+def test_frequent_prefixes_and_ranks(spark):
+    rng = np.random.default_rng(5)
+    rows = [("a" * 40 + x if k % 3 else x, int(n)) for k, (x, n) in enumerate(("".join(rng.choice(list("abk"), rng.integers(1, 12))), rng.integers(1, 4)) for _ in range(300))]
+    want: dict[str, list[int]] = {}
+    for x, n in rows:
+        for i in range(len(x) + 1):
+            goes = want.setdefault(x[:i], [0] * (secret_scan.SYMBOLS + 1))
+            goes[ord(x[i]) - ord("a") if i < len(x) else -1] += n
+    got = secret_scan.frequent_prefixes(spark.createDataFrame(rows, "s string, n bigint"), 5)
+    assert got == {x: goes for x, goes in want.items() if sum(goes) >= 5} and max(map(len, got)) > 40
+    scores = [(float(x), int(n)) for x, n in zip([*rng.normal(size=400), *[1.5] * 50, 1e9, np.nextafter(1.5, 2)], rng.integers(1, 5, 452), strict=True)]
+    flat = sorted(x for x, n in scores for _ in range(n))
+    df = spark.createDataFrame(scores, "score double, n bigint")
+    assert [secret_scan.rank(df, q, 16) for q in (0.02, 0.5, 0.95, 0.999, 1)] == [flat[int(np.ceil(q * len(flat))) - 1] for q in (0.02, 0.5, 0.95, 0.999, 1)]
+
+
 def test_secret_query_by_brute_force(spark, data):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
     for r in queries()["op1_secrets"](spark, data).collect():
